@@ -11,7 +11,6 @@ long gram stream is never shuffled; fitting shuffles one partial count per term.
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass, field
 
@@ -32,7 +31,13 @@ NGRAM_RANGE = (1, 2)
 
 def grams(text, ngram_range=NGRAM_RANGE) -> Column:
     """All n-grams of a text; adjacent kept tokens are joined by one space."""
-    return F.transform(F.array(tokens(text)), lambda t: _grams_of(t, ngram_range))[0]
+    return _let(tokens(text), lambda t: _grams_of(t, ngram_range))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``. A plain column
+    would be inlined by the optimiser and evaluated again for every element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _grams_of(token_array: Column, ngram_range) -> Column:
@@ -65,8 +70,8 @@ def term_counts(gram_array: Column) -> Column:
                 lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
             ),
         ).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            F.array(starts),
+        return _let(
+            starts,
             lambda st: F.transform(
                 st,
                 lambda start, j: F.struct(
@@ -74,9 +79,9 @@ def term_counts(gram_array: Column) -> Column:
                     (F.coalesce(F.get(st, j + 1), n) - start).cast("long").alias("tf"),
                 ),
             ),
-        )[0]
+        )
 
-    return F.transform(F.array(F.sort_array(gram_array)), runs)[0]
+    return _let(F.sort_array(gram_array), runs)
 
 
 def count_terms(df: DataFrame, id_column: str, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
@@ -162,12 +167,13 @@ def fit_tfidf(
 
 
 def _array_literal(values, kind: str) -> Column:
-    """One literal folded by the optimiser, instead of one expression per element."""
-    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+    """One literal that the optimiser folds, not one expression per element.
+    Grams hold word characters and spaces only, so a comma is free."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _weights(df: DataFrame, text_column: str, model: TfidfModel) -> DataFrame:
-    """Adds ``_indices`` and normalised ``_values``; row-local, no shuffle.
+    """Adds ``_indices`` and weights ``_raw`` before normalising; row-local.
 
     ``CountVectorizerModel`` broadcasts the vocabulary as a hash map and counts
     only known grams, so unseen terms cost one lookup each.
@@ -175,7 +181,7 @@ def _weights(df: DataFrame, text_column: str, model: TfidfModel) -> DataFrame:
     require_columns(df, [text_column], "text column")
     if not model.terms:
         return df.withColumns(
-            {"_indices": F.array().cast("array<int>"), "_values": F.array().cast("array<double>")}
+            {"_indices": F.array().cast("array<int>"), "_raw": F.array().cast("array<double>")}
         )
     vectorizer = CountVectorizerModel.from_vocabulary(
         model.terms, inputCol="_grams", outputCol="_counts"
@@ -187,63 +193,58 @@ def _weights(df: DataFrame, text_column: str, model: TfidfModel) -> DataFrame:
     idf = _array_literal(model.idf, "double")
     tf = lambda v: 1 + F.log(v) if model.sublinear_tf else v
     counted = counted.withColumns({"_indices": sparse["indices"], "_raw": sparse["values"]})
-    counted = counted.withColumn(
-        "_raw", F.transform("_raw", lambda v, i: tf(v) * F.get(idf, F.get("_indices", i)))
-    )
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
-    return (
-        counted.withColumn("_norm", norm)
-        .withColumn("_values", F.transform("_raw", lambda v: v / F.col("_norm")))
-        .drop("_counts", "_raw", "_norm")
-    )
+    weight = F.transform("_raw", lambda v, i: tf(v) * F.get(idf, F.get("_indices", i)))
+    return counted.withColumn("_raw", weight).drop("_counts")
 
 
 def transform_tfidf(df: DataFrame, id_column: str, text_column: str, model: TfidfModel) -> DataFrame:
     """Long ``(id, idx, term, weight)`` rows; a document without known terms has none."""
     require_columns(df, [id_column], "id column")
     weighted = _weights(df.select(id_column, text_column), text_column, model)
-    terms = _array_literal(model.terms, "string")
+
+    def normalised(w: Column) -> Column:
+        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v * v))
+        return _let(norm, lambda length: F.transform(w, lambda v: v / length))
+
+    weighted = weighted.withColumn("_values", _let(F.col("_raw"), normalised))
     long = weighted.select(id_column, F.inline(F.arrays_zip("_indices", "_values")))
     return long.select(
         id_column,
         F.col("_indices").alias("idx"),
-        F.get(terms, F.col("_indices")).alias("term"),
+        F.get(_array_literal(model.terms, "string"), F.col("_indices")).alias("term"),
         F.col("_values").alias("weight"),
     )
 
 
 @F.pandas_udf(VectorUDT())
-def _sparse_vector(size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+def _unit_vector(width: pd.Series, indices: pd.Series, raw: pd.Series, sign: pd.Series) -> pd.DataFrame:
+    """L2-normalised sparse vectors. A non-null ``sign`` appends a column of ones
+    after the vocabulary and scales the whole row by it."""
+    unit = [w / np.sqrt(w @ w) if len(w) else w for w in raw]
+    with_bias = sign.notna()
     return pd.DataFrame(
         {
-            "type": np.zeros(len(size), dtype="int8"),
-            "size": size.astype("int32"),
-            "indices": indices,
-            "values": values,
+            "type": np.zeros(len(width), dtype="int8"),
+            "size": (width + with_bias).astype("int32"),
+            "indices": [
+                np.append(i, n).astype("int32") if b else i
+                for i, n, b in zip(indices, width, with_bias)
+            ],
+            "values": [
+                np.append(w, 1.0) * s if b else w for w, s, b in zip(unit, sign, with_bias)
+            ],
         }
     )
 
 
 def tfidf_vectors(
-    df: DataFrame,
-    text_column: str,
-    model: TfidfModel,
-    output="features",
-    bias: bool = False,
-    sign: Column | None = None,
+    df: DataFrame, text_column: str, model: TfidfModel, output="features", sign: Column | None = None
 ) -> DataFrame:
-    """Sparse ML vectors; ``bias`` appends a column of ones, ``sign`` scales a row."""
+    """Sparse ML vectors; with ``sign`` each row gets a bias column and that factor."""
     weighted = _weights(df, text_column, model)
-    width = len(model.terms)
-    indices, values = F.col("_indices"), F.col("_values")
-    if bias:
-        indices = F.concat(indices, F.array(F.lit(width)))
-        values = F.concat(values, F.array(F.lit(1.0)))
-    if sign is not None:
-        weighted = weighted.withColumn("_sign", sign)
-        values = F.transform(values, lambda v: v * F.col("_sign"))
-    vector = _sparse_vector(F.lit(width + int(bias)), indices, values)
-    return weighted.withColumn(output, vector).drop("_indices", "_values", "_sign")
+    sign = F.lit(None) if sign is None else sign
+    vector = _unit_vector(F.lit(len(model.terms)), "_indices", "_raw", sign.cast("double"))
+    return weighted.withColumn(output, vector).drop("_indices", "_raw")
 
 
 def extract_text_statistics(df: DataFrame, text_column: str) -> DataFrame:

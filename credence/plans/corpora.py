@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from credence.functions.text import url_domain
 from credence.operators.context import context_availability, context_vector, fit_context
 from credence.schema import COUNT_COLUMNS, ORDER
+from credence.session import spread
 from credence.sources.standard import standardize
 
 EVENT_COUNTS = {"n_tweets": "view", "n_replies": "click", "n_retweets": "purchase"}
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is about to be processed row by row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def engagement(spark, sf_dir) -> DataFrame:
     """Counts per user; combined before the shuffle, so a hot user is no problem."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
@@ -35,7 +41,7 @@ def engagement(spark, sf_dir) -> DataFrame:
 
 
 def documents_raw(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     counts = engagement(spark, sf_dir).withColumnRenamed("user_id", "doc_id")
     return docs.join(labels, "doc_id", "left").join(counts, "doc_id", "left").select(
@@ -59,7 +65,7 @@ def documents(spark, sf_dir) -> DataFrame:
 def pages(spark, sf_dir) -> DataFrame:
     parity = F.pmod("page_id", F.lit(2))
     return standardize(
-        table(spark, sf_dir, "pages").select(
+        texts(spark, sf_dir, "pages").select(
             F.concat(F.lit("page_"), "page_id").alias("id"),
             F.lit("pages").alias("dataset"),
             F.lit("web").alias("subset"),

@@ -10,7 +10,8 @@ from credence.operators import (
     classify, context, experiments, fusion, metrics, preprocess, profile, split, tfidf,
 )
 from credence.plans import corpora
-from credence.schema import COUNT_COLUMNS, ORDER, STANDARD_COLUMNS
+from credence.schema import COUNT_COLUMNS, ORDER
+from credence.session import stage
 from credence.sources import claims, reviews, snapshots
 
 HIDDEN = 4  # width of the rule-made network in the scoring checks
@@ -123,11 +124,11 @@ def handle_missing(spark, d):
 
 
 def clean_pages(spark, d):
-    return corpora.table(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
+    return corpora.texts(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
 
 
 def text_stats_basic(spark, d):
-    return preprocess.add_text_stats(corpora.table(spark, d, "documents")).select(
+    return preprocess.add_text_stats(corpora.texts(spark, d, "documents")).select(
         "doc_id", "text_len", "word_count"
     )
 
@@ -156,18 +157,19 @@ def preprocess_dataset(spark, d):
 
 
 def _processed(spark, d):
-    """Cleaned, de-duplicated labelled documents with text statistics."""
+    """The processed table: cleaned, de-duplicated labelled documents with text
+    statistics, written once and read back as the experiments would."""
     rows = preprocess.remove_duplicates(preprocess.handle_missing(corpora.documents(spark, d)))
-    return preprocess.add_text_stats(rows)
+    return stage(preprocess.add_text_stats(rows).drop(ORDER, "split"), "processed")
 
 
 def split_70_15_15(spark, d):
-    return split.split_dataset(_processed(spark, d).drop("split")).select("id", "label", "split")
+    return split.split_dataset(_processed(spark, d)).select("id", "label", "split")
 
 
 def _split_60(spark, d):
     return split.split_labeled_data(
-        _processed(spark, d).drop("split"), text_column="text", label_column="label"
+        _processed(spark, d), text_column="text", label_column="label"
     )
 
 
@@ -176,7 +178,7 @@ def split_60_20_20(spark, d):
 
 
 def split_label_pivot(spark, d):
-    return profile.split_label_pivot(split.split_dataset(_processed(spark, d).drop("split")))
+    return profile.split_label_pivot(split.split_dataset(_processed(spark, d)))
 
 
 def contract_checks(spark, d):
@@ -251,36 +253,36 @@ def class_weights(spark, d):
 
 
 def text_statistics(spark, d):
-    out = tfidf.extract_text_statistics(corpora.table(spark, d, "documents"), "text")
+    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "documents"), "text")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("doc_id", *names), names)
 
 
 def text_statistics_pages(spark, d):
-    out = tfidf.extract_text_statistics(corpora.table(spark, d, "pages"), "html")
+    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "pages"), "html")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("page_id", *names), names)
 
 
 def tfidf_terms(spark, d):
-    return tfidf.count_terms(corpora.table(spark, d, "documents"), "doc_id", "text")
+    return tfidf.count_terms(corpora.texts(spark, d, "documents"), "doc_id", "text")
 
 
 def tfidf_vocab(spark, d):
-    model = tfidf.fit_tfidf(corpora.table(spark, d, "documents"), "text")
+    model = tfidf.fit_tfidf(corpora.texts(spark, d, "documents"), "text")
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_vocab_min_df(spark, d):
     model = tfidf.fit_tfidf(
-        corpora.table(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
+        corpora.texts(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
         ngram_range=(1, 1),
     )
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_weights(spark, d):
-    docs = corpora.table(spark, d, "documents")
+    docs = corpora.texts(spark, d, "documents")
     model = tfidf.fit_tfidf(docs, "text")
     return _round(tfidf.transform_tfidf(docs, "doc_id", "text", model), ["weight"], 5)
 
@@ -452,7 +454,7 @@ def balanced_predictions(spark, d):
 
 
 def imbalance_experiment(spark, d):
-    return experiments.imbalance_experiment(_split_60(spark, d).withColumn("split", F.col("split")))
+    return experiments.imbalance_experiment(_split_60(spark, d))
 
 
 def zero_shot_metrics(spark, d):
