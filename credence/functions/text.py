@@ -18,19 +18,23 @@ from pyspark.sql import types as T
 WS_CLASS = (
     r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-WS = f"[{WS_CLASS}]"
-NONWS = f"[^{WS_CLASS}]"
 WORD_CLASS = r"\p{L}\p{N}_"
-WORD = f"[{WORD_CLASS}]"
-URL_PATTERN = rf"https?://{NONWS}+|www\.{NONWS}+"
 TAG_PATTERN = r"<[^>]+>"
 ZERO_WIDTH_PATTERN = r"[\u200b\u200c\u200d\ufeff]"
 SENTENCE_END = r"[.!?]+"
 DEFAULT_MIN_WORDS = 5
 # -----------------------------------------------------------------------------
 
-_NEEDS_UNESCAPE = r"&|[^\x00-\x7f]"
+# The long negated class is slow, and most text is made of a few ranges that it
+# contains, so those are tried first.
+_COMMON = r"!-~\u00a1-\u167f"
+WS = f"[{WS_CLASS}]"
+NONWS = f"[[{_COMMON}][^{WS_CLASS}]]"
+WORD = f"[{WORD_CLASS}]"
+URL_PATTERN = rf"(?=[hw])(?:https?://{NONWS}+|www\.{NONWS}+)"
+
 _NON_ASCII = r"[^\x00-\x7f]"
+_NEEDS_UNESCAPE = r"[&[^\x00-\x7f]]"
 
 
 def _col(c) -> Column:
@@ -39,8 +43,7 @@ def _col(c) -> Column:
 
 # Spark has neither an HTML entity decoder nor Unicode normalisation. Both run as
 # Arrow batches, and callers send NULL for values that cannot change, so plain
-# ASCII text never crosses to Python. Marked non-deterministic only to stop the
-# optimiser from copying the call into a filter above it and running it twice.
+# ASCII text never crosses to Python.
 def _unescape_nfkc_values(s: pd.Series) -> pd.Series:
     return s.map(
         lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore"
@@ -55,8 +58,8 @@ def _strip_accent_values(s: pd.Series) -> pd.Series:
     return s.map(strip, na_action="ignore")
 
 
-_unescape_nfkc = F.pandas_udf(_unescape_nfkc_values, T.StringType()).asNondeterministic()
-_strip_accents = F.pandas_udf(_strip_accent_values, T.StringType()).asNondeterministic()
+_unescape_nfkc = F.pandas_udf(_unescape_nfkc_values, T.StringType())
+_strip_accents = F.pandas_udf(_strip_accent_values, T.StringType())
 
 
 def unescape_nfkc(c) -> Column:

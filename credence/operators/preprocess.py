@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from credence.functions.columns import computed_once
 from credence.functions.text import DEFAULT_MIN_WORDS, clean_text, word_count
 from credence.operators.split import fit_split
 from credence.schema import ORDER
@@ -12,16 +13,20 @@ from credence.session import materialize
 
 def handle_missing(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
     """Clean title and text, use the title where the body is empty, then drop
-    unlabelled and short rows. Row-local; the label filter reaches the scan."""
-    cleaned = df.where(F.col("label").isNotNull()).withColumns(
-        {
-            "title": clean_text("title"),
-            "text": clean_text("text"),
-            "label": F.col("label").cast("int"),
-        }
+    unlabelled and short rows. Row-local; the label filter reaches the scan, and
+    each value is cleaned once although the word filter needs it too."""
+    cleaned = computed_once(
+        df.where(F.col("label").isNotNull()),
+        {"_title": clean_text("title"), "_text": clean_text("text")},
+    )
+    body = F.when(F.col("_text") == "", F.col("_title")).otherwise(F.col("_text"))
+    return (
+        cleaned.withColumns(
+            {"title": F.col("_title"), "text": body, "label": F.col("label").cast("int")}
+        )
+        .drop("_title", "_text")
+        .where(word_count("text") >= min_words)
     )
-    body = F.when(F.col("text") == "", F.col("title")).otherwise(F.col("text"))
-    return cleaned.withColumn("text", body).where(word_count("text") >= min_words)
 
 
 def add_text_stats(df: DataFrame) -> DataFrame:

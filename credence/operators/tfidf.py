@@ -20,6 +20,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
+from credence.functions.columns import computed_once
 from credence.functions.text import text_statistics, tokens
 from credence.schema import require_columns
 
@@ -187,14 +188,16 @@ def _weights(df: DataFrame, text_column: str, model: TfidfModel) -> DataFrame:
         model.terms, inputCol="_grams", outputCol="_counts"
     )
     counted = vectorizer.transform(
-        df.withColumn("_grams", grams(text_column, model.ngram_range))
-    ).drop("_grams")
-    sparse = F.unwrap_udt("_counts")
+        computed_once(df, {"_grams": grams(text_column, model.ngram_range)})
+    )
+    counted = computed_once(counted, {"_sparse": F.unwrap_udt("_counts")}).withColumns(
+        {"_indices": F.col("_sparse.indices"), "_tf": F.col("_sparse.values")}
+    )
     idf = _array_literal(model.idf, "double")
     tf = lambda v: 1 + F.log(v) if model.sublinear_tf else v
-    counted = counted.withColumns({"_indices": sparse["indices"], "_raw": sparse["values"]})
-    weight = F.transform("_raw", lambda v, i: tf(v) * F.get(idf, F.get("_indices", i)))
-    return counted.withColumn("_raw", weight).drop("_counts")
+    weight = F.transform("_tf", lambda v, i: tf(v) * F.get(idf, F.get("_indices", i)))
+    weighted = computed_once(counted, {"_raw": weight})
+    return weighted.drop("_grams", "_counts", "_sparse", "_tf")
 
 
 def transform_tfidf(df: DataFrame, id_column: str, text_column: str, model: TfidfModel) -> DataFrame:
@@ -202,11 +205,10 @@ def transform_tfidf(df: DataFrame, id_column: str, text_column: str, model: Tfid
     require_columns(df, [id_column], "id column")
     weighted = _weights(df.select(id_column, text_column), text_column, model)
 
-    def normalised(w: Column) -> Column:
-        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, v: acc + v * v))
-        return _let(norm, lambda length: F.transform(w, lambda v: v / length))
-
-    weighted = weighted.withColumn("_values", _let(F.col("_raw"), normalised))
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
+    weighted = computed_once(weighted, {"_norm": norm}).withColumn(
+        "_values", F.transform("_raw", lambda v: v / F.col("_norm"))
+    )
     long = weighted.select(id_column, F.inline(F.arrays_zip("_indices", "_values")))
     return long.select(
         id_column,

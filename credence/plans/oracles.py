@@ -1,7 +1,8 @@
 """SQL twins of the named queries, for DuckDB over the same tables.
 
 Built from shared CTEs. RE2 and Java agree on the spelled-out classes; entities are
-decoded by ``replace`` because the given pages hold only the four named below.
+decoded by pattern because the given pages hold only the four named below (their
+semicolon is optional in HTML).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 # ---- fixed values -----------------------------------------------------------
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
-ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+ENTITIES = {"&quot;?": '"', "&copy;?": "©", "&middot;?": "·", "&amp;?": "&"}
 # -----------------------------------------------------------------------------
 
 
@@ -20,7 +21,7 @@ def _replace_all(expr: str, pattern: str, by: str) -> str:
 def _clean(expr: str) -> str:
     s = f"coalesce({expr}, '')"
     for entity, char in ENTITIES.items():
-        s = f"replace({s}, '{entity}', '{char}')"
+        s = _replace_all(s, entity, char)
     s = _replace_all(s, r"[\x{200b}\x{200c}\x{200d}\x{feff}]", "")
     s = _replace_all(s, "<[^>]+>", " ")
     s = _replace_all(s, rf"https?://[^{WS}]+|www\.[^{WS}]+", " ")
