@@ -30,26 +30,18 @@ NGRAM_RANGE = (1, 2)
 # -----------------------------------------------------------------------------
 
 
-def grams(text, ngram_range=NGRAM_RANGE) -> Column:
-    """All n-grams of a text; adjacent kept tokens are joined by one space."""
-    return _let(tokens(text), lambda t: _grams_of(t, ngram_range))
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``. A plain column
-    would be inlined by the optimiser and evaluated again for every element."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _grams_of(token_array: Column, ngram_range) -> Column:
+def with_grams(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
+    """Adds ``_grams``: all n-grams; adjacent kept tokens are joined by one space."""
     low, high = ngram_range
-    parts = [_joined(token_array, n) for n in range(low, high + 1)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    df = computed_once(df, {"_tokens": tokens(text_column)})
+    parts = [_joined("_tokens", n) for n in range(low, high + 1)]
+    grams = F.concat(*parts) if len(parts) > 1 else parts[0]
+    return computed_once(df, {"_grams": grams}).drop("_tokens")
 
 
-def _joined(token_array: Column, n: int) -> Column:
+def _joined(token_array: str, n: int) -> Column:
     if n == 1:
-        return token_array
+        return F.col(token_array)
     size = F.size(token_array)
     starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(
         F.array().cast("array<int>")
@@ -59,36 +51,28 @@ def _joined(token_array: Column, n: int) -> Column:
     )
 
 
-def term_counts(gram_array: Column) -> Column:
-    """``array<struct<term, tf>>`` of a row, by run lengths of the sorted grams."""
-
-    def runs(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.when(
-            n > 0,
-            F.filter(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        return _let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda start, j: F.struct(
-                    F.get(s, start).alias("term"),
-                    (F.coalesce(F.get(st, j + 1), n) - start).cast("long").alias("tf"),
-                ),
-            ),
-        )
-
-    return _let(F.sort_array(gram_array), runs)
+def with_term_counts(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
+    """Adds ``_terms``, an ``array<struct<term, tf>>``: run lengths of the sorted grams."""
+    df = with_grams(df, text_column, ngram_range)
+    df = computed_once(df, {"_sorted": F.sort_array("_grams")}).drop("_grams")
+    n = F.size("_sorted")
+    is_start = lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1))
+    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), is_start)).otherwise(
+        F.array().cast("array<int>")
+    )
+    df = computed_once(df, {"_starts": starts})
+    run = lambda start, j: F.struct(
+        F.get("_sorted", start).alias("term"),
+        (F.coalesce(F.get("_starts", j + 1), n) - start).cast("long").alias("tf"),
+    )
+    df = computed_once(df, {"_terms": F.transform("_starts", run)})
+    return df.drop("_sorted", "_starts")
 
 
 def count_terms(df: DataFrame, id_column: str, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
     """Long ``(id, term, tf)`` table, built without a shuffle."""
     require_columns(df, [id_column, text_column], "text column")
-    counted = df.select(id_column, term_counts(grams(text_column, ngram_range)).alias("_terms"))
+    counted = with_term_counts(df.select(id_column, text_column), text_column, ngram_range)
     return counted.select(id_column, F.inline("_terms"))
 
 
@@ -132,7 +116,8 @@ def fit_vocabulary(
     """
     require_columns(df, [text_column], "text column")
     n_documents = df.count()
-    counted = df.select(F.inline(term_counts(grams(text_column, ngram_range))))
+    counted = with_term_counts(df.select(text_column), text_column, ngram_range)
+    counted = counted.select(F.inline("_terms"))
     totals = counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     least = min_df * n_documents if isinstance(min_df, float) else min_df
     kept = totals.where(F.col("df") >= F.lit(least)).orderBy(F.desc("tf"), "term")
@@ -187,9 +172,7 @@ def _weights(df: DataFrame, text_column: str, model: TfidfModel) -> DataFrame:
     vectorizer = CountVectorizerModel.from_vocabulary(
         model.terms, inputCol="_grams", outputCol="_counts"
     )
-    counted = vectorizer.transform(
-        computed_once(df, {"_grams": grams(text_column, model.ngram_range)})
-    )
+    counted = vectorizer.transform(with_grams(df, text_column, model.ngram_range))
     counted = computed_once(counted, {"_sparse": F.unwrap_udt("_counts")}).withColumns(
         {"_indices": F.col("_sparse.indices"), "_tf": F.col("_sparse.values")}
     )
@@ -206,15 +189,16 @@ def transform_tfidf(df: DataFrame, id_column: str, text_column: str, model: Tfid
     weighted = _weights(df.select(id_column, text_column), text_column, model)
 
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
-    weighted = computed_once(weighted, {"_norm": norm}).withColumn(
-        "_values", F.transform("_raw", lambda v: v / F.col("_norm"))
+    weighted = computed_once(weighted, {"_norm": norm})
+    unit = F.transform(
+        "_raw", lambda w, i: F.struct(F.get("_indices", i).alias("idx"), (w / F.col("_norm")).alias("weight"))
     )
-    long = weighted.select(id_column, F.inline(F.arrays_zip("_indices", "_values")))
+    long = computed_once(weighted, {"_unit": unit}).select(id_column, F.inline("_unit"))
     return long.select(
         id_column,
-        F.col("_indices").alias("idx"),
-        F.get(_array_literal(model.terms, "string"), F.col("_indices")).alias("term"),
-        F.col("_values").alias("weight"),
+        "idx",
+        F.get(_array_literal(model.terms, "string"), F.col("idx")).alias("term"),
+        "weight",
     )
 
 

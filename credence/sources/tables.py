@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from credence.schema import PROCESSED_SCHEMA
 from credence.sources import paths
 
-# A quoted empty cell is an empty string and a bare empty cell is null, so that a
-# CSV round trip keeps "" and null apart. Line breaks inside a cell are quoted.
+# Null is written as \N and an empty string as a quoted empty cell, so that a CSV
+# round trip keeps the two apart. Line breaks inside a cell are quoted.
 CSV_OPTIONS = dict(
-    header=True, quote='"', escape='"', multiLine=True, nullValue="\\N", emptyValue="",
+    header=True, quote='"', escape='"', multiLine=True, nullValue="\\N",
     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
 )
 
@@ -34,7 +34,7 @@ def write_table(df: DataFrame, path: str, partition_by=()) -> None:
     fmt = _format_of(path)
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.options(**CSV_OPTIONS)
+        writer = writer.options(**CSV_OPTIONS, emptyValue='""')
     writer.format(fmt).save(path)
 
 
@@ -59,7 +59,7 @@ def load_standardized_data(
         )
         types = {f.name: f.dataType.simpleString() for f in schema.fields}
         declared = ", ".join(f"`{h}` {types.get(h, 'string')}" for h in header)
-        return spark.read.options(**CSV_OPTIONS).schema(declared).csv(path)
+        return spark.read.options(**CSV_OPTIONS, emptyValue="").schema(declared).csv(path)
     return spark.read.parquet(path)
 
 
