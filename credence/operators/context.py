@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 from credence.functions.text import is_blank
 from credence.operators.prefix import quantiles
 from credence.schema import require_columns
+from credence.session import stage
 
 # widest dense vector that is built; the long form has no such bound
 MAX_DENSE_WIDTH = 16384
+# category tables up to this many bytes of text are broadcast, larger ones shuffled
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def context_availability(
@@ -45,7 +48,8 @@ class ContextModel:
     ``numeric``: per column ``(column, median, mean, scale)``, a few numbers.
     ``fill``: most frequent value per categorical column.
     ``categories``: table ``(column, value)``; it stays a table because a column
-    such as a publisher can have very many values.
+    such as a publisher can have very many values. ``category_bytes`` is its
+    measured size.
     """
 
     numeric_columns: tuple
@@ -53,6 +57,8 @@ class ContextModel:
     numeric: list
     fill: dict
     categories: DataFrame | None
+    category_count: int = 0
+    category_bytes: int = 0
 
 
 def _as_double(df: DataFrame, columns) -> list:
@@ -97,7 +103,7 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
             tiny = 10 * 2.220446049250313e-16 * max(abs(mean), 1.0)
             numeric.append((c, r["median"], mean, scale if scale > tiny else 1.0))
 
-    fill, categories = {}, None
+    fill, categories, count, size = {}, None, 0, 0
     if categorical_columns:
         counted = (
             df.select(*_as_string(categorical_columns))
@@ -106,14 +112,19 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
             .groupBy("column", "value")
             .agg(F.count("*").alias("n"))
         )
-        top = counted.groupBy("column").agg(
-            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value")
-        )
-        fill = {r["column"]: r["value"] for r in top.collect()}
+        # fitted once: later transforms must not aggregate the training rows again
+        categories = stage(counted, "context-categories")
+        top = categories.groupBy("column").agg(
+            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"),
+            F.count("*").alias("values"),
+            F.sum(F.octet_length("value") + F.octet_length("column")).alias("bytes"),
+        ).collect()
+        fill = {r["column"]: r["value"] for r in top}
+        count, size = sum(r["values"] for r in top), sum(r["bytes"] for r in top)
         # the fill value is one of the observed values, so imputing adds none
-        categories = counted.select("column", "value")
+        categories = categories.select("column", "value")
     return ContextModel(
-        tuple(numeric_columns), tuple(categorical_columns), numeric, fill, categories
+        tuple(numeric_columns), tuple(categorical_columns), numeric, fill, categories, count, size
     )
 
 
@@ -147,7 +158,10 @@ def _categorical_long(df: DataFrame, id_column: str, model: ContextModel) -> Dat
 def context_onehot(df: DataFrame, id_column: str, model: ContextModel) -> DataFrame:
     """Long ``(id, feature, 1.0)`` rows; a category not seen in fitting has no row."""
     long = _categorical_long(df, id_column, model)
-    known = long.join(model.categories, ["column", "value"], "left_semi")
+    categories = model.categories
+    if model.category_bytes <= BROADCAST_BYTES:
+        categories = F.broadcast(categories)
+    known = long.join(categories, ["column", "value"], "left_semi")
     return known.select(
         id_column,
         F.concat(F.lit("categorical__"), "column", F.lit("_"), "value").alias("feature"),
@@ -170,15 +184,15 @@ def fit_context_features(df: DataFrame, id_column: str, **columns):
     return model, transform_context(df, id_column, model)
 
 
-def feature_names(model: ContextModel) -> DataFrame | list:
+def feature_names(model: ContextModel) -> list:
     """Feature names in column order: numeric, then categories sorted per column."""
     names = [f"numeric__{c}" for c, *_ in model.numeric]
     if not model.fill:
         return names
-    width = model.categories.count()
-    if len(names) + width > MAX_DENSE_WIDTH:
+    width = len(names) + model.category_count
+    if width > MAX_DENSE_WIDTH:
         raise ValueError(
-            f"{len(names) + width} context features are too many for a dense vector; "
+            f"{width} context features are too many for a dense vector; "
             "use the long form (transform_context)"
         )
     by_column: dict = {}

@@ -8,7 +8,7 @@ from credence.functions.columns import computed_once
 from credence.functions.text import DEFAULT_MIN_WORDS, clean_text, word_count
 from credence.operators.split import fit_split
 from credence.schema import ORDER
-from credence.session import materialize
+from credence.session import materialize, stage
 
 
 def handle_missing(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
@@ -45,18 +45,27 @@ def keep_first(df: DataFrame, key: str, order=ORDER) -> DataFrame:
     return df.withColumn("_rank", first).where("_rank = 1").drop("_rank")
 
 
-def first_occurrences(df: DataFrame, id_column="id", text_column="text", order=ORDER, extra=()):
-    """Order values of the rows that de-duplication keeps: first by id, then,
-    among those, first by lower-cased text. Only keys are shuffled, never bodies;
-    the text key is a SHA-256 digest."""
-    keys = df.select(
+def duplicate_keys(df: DataFrame, id_column="id", text_column="text", order=ORDER, extra=()):
+    """The narrow columns that de-duplication needs; a text is a SHA-256 digest of
+    its lower-case form."""
+    return df.select(
         order,
         *extra,
         F.col(id_column).alias("_id_key"),
         F.unhex(F.sha2(F.lower(text_column), 256)).alias("_text_key"),
     )
+
+
+def first_of_keys(keys: DataFrame, order=ORDER) -> DataFrame:
+    """First row by id, then, among those, first by text."""
     kept = keep_first(keep_first(keys, "_id_key", order), "_text_key", order)
-    return kept.select(order, *extra)
+    return kept.drop("_id_key", "_text_key")
+
+
+def first_occurrences(df: DataFrame, id_column="id", text_column="text", order=ORDER, extra=()):
+    """Order values of the rows that de-duplication keeps. Only keys are shuffled,
+    never bodies."""
+    return first_of_keys(duplicate_keys(df, id_column, text_column, order, extra), order)
 
 
 def remove_duplicates(df: DataFrame, id_column="id", text_column="text", order=ORDER) -> DataFrame:
@@ -70,13 +79,14 @@ def remove_duplicates(df: DataFrame, id_column="id", text_column="text", order=O
 
 
 def pipeline_counts(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
-    """Rows in, after the filter, and after de-duplication, as one row."""
-    cleaned = handle_missing(df, min_words)
-    raw = df.agg(F.count("*").alias("rows_raw"))
-    filtered = cleaned.agg(F.count("*").alias("rows_filtered"))
-    kept = first_occurrences(cleaned).agg(F.count("*").alias("rows_deduplicated"))
-    return raw.withColumns(
-        {"rows_filtered": filtered.scalar(), "rows_deduplicated": kept.scalar()}
+    """Rows in, after the filter, and after de-duplication, as one row. Texts are
+    cleaned once: the narrow keys are staged and counted twice."""
+    keys = stage(duplicate_keys(handle_missing(df, min_words)), "duplicate-keys")
+    return df.agg(F.count("*").alias("rows_raw")).withColumns(
+        {
+            "rows_filtered": keys.agg(F.count("*")).scalar(),
+            "rows_deduplicated": first_of_keys(keys).agg(F.count("*")).scalar(),
+        }
     )
 
 

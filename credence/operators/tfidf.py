@@ -29,6 +29,9 @@ MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 2)
 # -----------------------------------------------------------------------------
 
+# largest vocabulary that is collected and broadcast
+MAX_COLLECTED_TERMS = 1_000_000
+
 
 def with_grams(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
     """Adds ``_grams``: all n-grams; adjacent kept tokens are joined by one space."""
@@ -133,9 +136,10 @@ def fit_tfidf(
     min_df=1,
     sublinear_tf=True,
 ) -> TfidfModel:
-    """Fit on the training frame only; the driver receives the vocabulary rows."""
-    if max_features < 1:
-        raise ValueError("max_features must be positive")
+    """Fit on the training frame only; the driver receives the vocabulary rows, so
+    their number is limited. Beyond it, use ``fit_vocabulary`` with ``weigh_terms``."""
+    if not 1 <= max_features <= MAX_COLLECTED_TERMS:
+        raise ValueError(f"max_features must be between 1 and {MAX_COLLECTED_TERMS}")
     kept, n = fit_vocabulary(
         df, text_column, max_features=max_features, ngram_range=ngram_range, min_df=min_df
     )
@@ -202,6 +206,23 @@ def transform_tfidf(df: DataFrame, id_column: str, text_column: str, model: Tfid
     )
 
 
+def weigh_terms(
+    counts: DataFrame, id_column: str, vocabulary: DataFrame, n_documents: int, sublinear_tf=True
+) -> DataFrame:
+    """Long weights from ``(id, term, tf)`` and a vocabulary table ``(term, df)`` of any
+    size: the vocabulary is joined, not collected. A term found in most documents is
+    a hot join key, which AQE splits."""
+    idf = F.log((1 + F.lit(n_documents)) / (1 + F.col("df"))) + 1
+    tf = 1 + F.log("tf") if sublinear_tf else F.col("tf")
+    raw = counts.join(vocabulary.select("term", "df"), "term").select(
+        id_column, "term", (tf * idf).alias("_raw")
+    )
+    norms = raw.groupBy(id_column).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
+    return raw.join(norms, id_column).select(
+        id_column, "term", (F.col("_raw") / F.col("_norm")).alias("weight")
+    )
+
+
 @F.pandas_udf(VectorUDT())
 def _unit_vector(width: pd.Series, indices: pd.Series, raw: pd.Series, sign: pd.Series) -> pd.DataFrame:
     """L2-normalised sparse vectors. A non-null ``sign`` appends a column of ones

@@ -40,7 +40,9 @@ def test_numeric(frame):
     assert all(rows[(i, "numeric__flat")] == 0 for i in range(1, 7))
 
 
-def test_onehot(spark, frame):
+@pytest.mark.parametrize("limit", [0, C.BROADCAST_BYTES])
+def test_onehot(spark, frame, limit, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_BYTES", limit)
     model = C.fit_context(frame, categorical_columns=["c1", "c2"])
     assert model.fill == {"c1": "a", "c2": "x"}  # a and b tie: the smaller value
     rows = {(r["id"], r["feature"]) for r in C.context_onehot(frame, "id", model).collect()}

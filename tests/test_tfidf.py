@@ -108,3 +108,12 @@ def test_no_terms_and_bad_columns(spark, frame):
         T.fit_tfidf(frame, "nope")
     with pytest.raises(ValueError):
         T.fit_tfidf(frame, "text", max_features=0)
+
+
+def test_joined_vocabulary_gives_the_same_weights(frame):
+    kept, n = T.fit_vocabulary(frame, "text", max_features=12)
+    joined = T.weigh_terms(T.count_terms(frame, "id", "text"), "id", kept, n).collect()
+    model = T.fit_tfidf(frame, "text", max_features=12)
+    rows = T.transform_tfidf(frame, "id", "text", model).collect()
+    assert {(r["id"], r["term"]): r["weight"] for r in joined} == pytest.approx(
+        {(r["id"], r["term"]): r["weight"] for r in rows})
