@@ -8,6 +8,7 @@ Counting is done by shrinking the string (``regexp_replace`` + ``char_length``):
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,7 +35,7 @@ WORD = f"[{WORD_CLASS}]"
 URL_PATTERN = rf"(?=[hw])(?:https?://{NONWS}+|www\.{NONWS}+)"
 
 _NON_ASCII = r"[^\x00-\x7f]"
-_NEEDS_UNESCAPE = r"[&[^\x00-\x7f]]"
+_NEEDS_DECODING = r"[&[^\x00-\x7f]]"
 
 
 def _col(c) -> Column:
@@ -44,10 +45,14 @@ def _col(c) -> Column:
 # Spark has neither an HTML entity decoder nor Unicode normalisation. Both run as
 # Arrow batches, and callers send NULL for values that cannot change, so plain
 # ASCII text never crosses to Python.
-def _unescape_nfkc_values(s: pd.Series) -> pd.Series:
-    return s.map(
-        lambda v: unicodedata.normalize("NFKC", html.unescape(v)), na_action="ignore"
-    )
+# Zero-width characters are not ASCII either, so they are dropped in the same call.
+def _decode_values(s: pd.Series) -> pd.Series:
+    zero_width = re.compile(ZERO_WIDTH_PATTERN)
+
+    def decode(v):
+        return zero_width.sub("", unicodedata.normalize("NFKC", html.unescape(v)))
+
+    return s.map(decode, na_action="ignore")
 
 
 def _strip_accent_values(s: pd.Series) -> pd.Series:
@@ -58,13 +63,14 @@ def _strip_accent_values(s: pd.Series) -> pd.Series:
     return s.map(strip, na_action="ignore")
 
 
-_unescape_nfkc = F.pandas_udf(_unescape_nfkc_values, T.StringType())
+_decode = F.pandas_udf(_decode_values, T.StringType())
 _strip_accents = F.pandas_udf(_strip_accent_values, T.StringType())
 
 
-def unescape_nfkc(c) -> Column:
+def decode_text(c) -> Column:
+    """HTML entities decoded, NFKC, zero-width characters dropped."""
     c = _col(c)
-    return F.coalesce(_unescape_nfkc(F.when(c.rlike(_NEEDS_UNESCAPE), c)), c)
+    return F.coalesce(_decode(F.when(c.rlike(_NEEDS_DECODING), c)), c)
 
 
 def strip_accents(c) -> Column:
@@ -74,8 +80,7 @@ def strip_accents(c) -> Column:
 
 def clean_text(c) -> Column:
     """Entities, NFKC, zero-width, tags, URLs, whitespace; case is kept."""
-    s = unescape_nfkc(F.coalesce(_col(c), F.lit("")))
-    s = F.regexp_replace(s, ZERO_WIDTH_PATTERN, "")
+    s = decode_text(F.coalesce(_col(c), F.lit("")))
     s = F.regexp_replace(s, TAG_PATTERN, " ")
     s = F.regexp_replace(s, URL_PATTERN, " ")
     return F.trim(F.regexp_replace(s, f"{WS}+", " "))

@@ -90,15 +90,24 @@ def pipeline_counts(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
     )
 
 
-def preprocess_dataset(df: DataFrame, min_words=DEFAULT_MIN_WORDS, seed=42) -> DataFrame:
-    """Filter, de-duplicate, add text statistics and the 70/15/15 split.
+def clean_and_deduplicate(df: DataFrame, min_words=DEFAULT_MIN_WORDS):
+    """Cleaned rows without duplicates, and the kept ``(order, id, label)`` rows.
 
-    The kept ``(order, id, label)`` rows are written once to the checkpoint
-    folder; the split is fitted on them, and the wide table is then read, joined
-    and tagged in a single pass.
+    Cleaning costs far more than a write, so the cleaned rows are staged once with
+    their text digest. De-duplication then reads only narrow columns, and the wide
+    rows are read once more for the semi join.
     """
-    cleaned = handle_missing(df, min_words)
-    kept = materialize(first_occurrences(cleaned, extra=("id", "label")))
-    plan = fit_split(kept, seed=seed)
-    processed = cleaned.join(kept.select(ORDER), ORDER, "left_semi")
-    return plan.apply(add_text_stats(processed).drop("split"))
+    cleaned = add_text_stats(handle_missing(df, min_words))
+    digest = F.unhex(F.sha2(F.lower("text"), 256))
+    staged = stage(cleaned.withColumn("_text_key", digest), "cleaned")
+    keys = staged.select(ORDER, "id", "label", F.col("id").alias("_id_key"), "_text_key")
+    kept = materialize(first_of_keys(keys))
+    rows = staged.drop("_text_key").join(kept.select(ORDER), ORDER, "left_semi")
+    return rows, kept
+
+
+def preprocess_dataset(df: DataFrame, min_words=DEFAULT_MIN_WORDS, seed=42) -> DataFrame:
+    """Filter, de-duplicate, add text statistics and the 70/15/15 split, which is
+    fitted on the kept ids and applied row by row."""
+    rows, kept = clean_and_deduplicate(df, min_words)
+    return fit_split(kept, seed=seed).apply(rows.drop("split"))

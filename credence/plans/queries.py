@@ -157,10 +157,9 @@ def preprocess_dataset(spark, d):
 
 
 def _processed(spark, d):
-    """The processed table: cleaned, de-duplicated labelled documents with text
-    statistics, written once and read back as the experiments would."""
-    rows = preprocess.remove_duplicates(preprocess.handle_missing(corpora.documents(spark, d)))
-    return stage(preprocess.add_text_stats(rows).drop(ORDER, "split"), "processed")
+    """Cleaned, de-duplicated labelled documents with text statistics."""
+    rows, _ = preprocess.clean_and_deduplicate(corpora.documents(spark, d))
+    return rows.drop(ORDER, "split")
 
 
 def split_70_15_15(spark, d):
@@ -483,8 +482,13 @@ def _rule_model(inputs):
     return fusion.FittedFusion(shape, rule_weights(shape))
 
 
+def _staged_inputs(spark, d):
+    """The model input table, written once and read by every later step."""
+    return stage(corpora.fusion_inputs(spark, d), "fusion-inputs")
+
+
 def _scored(spark, d):
-    inputs = corpora.fusion_inputs(spark, d)
+    inputs = _staged_inputs(spark, d)
     return _rule_model(inputs).domain_scores(inputs)
 
 
@@ -510,7 +514,7 @@ def gate_hist(spark, d):
 
 
 def feature_contract(spark, d):
-    inputs = corpora.fusion_inputs(spark, d)
+    inputs = _staged_inputs(spark, d)
     shape = _rule_model(inputs).shape
     return fusion.feature_contract(inputs, shape.text_dim, shape.context_dim)
 
@@ -524,7 +528,7 @@ def domain_bce(spark, d):
 
 
 def _fusion_split(spark, d):
-    inputs = corpora.fusion_inputs(spark, d)
+    inputs = _staged_inputs(spark, d)
     return split.split_labeled_data(
         inputs.withColumn("text", F.lit("features")), text_column="text", label_column="label"
     )

@@ -34,7 +34,7 @@ def test_handle_missing(spark):
 
 def test_filter_does_not_clean_twice(spark, sf):
     plan = handle_missing(corpora.documents(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("_unescape_nfkc_values") == 2  # once for the title, once for the text
+    assert plan.count("_decode_values") == 2  # once for the title, once for the text
 
 
 def test_duplicates(spark):

@@ -109,4 +109,4 @@ def test_url_domain(spark):
 def test_udf_sees_only_rows_that_need_it():
     from credence.functions import text
 
-    assert text._unescape_nfkc_values(pd.Series([None, "&amp;"])).tolist() == [None, "&"]
+    assert text._decode_values(pd.Series([None, "&amp;"])).tolist() == [None, "&"]
