@@ -381,14 +381,50 @@ def _statistics(table: str, key: str, text: str) -> str:
   {dbl(f'CASE WHEN {words} = 0 THEN 1 ELSE 0 END')} AS text_empty_flag FROM {table}"""
 
 
-def _profile_missing() -> str:
+def _profile_missing(source="std") -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing, "
-        f"round(count(*) FILTER (WHERE {c} IS NULL) / CAST(count(*) AS DOUBLE) * 100, 2) AS pct FROM std"
+        f"round(count(*) FILTER (WHERE {c} IS NULL) / CAST(count(*) AS DOUBLE) * 100, 2) AS pct FROM {source}"
         for c in STANDARD
     )
 
 
+def _duplicates(source: str) -> str:
+    return f"""SELECT count(*) AS rows, count(*) FILTER (WHERE {_blank("coalesce(text, '')")}) AS blank_texts,
+  (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM {source} GROUP BY id)) AS duplicate_ids,
+  (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM {source} WHERE NOT {_blank('text')} GROUP BY text)) AS duplicate_texts
+FROM {source}"""
+
+
+def _label_counts(source: str) -> str:
+    return f"""SELECT label, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM {source}) AS DOUBLE) * 100, 2) AS pct
+FROM {source} GROUP BY label"""
+
+
+def _inspect() -> str:
+    kinds = {"label": "int", **dict.fromkeys(["n_tweets", "n_replies", "n_retweets"], "double"),
+             **dict.fromkeys(["has_source", "has_engagement", "has_network"], "boolean")}
+    types = ", ".join(f"('{c}', '{kinds.get(c, 'string')}')" for c in STANDARD)
+    label = "coalesce(CAST(label AS VARCHAR), 'null')"
+    scalars = "\n  ".join(
+        f"UNION ALL SELECT 'rows', '{c}', CAST({c} AS VARCHAR) FROM dup"
+        for c in ("rows", "blank_texts", "duplicate_ids", "duplicate_texts")
+    )
+    return _with(
+        ALL, f"miss AS ({_profile_missing('everything')})", f"lab AS ({_label_counts('everything')})",
+        f"flags AS ({_flag_shares('everything', '')})", f"dup AS ({_duplicates('everything')})",
+        select=f"""SELECT 'all' AS name, section, key, value FROM (
+  SELECT 'dtypes' AS section, k AS key, v AS value FROM (VALUES {types}) AS t(k, v)
+  UNION ALL SELECT 'shape', 'columns', '{len(STANDARD)}'
+  UNION ALL SELECT 'missing', "column", CAST(missing AS VARCHAR) FROM miss
+  UNION ALL SELECT 'missing_pct', "column", CAST(pct AS VARCHAR) FROM miss
+  UNION ALL SELECT 'label_counts', {label}, CAST(n AS VARCHAR) FROM lab
+  UNION ALL SELECT 'label_pct', {label}, CAST(pct AS VARCHAR) FROM lab
+  UNION ALL SELECT 'context_available', flag, CAST(share AS VARCHAR) FROM flags
+  {scalars})""",
+    )
+
+
 def _describe() -> str:
     def one(c):
         return f"""SELECT label, '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
@@ -511,18 +547,9 @@ FROM splitted GROUP BY split""",
     ),
     "preview": _with(STD, select="SELECT id, subset, title, label FROM std ORDER BY ord LIMIT 5"),
     "profile_missing": _with(STD, select=_profile_missing()),
-    "profile_duplicates": _with(
-        STD,
-        select=f"""SELECT count(*) AS rows, count(*) FILTER (WHERE {_blank("coalesce(text, '')")}) AS blank_texts,
-  (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM std GROUP BY id)) AS duplicate_ids,
-  (SELECT CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM std WHERE NOT {_blank('text')} GROUP BY text)) AS duplicate_texts
-FROM std""",
-    ),
-    "profile_labels": _with(
-        STD,
-        select="""SELECT label, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM std) AS DOUBLE) * 100, 2) AS pct
-FROM std GROUP BY label""",
-    ),
+    "profile_duplicates": _with(STD, select=_duplicates("std")),
+    "profile_labels": _with(STD, select=_label_counts("std")),
+    "inspect": _inspect(),
     "profile_context": _with(STD, select=_flag_shares("std", "")),
     "class_distribution": _with(
         ALL,
