@@ -72,8 +72,7 @@ def test_60_20_20(spark):
     assert parts == {
         ("test", 0): 15, ("test", 1): 5, ("validation", 0): 15, ("validation", 1): 5,
         ("train", 0): 47, ("train", 1): 13,
-    } or sum(v for (s, _), v in parts.items() if s == "test") == 20
-    assert sum(parts.values()) == 100
+    }
 
 
 def test_quotas():
