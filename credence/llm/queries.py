@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import decontaminate, line_dedup, packing, preference, quality_votes, rules, sharding, toxicity
+from credence.llm import decontaminate, jaccard, line_dedup, packing, preference, quality_votes, rules, sharding, toxicity
 from credence.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(toxicity.score(docs, labels))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_votes, op2_decontaminate, op3_line_dedup, op4_sharding, op5_preference, op6_toxicity,
+        op1_quality_votes, op2_decontaminate, op3_line_dedup, op4_sharding, op5_preference, op6_toxicity, op7_jaccard,
         op8_packing, op10_quality_rules,
     )
 }

@@ -14,6 +14,8 @@ import os
 
 import numpy as np
 
+from credence.llm.arrays import RunHashes
+
 #: What a vocabulary must say of itself to be cut by array operations (fixed values of its file format).
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -23,8 +25,6 @@ BLOCK = 500_000
 BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
 FAR = np.int32(2**30)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_LENGTH = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def _byte_classes() -> np.ndarray:
@@ -74,7 +74,7 @@ class WordPieces:
                 slot = (slot + 1) & ((1 << self.bits) - 1)
             self.keys[slot], self.order[slot] = key, rank
         self.kinds = _byte_classes()
-        self.powers = [np.ones(1, np.uint64)] * 2
+        self.hashes = RunHashes()
         self.pairs = None
         if max(self.inner.max(), self.last.max()) < 512:
             grid = np.arange(512, dtype=np.int32)
@@ -201,21 +201,11 @@ class WordPieces:
 
     def _names(self, data, low, start, stop, odd) -> np.ndarray:
         """A 64-bit hash of each unit's bytes, as written where the library will cut it."""
-        with np.errstate(over="ignore"):
-            if len(self.powers[0]) <= len(data):
-                steps = np.full((2, 2 * len(data) + 1), _BASE, np.uint64)
-                steps[1], steps[:, 0] = _INVERSE, 1
-                self.powers = list(np.multiply.accumulate(steps, axis=1))
-            up, down = self.powers
-            shown = low.astype(np.uint64)
-            shown += np.uint64(1)
-            if odd.any():
-                raw = self._spread(start[odd], stop[odd], len(data))
-                shown[raw] = data[raw].astype(np.uint64) + np.uint64(301)
-            shown *= up[: len(data)]
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(shown, out=total[1:])
-            return (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * _LENGTH
+        shown = low.astype(np.uint64) + np.uint64(1)
+        if odd.any():
+            raw = self._spread(start[odd], stop[odd], len(data))
+            shown[raw] = data[raw].astype(np.uint64) + np.uint64(301)
+        return self.hashes(shown, start, stop)
 
     def _encode(self, data, low, start, n, odd):
         """How many ids each unit has, all ids, and where those of each unit begin."""
