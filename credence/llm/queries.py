@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import decontaminate, jaccard, line_dedup, packing, preference, quality_votes, rules, sharding, toxicity
+from credence.llm import decontaminate, jaccard, line_dedup, packing, preference, quality_votes, rules, sharding, substrings, toxicity
 from credence.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.quality(table(spark, sf_dir, "documents"))
     return judged.select(
@@ -61,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_votes, op2_decontaminate, op3_line_dedup, op4_sharding, op5_preference, op6_toxicity, op7_jaccard,
-        op8_packing, op10_quality_rules,
+        op8_packing, op9_substrings, op10_quality_rules,
     )
 }
 
