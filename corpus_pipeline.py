@@ -7,6 +7,7 @@ Each stage takes what its predecessor kept, as a written table, and returns the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credence.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from credence.llm.common import table
@@ -20,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of three lines or more that stand earlier in the corpus are cut."""
-    return line_dedup.without_repeats(docs)
+    cut = line_dedup.without_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
