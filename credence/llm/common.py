@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from credence.session import stage
 
 #: Rows of one hot group that share a window before the group is split further.
-ROWS_PER_SALT = 2_000
+ROWS_PER_SALT = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
