@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credence.llm import decontaminate, jaccard, line_dedup, packing, preference, quality_votes, rules, sharding, substrings, toxicity
+from credence.llm import (
+    decontaminate,
+    jaccard,
+    line_dedup,
+    oracles,
+    packing,
+    preference,
+    quality_votes,
+    rules,
+    sharding,
+    substrings,
+    toxicity,
+)
 from credence.llm.common import table
 
 
@@ -69,4 +81,10 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Without a twin: fitted models (1, 6, 10), hashes that SQL lacks (4), token ids (8), bytes cut by windows (9).
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": oracles.DECONTAMINATE,
+    "op3_line_dedup": oracles.LINE_DEDUP,
+    "op5_preference": oracles.PREFERENCE,
+    "op7_jaccard": oracles.JACCARD,
+}
