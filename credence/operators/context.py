@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from credence.functions.columns import computed_once, known, number
 from credence.functions.text import is_blank
 from credence.operators.prefix import quantiles
 from credence.schema import require_columns
 from credence.session import stage
 
-# widest dense vector that is built; the long form has no such bound
-MAX_DENSE_WIDTH = 16384
-# category tables up to this many bytes of text are broadcast, larger ones shuffled
+# the categories of a column are broadcast up to this many bytes of text, shuffled above
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -23,7 +23,7 @@ def context_availability(
 ) -> DataFrame:
     """Adds the 0/1 mask and the share of context columns that are present.
 
-    A blank string is missing; a numeric 0 is present. Row-local.
+    A blank string and a NaN are missing; a numeric 0 is present. Row-local.
     """
     columns = list(columns)
     require_columns(df, columns, "context column")
@@ -33,7 +33,7 @@ def context_availability(
         )
     flags = []
     for c in columns:
-        present = F.col(c).isNotNull()
+        present = known(df, c)
         if isinstance(df.schema[c].dataType, T.StringType):
             present = F.coalesce(~is_blank(c), F.lit(False))
         flags.append(present.cast("int"))
@@ -48,8 +48,8 @@ class ContextModel:
     ``numeric``: per column ``(column, median, mean, scale)``, a few numbers.
     ``fill``: most frequent value per categorical column.
     ``categories``: table ``(column, value)``; it stays a table because a column
-    such as a publisher can have very many values. ``category_bytes`` is its
-    measured size.
+    such as a publisher can have very many values. ``sizes`` holds the measured
+    number and bytes of each column's categories.
     """
 
     numeric_columns: tuple
@@ -57,12 +57,38 @@ class ContextModel:
     numeric: list
     fill: dict
     categories: DataFrame | None
-    category_count: int = 0
-    category_bytes: int = 0
+    sizes: dict = field(default_factory=dict)
+
+    @property
+    def category_count(self) -> int:
+        return sum(n for n, _ in self.sizes.values())
+
+    def save(self, spark, path: str) -> None:
+        """The category table, and all that is small as one JSON row."""
+        if self.categories is not None:
+            self.categories.write.mode("overwrite").parquet(f"{path}/categories")
+        small = {
+            "numeric_columns": self.numeric_columns, "categorical_columns": self.categorical_columns,
+            "numeric": self.numeric, "fill": self.fill, "sizes": self.sizes,
+        }
+        row = spark.createDataFrame([(json.dumps(small),)], "model string")
+        row.write.mode("overwrite").text(f"{path}/model")
+
+    @staticmethod
+    def load(spark, path: str) -> "ContextModel":
+        m = json.loads(spark.read.text(f"{path}/model").first()[0])
+        return ContextModel(
+            tuple(m["numeric_columns"]), tuple(m["categorical_columns"]), [tuple(x) for x in m["numeric"]],
+            m["fill"], spark.read.parquet(f"{path}/categories") if m["categorical_columns"] else None,
+            {c: tuple(x) for c, x in m["sizes"].items()},
+        )
+
+    def is_small(self, column: str) -> bool:
+        return self.sizes[column][1] <= BROADCAST_BYTES
 
 
 def _as_double(df: DataFrame, columns) -> list:
-    return [F.col(c).cast("double").alias(c) for c in columns]
+    return [number(c).alias(c) for c in columns]
 
 
 def _as_string(columns) -> list:
@@ -103,7 +129,7 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
             tiny = 10 * 2.220446049250313e-16 * max(abs(mean), 1.0)
             numeric.append((c, r["median"], mean, scale if scale > tiny else 1.0))
 
-    fill, categories, count, size = {}, None, 0, 0
+    fill, categories, sizes = {}, None, {}
     if categorical_columns:
         counted = (
             df.select(*_as_string(categorical_columns))
@@ -120,17 +146,17 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
             F.sum(F.octet_length("value") + F.octet_length("column")).alias("bytes"),
         ).collect()
         fill = {r["column"]: r["value"] for r in top}
-        count, size = sum(r["values"] for r in top), sum(r["bytes"] for r in top)
+        sizes = {r["column"]: (r["values"], r["bytes"]) for r in top}
         # the fill value is one of the observed values, so imputing adds none
         categories = categories.select("column", "value")
     return ContextModel(
-        tuple(numeric_columns), tuple(categorical_columns), numeric, fill, categories, count, size
+        tuple(numeric_columns), tuple(categorical_columns), numeric, fill, categories, sizes
     )
 
 
 def _numeric_values(model: ContextModel) -> dict:
     return {
-        c: (F.coalesce(F.col(c).cast("double"), F.lit(float(median))) - F.lit(float(mean)))
+        c: (F.coalesce(number(c), F.lit(float(median))) - F.lit(float(mean)))
         / F.lit(float(scale))
         for c, median, mean, scale in model.numeric
     }
@@ -147,26 +173,34 @@ def context_numeric(df: DataFrame, id_column: str, model: ContextModel) -> DataF
     return named.unpivot([id_column], [f"numeric__{c}" for c in values], "feature", "value")
 
 
-def _categorical_long(df: DataFrame, id_column: str, model: ContextModel) -> DataFrame:
-    kept = [c for c in model.categorical_columns if c in model.fill]
-    filled = [
-        F.coalesce(F.col(c).cast("string"), F.lit(model.fill[c])).alias(c) for c in kept
-    ]
-    return df.select(id_column, *filled).unpivot([id_column], kept, "column", "value")
+def _filled(column: str, model: ContextModel):
+    return F.coalesce(F.col(column).cast("string"), F.lit(model.fill[column]))
 
 
 def context_onehot(df: DataFrame, id_column: str, model: ContextModel) -> DataFrame:
-    """Long ``(id, feature, 1.0)`` rows; a category not seen in fitting has no row."""
-    long = _categorical_long(df, id_column, model)
-    categories = model.categories
-    if model.category_bytes <= BROADCAST_BYTES:
-        categories = F.broadcast(categories)
-    known = long.join(categories, ["column", "value"], "left_semi")
-    return known.select(
-        id_column,
-        F.concat(F.lit("categorical__"), "column", F.lit("_"), "value").alias("feature"),
-        F.lit(1.0).alias("value"),
-    )
+    """Long ``(id, feature, 1.0)`` rows; a category not seen in fitting has no row.
+
+    Columns with few categories meet a broadcast table, the others a shuffled one:
+    at most two passes over the rows.
+    """
+    fitted = [c for c in model.categorical_columns if c in model.fill]
+    groups = [[c for c in fitted if model.is_small(c) == small] for small in (True, False)]
+    out = None
+    for columns, small in zip(groups, (True, False)):
+        if not columns:
+            continue
+        long = df.select(id_column, *[_filled(c, model).alias(c) for c in columns]).unpivot(
+            [id_column], columns, "column", "value"
+        )
+        categories = model.categories.where(F.col("column").isin(columns))
+        seen = long.join(F.broadcast(categories) if small else categories, ["column", "value"], "left_semi")
+        rows = seen.select(
+            id_column,
+            F.concat(F.lit("categorical__"), "column", F.lit("_"), "value").alias("feature"),
+            F.lit(1.0).alias("value"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def transform_context(df: DataFrame, id_column: str, model: ContextModel) -> DataFrame:
@@ -184,17 +218,16 @@ def fit_context_features(df: DataFrame, id_column: str, **columns):
     return model, transform_context(df, id_column, model)
 
 
+def feature_count(model: ContextModel) -> int:
+    return len(model.numeric) + model.category_count
+
+
 def feature_names(model: ContextModel) -> list:
-    """Feature names in column order: numeric, then categories sorted per column."""
+    """Feature names in column order: numeric, then categories sorted per column. One
+    name per category comes to the driver; ``feature_count`` needs none."""
     names = [f"numeric__{c}" for c, *_ in model.numeric]
     if not model.fill:
         return names
-    width = len(names) + model.category_count
-    if width > MAX_DENSE_WIDTH:
-        raise ValueError(
-            f"{width} context features are too many for a dense vector; "
-            "use the long form (transform_context)"
-        )
     by_column: dict = {}
     for r in model.categories.collect():
         by_column.setdefault(r["column"], []).append(r["value"])
@@ -204,22 +237,46 @@ def feature_names(model: ContextModel) -> list:
     return names
 
 
-def context_vector(df: DataFrame, model: ContextModel, output="context_features") -> DataFrame:
-    """Dense ``array<float>`` in the order of ``feature_names``; row-local."""
+def context_sparse(df: DataFrame, model: ContextModel, output="context_sparse") -> DataFrame:
+    """Adds ``struct<size, indices, values>`` in the order of ``feature_names``.
+
+    Each category is looked up by a join on its column's table of indices, so neither the
+    plan nor the work of a row grows with the number of categories.
+    """
     values = _numeric_values(model)
-    parts = [values[c].cast("float") for c, *_ in model.numeric]
-    for name in feature_names(model)[len(parts):]:
-        column, value = _split_name(name, model)
-        filled = F.coalesce(F.col(column).cast("string"), F.lit(model.fill[column]))
-        parts.append((filled == F.lit(value)).cast("float"))
-    empty = F.array().cast("array<float>")
-    return df.withColumn(output, F.array(*parts) if parts else empty)
-
-
-def _split_name(name: str, model: ContextModel):
-    body = name[len("categorical__"):]
-    # the longest column name wins, as one column name may start another
-    for c in sorted(model.categorical_columns, key=len, reverse=True):
-        if body.startswith(f"{c}_"):
-            return c, body[len(c) + 1:]
-    raise KeyError(name)
+    numeric = [values[c].cast("float") for c, *_ in model.numeric]
+    fitted = [c for c in model.categorical_columns if c in model.fill]
+    order = Window.partitionBy("column").orderBy("value")
+    start, found = len(numeric), []
+    for c in fitted:
+        table = model.categories.where(F.col("column") == c).select(
+            F.col("value").alias(f"_value_{c}"),
+            (F.row_number().over(order) - 1 + start).alias(f"_index_{c}"),
+        )
+        start += model.sizes[c][0]
+        found.append(f"_index_{c}")
+        table = F.broadcast(table) if model.is_small(c) else table
+        df = df.join(table, _filled(c, model) == F.col(f"_value_{c}"), "left").drop(f"_value_{c}")
+    indices = F.array_compact(F.array(*[F.lit(i) for i in range(len(numeric))], *found).cast("array<int>"))
+    ones = F.transform(F.array_compact(F.array(*found).cast("array<int>")), lambda _: F.lit(1.0).cast("float"))
+    row = F.struct(
+        F.lit(start).alias("size"), indices.alias("indices"),
+        F.concat(F.array(*numeric).cast("array<float>"), ones).alias("values"),
+    )
+    return df.withColumn(output, row).drop(*found)
+
+
+def context_vector(df: DataFrame, model: ContextModel, output="context_features") -> DataFrame:
+    """Dense ``array<float>`` in the order of ``feature_names``, from the sparse form."""
+    sparse = computed_once(context_sparse(df, model, "_sparse"), {"_row": F.col("_sparse")}).drop("_sparse")
+    numeric = len(model.numeric)
+    hot = F.slice("_row.indices", numeric + 1, max(1, len(model.fill)))
+    zeros = F.when(
+        F.col("_row.size") > numeric,
+        F.transform(
+            F.sequence(F.lit(numeric), F.col("_row.size") - 1),
+            lambda i: F.array_contains(hot, i).cast("float"),
+        ),
+    ).otherwise(F.array().cast("array<float>"))
+    first = F.slice("_row.values", 1, numeric) if numeric else F.array().cast("array<float>")
+    return sparse.withColumn(output, F.concat(first, zeros)).drop("_row")

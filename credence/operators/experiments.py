@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.operators.classify import build_balanced_baseline, build_baseline
+from credence.operators.classify import DEFAULT_C, build_balanced_baseline, build_baseline
 from credence.operators.metrics import METRICS, binary_metrics, collapse, weighted_metrics
+from credence.operators.tfidf import MAX_FEATURES
 
+# ---- fixed values -----------------------------------------------------------
 WEIGHTED = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+PLAIN_NAME, WEIGHTED_NAME = "Unweighted", "Class weighted"
+FINAL_REPORT, MISSING_REPORT = "final_model_metrics", "missing_context_metrics"
+PARTS = ("validation", "test")
+# -----------------------------------------------------------------------------
 
 
 def metrics_long(metrics: DataFrame, names, by=()) -> DataFrame:
@@ -24,11 +30,14 @@ def model_comparison(predictions: DataFrame, **columns) -> DataFrame:
 
 
 def imbalance_predictions(split_df: DataFrame, *, id_column="id", text_column="text",
-                          label_column="label", max_features=5000, c=1.0, part="test") -> DataFrame:
+                          label_column="label", max_features=MAX_FEATURES, c=DEFAULT_C,
+                          parts=PARTS) -> DataFrame:
     """Plain and class-weighted baselines fitted on one training part (and one
-    vocabulary) and applied to the same held-out part."""
+    vocabulary) and applied to the same held-out rows, marked by ``part``."""
     train = split_df.where(F.col("split") == "train")
-    held_out = split_df.where(F.col("split") == part).select(id_column, text_column, label_column)
+    held_out = split_df.where(F.col("split").isin(*parts)).select(
+        F.col("split").alias("part"), id_column, text_column, label_column
+    )
     columns = dict(id_column=id_column, text_column=text_column, label_column=label_column)
     plain = build_baseline(max_features=max_features, c=c).fit(train, **columns)
     weighted = build_balanced_baseline(max_features=max_features, c=c).fit(
@@ -36,16 +45,19 @@ def imbalance_predictions(split_df: DataFrame, *, id_column="id", text_column="t
     )
     frames = [
         m.predict(held_out).select(
-            F.lit(name).alias("model"), id_column, label_column, "prediction", "score"
+            "part", F.lit(name).alias("model"), id_column, label_column, "prediction", "score"
         )
-        for name, m in (("Unweighted", plain), ("Class weighted", weighted))
+        for name, m in ((PLAIN_NAME, plain), (WEIGHTED_NAME, weighted))
     ]
     return frames[0].unionByName(frames[1])
 
 
 def imbalance_experiment(split_df: DataFrame, **options) -> DataFrame:
+    """Both models on validation and test, in the order the choice is made: by part, then model."""
     predictions = imbalance_predictions(split_df, **options)
-    return model_comparison(predictions, truth=options.get("label_column", "label"))
+    return binary_metrics(
+        predictions, truth=options.get("label_column", "label"), by=["part", "model"]
+    ).orderBy(F.desc("part"), F.desc("model"))
 
 
 def missing_context(predictions: DataFrame, mask="context_mask", **columns) -> DataFrame:
@@ -80,6 +92,22 @@ def compare_with_baseline(model_metrics: DataFrame, baseline_metrics: DataFrame)
     return ours.join(theirs, "metric", "left")
 
 
+def write_baseline_metrics(metrics: DataFrame, path: str) -> None:
+    """One row, one column per metric, as CSV."""
+    metrics.select(*[c for c in METRICS if c in metrics.columns]).coalesce(1).write.mode(
+        "overwrite"
+    ).option("header", True).csv(path)
+
+
+def read_baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """``(metric, value)`` of a file that ``write_baseline_metrics`` or another tool wrote."""
+    row = spark.read.option("header", True).csv(path)
+    names = [c for c in METRICS if c in row.columns]
+    if not names:
+        raise ValueError(f"no known metric among the columns {row.columns} of {path}")
+    return metrics_long(row.select(*[F.col(c).cast("double").alias(c) for c in names]), names)
+
+
 def zero_shot_metrics(scored_target: DataFrame, by=("dataset",), **columns) -> DataFrame:
     """Metrics of a source-trained model on target rows, per target dataset."""
     columns.setdefault("score", "score")
@@ -88,12 +116,5 @@ def zero_shot_metrics(scored_target: DataFrame, by=("dataset",), **columns) -> D
 
 def write_reports(final: DataFrame, missing: DataFrame, out_dir: str) -> None:
     """The two report tables as CSV."""
-    for frame, name in ((final, "final_model_metrics"), (missing, "missing_context_metrics")):
+    for frame, name in ((final, FINAL_REPORT), (missing, MISSING_REPORT)):
         frame.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out_dir}/{name}.csv")
-
-
-__all__ = [
-    "METRICS", "WEIGHTED", "compare_with_baseline", "final_metrics", "imbalance_experiment",
-    "imbalance_predictions", "metrics_long", "missing_context", "model_comparison",
-    "write_reports", "zero_shot_metrics",
-]

@@ -520,6 +520,7 @@ def train_fusion(
     spark = train.sparkSession
     columns = [*INPUTS, "label"] + (["domain_label"] if adversarial_lambda is not None else [])
     check_features(train, shape)
+    check_features(validation, shape)
     key = F.xxhash64(F.col(id_column).cast("string")).alias("_key")
     # read every epoch: one reliable copy, cached on executors where it fits
     train = materialize(train.select(*columns, key)).persist()

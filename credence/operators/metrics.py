@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from credence.functions.columns import join_by
 from credence.operators.prefix import running_sums
 from credence.schema import require_columns
 
@@ -77,20 +78,36 @@ def _with_totals(table: DataFrame, by) -> DataFrame:
         F.struct(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg")).alias("_all")
     )
     if by:
-        return table.join(totals, list(by))
+        return join_by(table, totals, by)
     return table.withColumn("_all", totals.scalar())
 
 
+def _share(part: str, whole: str) -> Column:
+    """Null where a group has no row of the class."""
+    return F.when(F.col(whole) > 0, F.col(part) / F.col(whole))
+
+
+def _both_classes(table: DataFrame, by, positive_label) -> DataFrame:
+    """A curve over all rows needs both classes; a group that lacks one gets null rates."""
+    if not by:
+        found = table.agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg")).first()
+        if not found["pos"] or not found["neg"]:
+            raise ValueError(
+                f"a curve needs both classes: {found['pos'] or 0} rows are {positive_label!r}, {found['neg'] or 0} are not"
+            )
+    return _with_totals(table, by)
+
+
 def roc_points(df, truth="label", score="score", positive_label=1, by=(), ranges=None) -> DataFrame:
     """``(threshold, fpr, tpr)`` at every distinct score, plus the origin, whose
     threshold is infinity."""
     by = list(by)
-    table = _with_totals(_score_table(df, truth, score, positive_label, by, ranges=ranges), by)
+    table = _both_classes(_score_table(df, truth, score, positive_label, by, ranges=ranges), by, positive_label)
     points = table.select(
         *by,
         F.col(score).cast("double").alias("threshold"),
-        (F.col("_cum_neg") / F.col("_all.neg")).alias("fpr"),
-        (F.col("_cum_pos") / F.col("_all.pos")).alias("tpr"),
+        _share("_cum_neg", "_all.neg").alias("fpr"),
+        _share("_cum_pos", "_all.pos").alias("tpr"),
     )
     zero = F.lit(0.0)
     if by:
@@ -107,12 +124,12 @@ def pr_points(df, truth="label", score="score", positive_label=1, by=(), ranges=
     """``(threshold, precision, recall)`` at every distinct score, plus the end
     point (1, 0), which has no threshold."""
     by = list(by)
-    table = _with_totals(_score_table(df, truth, score, positive_label, by, ranges=ranges), by)
+    table = _both_classes(_score_table(df, truth, score, positive_label, by, ranges=ranges), by, positive_label)
     points = table.select(
         *by,
         F.col(score).cast("double").alias("threshold"),
         (F.col("_cum_pos") / (F.col("_cum_pos") + F.col("_cum_neg"))).alias("precision"),
-        (F.col("_cum_pos") / F.col("_all.pos")).alias("recall"),
+        _share("_cum_pos", "_all.pos").alias("recall"),
     )
     origin = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
     end = origin.select(
@@ -220,7 +237,7 @@ def weighted_metrics(
     if score is None:
         return out
     auc = roc_auc(df, truth, score, positive_label, by, ranges)
-    return out.join(auc, by, "left") if by else out.withColumn("roc_auc", auc.scalar())
+    return join_by(out, auc, by, "left") if by else out.withColumn("roc_auc", auc.scalar())
 
 
 def class_report(df, truth="label", pred="prediction", by=()) -> DataFrame:

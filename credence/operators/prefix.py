@@ -8,14 +8,22 @@ the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MAX_RANGES = 1024
+from credence.functions.columns import join_by
 
 
 def _range_count(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(MAX_RANGES, configured))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _range_of(value: str, ranges: int) -> Column:
+    """How many of the sorted ``_bounds`` lie below the value: first among every k-th
+    bound, then among the k that follow, so a row looks at about two roots of them."""
+    k = max(1, int(ranges**0.5))
+    coarse = F.size(F.filter("_coarse", lambda b: b < F.col(value)))
+    fine = F.slice("_bounds", coarse * k + 1, k)
+    return coarse * k + F.size(F.filter(fine, lambda b: b < F.col(value)))
 
 
 def running_sums(
@@ -24,16 +32,17 @@ def running_sums(
     """Add inclusive running sums in the order of ``value``.
 
     ``df`` has one row per ``(by, value)``; ``sums`` maps a new column to the
-    column it accumulates. Group columns must not be null.
+    column it accumulates. A null group is a group like any other.
     """
     by = list(by)
     ranges = ranges or _range_count(df)
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         bounds = df.agg(F.percentile_approx(value, shares, 10000)).scalar()
+        k = max(1, int(ranges**0.5))
         df = df.withColumn("_bounds", bounds).withColumn(
-            "_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-        ).drop("_bounds")
+            "_coarse", F.filter("_bounds", lambda _, i: i % k == k - 1)
+        ).withColumn("_range", _range_of(value, ranges)).drop("_bounds", "_coarse")
     else:
         df = df.withColumn("_range", F.lit(0))
 
@@ -56,7 +65,7 @@ def running_sums(
         ],
     )
     local = df.withColumns({f"_local_{out}": F.sum(c).over(inside) for out, c in sums.items()})
-    joined = local.join(offsets, [*by, "_range"])
+    joined = join_by(local, offsets, [*by, "_range"])
     return joined.select(
         *[c for c in df.columns if c != "_range"],
         *[(F.col(f"_local_{out}") + F.col(f"_offset_{out}")).alias(out) for out in sums],
@@ -74,7 +83,7 @@ def quantiles(df: DataFrame, value: str, probs: dict, by=(), ranges: int | None
     ranked = running_sums(counted, value, {"_upto": "_n"}, by, ranges=ranges)
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
-        ranked = ranked.join(sizes, by)
+        ranked = join_by(ranked, sizes, by)
     else:
         ranked = ranked.withColumn("_size", sizes.scalar())
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from credence.functions.columns import join_by, known
 from credence.functions.text import is_blank
 from credence.operators.prefix import quantiles
 from credence.schema import COUNT_COLUMNS, FLAG_COLUMNS, STANDARD_COLUMNS
@@ -22,13 +23,14 @@ def _long(row: DataFrame, columns, names, by=()) -> DataFrame:
 
 
 def profile_missing(df: DataFrame, columns=STANDARD_COLUMNS) -> DataFrame:
-    """Missing count and percent (2 places) per column, in one scan."""
+    """Missing count (null or NaN) and percent (2 places) per column, in one scan; an
+    empty table has no percent. Columns stand in their order in the table."""
     counts = df.agg(
-        F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+        F.count("*").alias("_rows"), *[F.count_if(~known(df, c)).alias(c) for c in columns]
     )
     long = counts.unpivot(["_rows"], list(columns), "column", "missing")
     return long.select(
-        "column", "missing", F.round(F.col("missing") / F.col("_rows") * 100, 2).alias("pct")
+        "column", "missing", F.round(F.try_divide(F.col("missing"), F.col("_rows")) * 100, 2).alias("pct")
     )
 
 
@@ -59,7 +61,7 @@ def profile_labels(df: DataFrame, label="label", by=()) -> DataFrame:
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     if by:
         # a few rows per group: labels of a standard table are 0, 1 or null
-        counts = counts.join(df.groupBy(*by).agg(F.count("*").alias("_rows")), list(by))
+        counts = join_by(counts, df.groupBy(*by).agg(F.count("*").alias("_rows")), by)
     else:
         counts = counts.withColumn("_rows", df.agg(F.count("*")).scalar())
     return counts.select(*by, label, "n", F.round(F.col("n") / F.col("_rows") * 100, 2).alias("pct"))
@@ -74,37 +76,46 @@ def profile_context(df: DataFrame, flags=FLAG_COLUMNS, by=(), digits=3) -> DataF
 
 
 def inspect_dataframe(df: DataFrame, name="") -> DataFrame:
-    """The whole profile as long ``(name, section, key, value)`` rows."""
+    """The whole profile as long ``(name, section, key, value)`` rows, in four passes: one
+    aggregate for all scalars, one for the labels, one each for repeated ids and texts."""
     types = [(c, t) for c, t in df.dtypes if c in STANDARD_COLUMNS]
-    columns = [c for c, _ in types]
-    missing = profile_missing(df, columns)
-    labels = profile_labels(df)
-    label_key = F.coalesce(F.col("label").cast("string"), F.lit("null"))
-    dtypes = df.sparkSession.createDataFrame(
-        [("dtypes", c, t) for c, t in types] + [("shape", "columns", str(len(columns)))],
-        "section string, key string, value string",
+    fixed = [("dtypes", c, t) for c, t in types] + [("shape", "columns", str(len(types)))]
+    blank = F.coalesce(is_blank("text"), F.lit(True))
+    digest = F.unhex(F.sha2(F.col("text"), 256))
+    total = F.count("*")
+    string = lambda v: v.cast("string")
+    cells = [("rows", "rows", string(total)), ("rows", "blank_texts", string(F.count_if(blank)))]
+    for c, _ in types:
+        missing = F.count_if(~known(df, c))
+        cells.append(("missing", c, string(missing)))
+        cells.append(("missing_pct", c, string(F.round(F.try_divide(missing, total) * 100, 2))))
+    for c in FLAG_COLUMNS:
+        cells.append(("context_available", c, string(F.round(F.avg(F.col(c).cast("double")), 3))))
+    labels = df.groupBy("label").agg(total.alias("n"))
+    # two or three labels: the list is as short as the label set
+    listed = labels.agg(F.sort_array(F.collect_list(F.struct("label", "n"))).alias("l"), F.sum("n").alias("rows"))
+    shown = lambda x: F.coalesce(string(x["label"]), F.lit("null"))
+    entry = lambda section, key, value: F.struct(
+        F.lit(section).alias("section"), key.alias("key"), value.alias("value")
     )
-
-    def part(frame, section, key, value):
-        return frame.select(
-            F.lit(section).alias("section"), key.alias("key"), value.cast("string").alias("value")
+    of_labels = listed.select(
+        F.explode(
+            F.concat(
+                F.transform("l", lambda x: entry("label_counts", shown(x), string(x["n"]))),
+                F.transform("l", lambda x: entry("label_pct", shown(x), string(F.round(x["n"] / F.col("rows") * 100, 2)))),
+            )
+        ).alias("e")
+    ).select("e.*")
+    scalars = df.agg(F.array(*[entry(s, F.lit(k), v) for s, k, v in cells]).alias("e")).select(F.inline("e"))
+    repeats = [
+        _repeats(rows, key).select(F.lit("rows").alias("section"), F.lit(k).alias("key"), string(F.col("repeats")).alias("value"))
+        for k, rows, key in (
+            ("duplicate_ids", df, F.col("id")), ("duplicate_texts", df.where(~blank), digest)
         )
-
-    scalars = profile_duplicates(df)
-    parts = [
-        dtypes,
-        part(missing, "missing", F.col("column"), F.col("missing")),
-        part(missing, "missing_pct", F.col("column"), F.col("pct")),
-        part(labels, "label_counts", label_key, F.col("n")),
-        part(labels, "label_pct", label_key, F.col("pct")),
-        part(profile_context(df), "context_available", F.col("flag"), F.col("share")),
-        part(
-            _long(scalars, scalars.columns, ("k", "v")), "rows", F.col("k"), F.col("v")
-        ),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = df.sparkSession.createDataFrame(fixed, "section string, key string, value string")
+    for part in (scalars, of_labels, *repeats):
+        out = out.unionByName(part)
     return out.select(F.lit(name).alias("name"), "*")
 
 
@@ -113,7 +124,7 @@ def class_distribution(df: DataFrame, by=("dataset",), label="label") -> DataFra
     by = list(by)
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     rows = counts.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    return counts.join(rows, by).select(*by, label, "n", (F.col("n") / F.col("_rows")).alias("share"))
+    return join_by(counts, rows, by).select(*by, label, "n", (F.col("n") / F.col("_rows")).alias("share"))
 
 
 def split_label_pivot(df: DataFrame, labels=(0, 1)) -> DataFrame:
@@ -138,50 +149,53 @@ def describe_by_label(df: DataFrame, columns=("text_len", "word_count"), by=("la
         F.max("value").alias("max"),
     )
     quartiles = quantiles(long, "value", {"q25": 0.25, "q50": 0.50, "q75": 0.75}, keys)
-    return moments.join(quartiles, keys)
+    return join_by(moments, quartiles, keys)
 
 
-def clip_tail(df: DataFrame, value: str, share=CLIP_SHARE) -> DataFrame:
-    """Rows up to the given quantile of ``value`` (linear interpolation)."""
-    cut = quantiles(df, value, {"_cut": share})
+def clip_tail(df: DataFrame, value: str, share=CLIP_SHARE, by=()) -> DataFrame:
+    """Rows up to the given quantile of ``value`` (linear interpolation), of the whole
+    table or of each group."""
+    cut = quantiles(df, value, {"_cut": share}, by)
+    if by:
+        return join_by(df, cut, by).where(F.col(value) <= F.col("_cut")).drop("_cut")
     return df.where(F.col(value) <= cut.scalar())
 
 
-def histogram(df: DataFrame, value: str, bins: int, by=()) -> DataFrame:
-    """Equal-width bins over the shared range, last bin closed, counted per group."""
-    known = df.where(F.col(value).isNotNull())
-    low = known.agg(F.min(value).cast("double")).scalar()
-    high = known.agg(F.max(value).cast("double")).scalar()
-    x = F.col(value).cast("double")
-    width = F.col("_high") - F.col("_low")
-    index = F.least(F.floor((x - F.col("_low")) / width * bins), F.lit(bins - 1))
-    return (
-        known.withColumns({"_low": low, "_high": high})
-        .withColumn("bin", F.when(width > 0, index).otherwise(F.lit(0)).cast("int"))
-        .groupBy(*by, "bin")
-        .agg(F.count("*").alias("n"))
-    )
+def histogram(df: DataFrame, value: str, bins: int, by=(), range_by=()) -> DataFrame:
+    """Equal-width bins, last bin closed, counted per group.
 
+    The range is that of the whole table, or of each ``range_by`` group. A range of one
+    value is widened by a half on either side.
+    """
+    by = list(by)
+    rows = df.where(known(df, value)).withColumn("_x", F.col(value).cast("double"))
+    span = rows.groupBy(*range_by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    flat = F.col("_high") == F.col("_low")
+    span = span.withColumns(
+        {
+            "_from": F.when(flat, F.col("_low") - 0.5).otherwise(F.col("_low")),
+            "_width": F.when(flat, F.lit(1.0)).otherwise(F.col("_high") - F.col("_low")),
+        }
+    ).drop("_low", "_high")
+    if range_by:
+        rows = join_by(rows, span, range_by)
+    else:
+        rows = rows.withColumn("_span", span.select(F.struct("_from", "_width")).scalar()).select("*", "_span.*")
+    index = F.least(F.floor((F.col("_x") - F.col("_from")) / F.col("_width") * bins), F.lit(bins - 1))
+    return rows.withColumn("bin", index.cast("int")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
 
-def hist_by_label(df: DataFrame, column: str, bins=HISTOGRAM_BINS, share=CLIP_SHARE) -> DataFrame:
-    return histogram(clip_tail(df, column, share), column, bins, by=["label"])
+
+def hist_by_label(df: DataFrame, column: str, bins=HISTOGRAM_BINS, share=CLIP_SHARE, by=()) -> DataFrame:
+    """Per label (and ``by``), over the clipped range of the table (or of each ``by`` group)."""
+    return histogram(clip_tail(df, column, share, by), column, bins, [*by, "label"], by)
 
 
 def hist_engagement(df: DataFrame, columns=COUNT_COLUMNS, bins=HISTOGRAM_BINS) -> DataFrame:
-    """Histogram of ``log1p`` of each non-null count, over rows with engagement;
-    a column without any value gives no rows."""
+    """Histogram of ``log1p`` of each non-null count on its own range, over rows with
+    engagement; a column without any value gives no rows."""
     rows = df.where("has_engagement").select(*columns).unpivot([], list(columns), "column", "value")
-    logs = rows.where("value is not null").select("column", F.log1p("value").alias("x"))
-    span = logs.groupBy("column").agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    index = F.least(F.floor((F.col("x") - F.col("_low")) / width * bins), F.lit(bins - 1))
-    return (
-        # one row per count column, so the small side has a known size
-        logs.join(F.broadcast(span), "column")
-        .withColumn("bin", F.when(width > 0, index).otherwise(F.lit(0)).cast("int"))
-        .groupBy("column", "bin")
-        .agg(F.count("*").alias("n"))
-    )
+    logs = rows.select("column", F.log1p("value").alias("x"))
+    return histogram(logs, "x", bins, by=["column"], range_by=["column"])
 
 
 def mask_counts(df: DataFrame, mask="context_available") -> DataFrame:
@@ -206,7 +220,8 @@ def gate_stats(df: DataFrame, gate="gate", mask="context_mask") -> DataFrame:
 
 
 def gate_hist(df: DataFrame, gate="gate", mask="context_mask", bins=GATE_BINS) -> DataFrame:
-    return histogram(df, gate, bins, by=[mask])
+    """Each mask value on its own range."""
+    return histogram(df, gate, bins, by=[mask], range_by=[mask])
 
 
 def preview(df: DataFrame, n=5, order="_ord") -> DataFrame:

@@ -5,7 +5,8 @@ Rows are ranked inside a class by ``md5(id:seed)``. The set taken from a class i
 threshold hash per class and cut. Thresholds come from a histogram of hash
 prefixes (one aggregation, a fixed number of result rows) and from the rows of
 the few histogram cells a threshold falls into; tagging is then row-local.
-Ids must be unique, as they are after de-duplication.
+Ids must be unique, as they are after de-duplication: where a repeated id sits on a
+threshold no cut has the wanted size, and that raises.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from credence.functions.text import is_blank
 from credence.schema import require_columns
 
-PREFIX_HEX_DIGITS = 3  # 4,096 histogram cells per class
+PREFIX_HEX_DIGITS = 4  # 65,536 histogram cells per class
 
 
 @dataclass(frozen=True)
@@ -121,10 +122,15 @@ class _HashOrder:
                 here = here & (F.col("_label") == stratum)
             in_cells = in_cells | here
             at_offset = at_offset | (here & (F.col("_rank") == offset))
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))
+        window = Window.partitionBy(*group).orderBy("_hash")
+        ranked = self.keys.where(in_cells).withColumns(
+            {"_rank": F.row_number().over(window), "_next": F.lead("_hash").over(window)}
+        )
+        at_cut = ranked.where(at_offset).collect()
+        if any(r["_hash"] == r["_next"] for r in at_cut):
+            raise ValueError("a repeated id stands where a cut has to fall; make the ids unique first")
         found = {
-            (r["_label"] if by_class else None, r["_cell"], r["_rank"]): r["_hash"]
-            for r in self.keys.where(in_cells).withColumn("_rank", rank).where(at_offset).collect()
+            (r["_label"] if by_class else None, r["_cell"], r["_rank"]): r["_hash"] for r in at_cut
         }
         return {(s, k): found[(s, cell, offset)] for s, k, cell, offset in wanted}
 
@@ -213,18 +219,18 @@ def split_labeled_data(
     Raises when the contract is broken or a class cannot be spread over all three
     parts. A part is ``where("split = 'train'")``.
     """
-    if not text_column or not label_column or text_column == label_column:
-        raise ValueError("text_column and label_column must be two different names")
+    if len({text_column, label_column, id_column}) < 3:
+        raise ValueError(f"one column named twice among {[id_column, text_column, label_column]}")
     require_columns(df, [text_column, label_column, id_column])
-    if not 0 < test_size < 1 or not 0 < validation_size < 1 - test_size:
-        raise ValueError("test and validation shares must be positive and leave some training")
-    checks = contract_checks(df, text_column, label_column).first()
-    if checks["null_text"] or checks["null_label"]:
-        raise ValueError(f"null text or label: {checks.asDict()}")
-    if checks["blank_text"]:
-        raise ValueError(f"blank text: {checks.asDict()}")
-    if checks["label_values"] != 2:
-        raise ValueError(f"exactly two labels are needed: {checks.asDict()}")
+    shares = {"train": 1 - test_size - validation_size, "validation": validation_size, "test": test_size}
+    if min(shares.values()) <= 0:
+        raise ValueError(f"every part needs a share above 0: {shares}")
+    counted = contract_checks(df, text_column, label_column).first().asDict()
+    broken = {k: v for k, v in counted.items() if k.startswith(("null_", "blank_")) and v}
+    if counted["label_values"] != 2:
+        broken["label_values"] = counted["label_values"]
+    if broken:
+        raise ValueError(f"the table breaks the split contract in {sorted(broken)}; counted {counted}")
 
     def strict(counts):
         if min(counts.values()) < 2:
@@ -235,5 +241,5 @@ def split_labeled_data(
     plan = _plan(df, id_column, label_column, random_state, sizes, strict)
     for name, thresholds in plan.cuts:
         if len(thresholds) < 2:
-            raise ValueError(f"the {name} split lacks a class; use more rows or larger splits")
+            raise ValueError(f"{name} would hold {len(thresholds)} of 2 classes, with cuts {plan.sizes}")
     return plan.apply(df)

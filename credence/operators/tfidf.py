@@ -29,9 +29,6 @@ MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 2)
 # -----------------------------------------------------------------------------
 
-# largest vocabulary that is collected and broadcast
-MAX_COLLECTED_TERMS = 1_000_000
-
 
 def with_grams(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
     """Adds ``_grams``: all n-grams; adjacent kept tokens are joined by one space."""
@@ -103,6 +100,25 @@ class TfidfModel:
         )
         return spark.createDataFrame(rows, "term string, idx int, tf long, df long, idf double")
 
+    def save(self, spark, path: str) -> None:
+        """The vocabulary and, beside it, the settings, as Parquet."""
+        self.vocabulary(spark).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        low, high = self.ngram_range
+        spark.createDataFrame(
+            [(self.n_documents, low, high, self.sublinear_tf)],
+            "n_documents long, low int, high int, sublinear_tf boolean",
+        ).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(spark, path: str) -> "TfidfModel":
+        s = spark.read.parquet(f"{path}/settings").first()
+        rows = spark.read.parquet(f"{path}/vocabulary").orderBy("idx").collect()
+        column = lambda name: [r[name] for r in rows]
+        return TfidfModel(
+            column("term"), column("idf"), column("df"), column("tf"), s["n_documents"],
+            (s["low"], s["high"]), s["sublinear_tf"],
+        )
+
 
 def fit_vocabulary(
     df: DataFrame,
@@ -136,10 +152,11 @@ def fit_tfidf(
     min_df=1,
     sublinear_tf=True,
 ) -> TfidfModel:
-    """Fit on the training frame only; the driver receives the vocabulary rows, so
-    their number is limited. Beyond it, use ``fit_vocabulary`` with ``weigh_terms``."""
-    if not 1 <= max_features <= MAX_COLLECTED_TERMS:
-        raise ValueError(f"max_features must be between 1 and {MAX_COLLECTED_TERMS}")
+    """Fit on the training frame only. The driver and every executor hold the
+    ``max_features`` rows; where they should not, ``fit_vocabulary`` with
+    ``weigh_terms`` gives the same weights from a joined table."""
+    if max_features < 1:
+        raise ValueError(f"max_features={max_features!r} keeps no term")
     kept, n = fit_vocabulary(
         df, text_column, max_features=max_features, ngram_range=ngram_range, min_df=min_df
     )
@@ -224,34 +241,28 @@ def weigh_terms(
 
 
 @F.pandas_udf(VectorUDT())
-def _unit_vector(width: pd.Series, indices: pd.Series, raw: pd.Series, sign: pd.Series) -> pd.DataFrame:
-    """L2-normalised sparse vectors. A non-null ``sign`` appends a column of ones
-    after the vocabulary and scales the whole row by it."""
-    unit = [w / np.sqrt(w @ w) if len(w) else w for w in raw]
-    with_bias = sign.notna()
-    return pd.DataFrame(
-        {
-            "type": np.zeros(len(width), dtype="int8"),
-            "size": (width + with_bias).astype("int32"),
-            "indices": [
-                np.append(i, n).astype("int32") if b else i
-                for i, n, b in zip(indices, width, with_bias)
-            ],
-            "values": [
-                np.append(w, 1.0) * s if b else w for w, s, b in zip(unit, sign, with_bias)
-            ],
-        }
-    )
+def _as_vector(size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+    """Columns as the struct behind a sparse vector; nothing is computed here."""
+    kind = np.zeros(len(size), dtype="int8")
+    return pd.DataFrame({"type": kind, "size": size, "indices": indices, "values": values})
 
 
 def tfidf_vectors(
     df: DataFrame, text_column: str, model: TfidfModel, output="features", sign: Column | None = None
 ) -> DataFrame:
-    """Sparse ML vectors; with ``sign`` each row gets a bias column and that factor."""
+    """L2-normalised sparse ML vectors. With ``sign`` a column of ones follows the
+    vocabulary, and the whole row is multiplied by the sign."""
     weighted = _weights(df, text_column, model)
-    sign = F.lit(None) if sign is None else sign
-    vector = _unit_vector(F.lit(len(model.terms)), "_indices", "_raw", sign.cast("double"))
-    return weighted.withColumn(output, vector).drop("_indices", "_raw")
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
+    weighted = computed_once(weighted, {"_norm": norm})
+    size, indices = F.lit(len(model.terms)), F.col("_indices")
+    values = F.transform("_raw", lambda w: w / F.col("_norm"))
+    if sign is not None:
+        indices = F.concat(indices, F.array(size))
+        size, factor = size + 1, sign.cast("double")
+        values = F.concat(F.transform(values, lambda w: w * factor), F.array(factor))
+    vector = _as_vector(size.cast("int"), indices, values)
+    return weighted.withColumn(output, vector).drop("_indices", "_raw", "_norm")
 
 
 def extract_text_statistics(df: DataFrame, text_column: str) -> DataFrame:

@@ -68,14 +68,14 @@ std AS (
 ALL = f"""{STD},
 everything AS (
   SELECT id, dataset, subset, title, text, label, label_raw, source, n_tweets, n_replies,
-    n_retweets, has_source, has_engagement, has_network, split FROM std
+    n_retweets, has_source, has_engagement, has_network, split, ord FROM std
   UNION ALL
   SELECT 'page_' || page_id, 'pages', 'web', regexp_extract(html, '<title>([^<]*)</title>', 1),
     html, CAST(page_id % 2 AS INTEGER), CAST(page_id % 2 AS VARCHAR), {_domain('url')},
-    NULL, NULL, NULL, coalesce(NOT {_blank(_domain('url'))}, FALSE), FALSE, FALSE, NULL FROM pages
+    NULL, NULL, NULL, coalesce(NOT {_blank(_domain('url'))}, FALSE), FALSE, FALSE, NULL, page_id FROM pages
   UNION ALL
   SELECT 'claim_' || item_id, 'benchmark', 'claim', text, text, CAST(item_id % 2 AS INTEGER),
-    CAST(item_id % 2 AS VARCHAR), NULL, NULL, NULL, NULL, FALSE, FALSE, FALSE, NULL FROM benchmark)"""
+    CAST(item_id % 2 AS VARCHAR), NULL, NULL, NULL, NULL, FALSE, FALSE, FALSE, NULL, item_id FROM benchmark)"""
 
 CLEANED = f"""{STD},
 clean0 AS (
@@ -105,6 +105,17 @@ processed AS (
     row_number() OVER (PARTITION BY label ORDER BY md5(id || ':42')) AS pos FROM kept)"""
 
 
+PROCESSED_ALL = f"""{ALL},
+all0 AS (
+  SELECT *, {_clean('title')} AS head, {_clean('text')} AS body FROM everything WHERE label IS NOT NULL),
+all1 AS (SELECT * EXCLUDE (text), CASE WHEN body = '' THEN head ELSE body END AS text FROM all0),
+all2 AS (SELECT * FROM all1 WHERE {_count('text', f'[^{WS}]+')} >= 5),
+all3 AS (SELECT * FROM all2 QUALIFY row_number() OVER (PARTITION BY dataset, id ORDER BY ord) = 1),
+processed AS (
+  SELECT *, CAST(length(text) AS INTEGER) AS text_len, CAST({_count('text', f'[^{WS}]+')} AS INTEGER) AS word_count
+  FROM all3 QUALIFY row_number() OVER (PARTITION BY dataset, lower(text) ORDER BY ord) = 1)"""
+
+
 def _quota(name: str, counts: str, n_out: str) -> str:
     """Held-out quota per label: the larger side first, then the held-out side, both
     by floor and largest remainder (ties to the smaller label)."""
@@ -309,20 +320,20 @@ cx AS (
 tx AS (SELECT id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM chosen)"""
 
 
-def _w(layer: int, i: str, j: str) -> str:
-    return f"((({i}) * 7 + ({j}) * 13 + {layer * 5}) % 11 - 5) / 10.0::DOUBLE"
+def _w(layer: int, i: str, j: str, fan_in: str) -> str:
+    return f"((({i}) * 7 + ({j}) * 13 + {layer * 5}) % 11 - 5) / (10.0::DOUBLE * sqrt({fan_in}))"
 
 
 def _layer(name: str, source: str, layer: int, out: int, fan_in: str, relu=True) -> str:
     """``name``: (id, i, v) = source (id, i, v) through one linear layer."""
-    z = f"sum(s.v * ({_w(layer, 's.i', 'o.j')})) + {_w(layer, f'max({fan_in})', 'o.j')}"
+    z = f"sum(s.v * ({_w(layer, 's.i', 'o.j', fan_in)})) + {_w(layer, f'max({fan_in})', 'o.j', f'max({fan_in})')}"
     value = f"greatest(0.0, {z})" if relu else z
     return f"""{name} AS (
   SELECT s.id, o.j AS i, {value} AS v FROM {source} s CROSS JOIN (SELECT unnest(range(0, {out})) AS j) o
   CROSS JOIN width GROUP BY s.id, o.j)"""
 
 
-HIDDEN, DOMAIN_HIDDEN = 4, 3
+HIDDEN, DOMAIN_HIDDEN = 128, 64
 SCORED = f"""{FUSION},
 mx AS (SELECT id, i, v * context_mask AS v FROM cx),
 {_layer('ht', 'tx', 0, HIDDEN, '64')},
@@ -347,11 +358,12 @@ out AS (
   JOIN dz ON dz.id = g.id)"""
 
 
-def _hist(source: str, x: str, bins: int, by: str, where="TRUE") -> str:
-    return f"""SELECT {by}, CAST(CASE WHEN hi > lo THEN least(floor(({x} - lo) / (hi - lo) * {bins}), {bins - 1})
-    ELSE 0 END AS INTEGER) AS bin, count(*) AS n
-FROM {source}, (SELECT CAST(min({x}) AS DOUBLE) AS lo, CAST(max({x}) AS DOUBLE) AS hi FROM {source} WHERE {where})
-WHERE {where} GROUP BY ALL"""
+def _hist(source: str, x: str, bins: int, by: str, range_by="") -> str:
+    over = f"PARTITION BY {range_by}" if range_by else ""
+    return f"""SELECT {by}, CAST(least(floor(({x} - lo) / width * {bins}), {bins - 1}) AS INTEGER) AS bin, count(*) AS n
+FROM (SELECT *, CASE WHEN hi > low THEN low ELSE low - 0.5 END AS lo, CASE WHEN hi > low THEN hi - low ELSE 1 END AS width
+  FROM (SELECT *, CAST(min({x}) OVER ({over}) AS DOUBLE) AS low, CAST(max({x}) OVER ({over}) AS DOUBLE) AS hi FROM {source}))
+GROUP BY ALL"""
 
 
 STANDARD = [
@@ -425,12 +437,12 @@ def _inspect() -> str:
     )
 
 
-def _describe() -> str:
+def _describe(by="label") -> str:
     def one(c):
-        return f"""SELECT label, '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
+        return f"""SELECT {by}, '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
   round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS q50,
-  round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM processed GROUP BY label"""
+  round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM processed GROUP BY {by}"""
 
     return one("text_len") + "\nUNION ALL " + one("word_count")
 
@@ -446,12 +458,10 @@ def _flag_shares(source: str, by: str) -> str:
 
 def _engagement_hist() -> str:
     logs = " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", ln(1 + {c}) AS x FROM std WHERE {c} IS NOT NULL"
+        f"SELECT '{c}' AS \"column\", ln(1 + {c}) AS x FROM processed WHERE dataset = 'documents' AND has_engagement AND {c} IS NOT NULL"
         for c in ("n_tweets", "n_replies", "n_retweets")
     )
-    return f"""SELECT "column", CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 40), 39) ELSE 0 END AS INTEGER) AS bin,
-  count(*) AS n FROM (SELECT *, min(x) OVER (PARTITION BY "column") AS lo, max(x) OVER (PARTITION BY "column") AS hi
-  FROM ({logs})) GROUP BY ALL"""
+    return _hist(f"({logs})", "x", 40, '"column"', '"column"')
 
 
 def _review_rows() -> str:
@@ -552,10 +562,10 @@ FROM splitted GROUP BY split""",
     "inspect": _inspect(),
     "profile_context": _with(STD, select=_flag_shares("std", "")),
     "class_distribution": _with(
-        ALL,
+        PROCESSED_ALL,
         select="""SELECT dataset, label, count(*) AS n,
   round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY dataset) AS DOUBLE), 6) AS share
-FROM everything GROUP BY dataset, label""",
+FROM processed GROUP BY dataset, label""",
     ),
     "describe_by_label": _with(PROCESSED, select=_describe()),
     "clip_p99": _with(
@@ -569,8 +579,15 @@ WHERE word_count <= (SELECT quantile_cont(word_count::DOUBLE, 0.99) FROM process
   WHERE text_len <= (SELECT quantile_cont(text_len::DOUBLE, 0.99) FROM processed))""",
         select=_hist("clipped", "text_len", 40, "label"),
     ),
-    "hist_engagement": _with(STD, select=_engagement_hist()),
-    "context_availability": _with(ALL, select=_flag_shares("everything", "dataset")),
+    "hist_engagement": _with(PROCESSED_ALL, select=_engagement_hist()),
+    "context_availability": _with(PROCESSED_ALL, select=_flag_shares("processed", "dataset")),
+    "describe_by_dataset": _with(PROCESSED_ALL, select=_describe("dataset, label")),
+    "hist_by_dataset": _with(
+        PROCESSED_ALL,
+        """cuts AS (SELECT dataset, quantile_cont(word_count::DOUBLE, 0.99) AS cut FROM processed GROUP BY dataset)""",
+        "clipped AS (SELECT p.* FROM processed p JOIN cuts USING (dataset) WHERE word_count <= cut)",
+        select=_hist("clipped", "word_count", 40, "dataset, label", "dataset"),
+    ),
     "mask_counts": _with(
         STD,
         select="""SELECT CAST(has_engagement AS INTEGER) AS context_available, count(*) AS n,
@@ -597,6 +614,10 @@ WHERE word_count <= (SELECT quantile_cont(word_count::DOUBLE, 0.99) FROM process
         DOC_TERMS, _vocab("documents"), _weights("terms", "doc_id"),
         select="SELECT doc_id, idx, term, weight FROM weights",
     ),
+    "tfidf_joined": _with(
+        DOC_TERMS, _vocab("documents"), _weights("terms", "doc_id"),
+        select="SELECT doc_id, term, weight FROM weights",
+    ),
     "tfidf_transform": _with(
         TRAIN_TERMS, _tokens("train", "id", "text"), _vocab("train"),
         _tokens("(SELECT * FROM splitted WHERE split = 'test')", "id", "text")
@@ -696,8 +717,8 @@ FROM long a JOIN long b ON b.metric = a.metric WHERE a.context_mask = 1 AND b.co
         .replace("areas AS", "areas_b AS").replace("JOIN areas", "JOIN areas_b"),
         "ours AS (UNPIVOT (SELECT accuracy, precision, recall, f1, roc_auc FROM wm) "
         "ON accuracy, precision, recall, f1, roc_auc INTO NAME metric VALUE value)",
-        "base AS (UNPIVOT (SELECT accuracy, precision, f1, average_precision FROM bm) "
-        "ON accuracy, precision, f1, average_precision INTO NAME metric VALUE value)",
+        "base AS (UNPIVOT (SELECT accuracy, precision, recall, f1, roc_auc, average_precision FROM bm) "
+        "ON accuracy, precision, recall, f1, roc_auc, average_precision INTO NAME metric VALUE value)",
         select="SELECT ours.metric, ours.value AS model, base.value AS baseline FROM ours LEFT JOIN base ON base.metric = ours.metric",
     ),
     "gated_scores": _with(
@@ -713,7 +734,7 @@ FROM long a JOIN long b ON b.metric = a.metric WHERE a.context_mask = 1 AND b.co
     "gate_hist": _with(
         SCORED,
         "rounded AS (SELECT context_mask, round(gate, 6) AS gate FROM out)",
-        select=_hist("rounded", "gate", 30, "context_mask"),
+        select=_hist("rounded", "gate", 30, "context_mask", "context_mask"),
     ),
     "feature_contract": _with(
         FUSION,

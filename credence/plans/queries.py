@@ -14,18 +14,12 @@ from credence.schema import COUNT_COLUMNS, ORDER
 from credence.session import stage
 from credence.sources import claims, reviews, snapshots
 
-HIDDEN = 4  # width of the rule-made network in the scoring checks
-TRAIN_EPOCHS = 6
 
 
 def _round(df: DataFrame, columns, digits=6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
-def _long_cast(df: DataFrame, columns) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in columns})
-
-
 # ---- sources ----------------------------------------------------------------
 
 
@@ -95,7 +89,7 @@ def feature_metadata(spark, d):
     masked = context.context_availability(docs, COUNT_COLUMNS)
     return masked.agg(
         F.lit(len(text.terms)).cast("long").alias("text_feature_count"),
-        F.lit(len(context.feature_names(model))).cast("long").alias("context_feature_count"),
+        F.lit(context.feature_count(model)).cast("long").alias("context_feature_count"),
         F.sum(F.col("context_available").cast("long")).alias("context_rows_available"),
         F.count("*").alias("total_rows"),
     )
@@ -124,11 +118,11 @@ def handle_missing(spark, d):
 
 
 def clean_pages(spark, d):
-    return corpora.texts(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
+    return corpora.table(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
 
 
 def text_stats_basic(spark, d):
-    return preprocess.add_text_stats(corpora.texts(spark, d, "documents")).select(
+    return preprocess.add_text_stats(corpora.table(spark, d, "documents")).select(
         "doc_id", "text_len", "word_count"
     )
 
@@ -156,10 +150,17 @@ def preprocess_dataset(spark, d):
     )
 
 
-def _processed(spark, d):
-    """Cleaned, de-duplicated labelled documents with text statistics."""
-    rows, _ = preprocess.clean_and_deduplicate(corpora.documents(spark, d))
-    return rows.drop(ORDER, "split")
+def _processed(spark, d, corpus=corpora.documents):
+    """Cleaned, de-duplicated labelled documents with text statistics, written once:
+    what follows reads it several times."""
+    rows, _ = preprocess.clean_and_deduplicate(corpus(spark, d))
+    return stage(rows.drop(ORDER, "split"), "processed")
+
+
+def _processed_all(spark, d):
+    """The processed rows of every corpus."""
+    parts = [_processed(spark, d, c) for c in (corpora.documents, corpora.pages, corpora.benchmark)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def split_70_15_15(spark, d):
@@ -167,9 +168,11 @@ def split_70_15_15(spark, d):
 
 
 def _split_60(spark, d):
-    return split.split_labeled_data(
+    """The processed rows with their part, written once for all that reads them."""
+    rows = split.split_labeled_data(
         _processed(spark, d), text_column="text", label_column="label"
     )
+    return stage(rows, "split")
 
 
 def split_60_20_20(spark, d):
@@ -212,7 +215,7 @@ def inspect(spark, d):
 
 
 def class_distribution(spark, d):
-    return _round(profile.class_distribution(corpora.all_corpora(spark, d)), ["share"])
+    return _round(profile.class_distribution(_processed_all(spark, d)), ["share"])
 
 
 def describe_by_label(spark, d):
@@ -229,11 +232,21 @@ def hist_by_label(spark, d):
 
 
 def hist_engagement(spark, d):
-    return profile.hist_engagement(corpora.documents(spark, d))
+    return profile.hist_engagement(_processed(spark, d))
+
+
+def describe_by_dataset(spark, d):
+    out = profile.describe_by_label(_processed_all(spark, d), by=["dataset", "label"])
+    return _round(out, ["mean", "std", "min", "q25", "q50", "q75", "max"])
+
+
+def hist_by_dataset(spark, d):
+    """Each dataset clipped and binned on its own range."""
+    return profile.hist_by_label(_processed_all(spark, d), "word_count", by=["dataset"])
 
 
 def context_availability(spark, d):
-    return profile.profile_context(corpora.all_corpora(spark, d), by=["dataset"])
+    return profile.profile_context(_processed_all(spark, d), by=["dataset"])
 
 
 def mask_counts(spark, d):
@@ -252,40 +265,48 @@ def class_weights(spark, d):
 
 
 def text_statistics(spark, d):
-    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "documents"), "text")
+    out = tfidf.extract_text_statistics(corpora.table(spark, d, "documents"), "text")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("doc_id", *names), names)
 
 
 def text_statistics_pages(spark, d):
-    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "pages"), "html")
+    out = tfidf.extract_text_statistics(corpora.table(spark, d, "pages"), "html")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("page_id", *names), names)
 
 
 def tfidf_terms(spark, d):
-    return tfidf.count_terms(corpora.texts(spark, d, "documents"), "doc_id", "text")
+    return tfidf.count_terms(corpora.table(spark, d, "documents"), "doc_id", "text")
 
 
 def tfidf_vocab(spark, d):
-    model = tfidf.fit_tfidf(corpora.texts(spark, d, "documents"), "text")
+    model = tfidf.fit_tfidf(corpora.table(spark, d, "documents"), "text")
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_vocab_min_df(spark, d):
     model = tfidf.fit_tfidf(
-        corpora.texts(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
+        corpora.table(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
         ngram_range=(1, 1),
     )
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_weights(spark, d):
-    docs = corpora.texts(spark, d, "documents")
+    docs = corpora.table(spark, d, "documents")
     model = tfidf.fit_tfidf(docs, "text")
     return _round(tfidf.transform_tfidf(docs, "doc_id", "text", model), ["weight"], 5)
 
 
+def tfidf_joined(spark, d):
+    """The weights of ``tfidf_weights`` from a joined vocabulary of any size."""
+    docs = corpora.table(spark, d, "documents")
+    vocabulary, n = tfidf.fit_vocabulary(docs, "text")
+    counts = stage(tfidf.count_terms(docs, "doc_id", "text"), "term-counts")
+    return _round(tfidf.weigh_terms(counts, "doc_id", stage(vocabulary, "vocabulary"), n), ["weight"], 5)
+
+
 def tfidf_transform(spark, d):
     rows = _split_60(spark, d)
     model = tfidf.fit_tfidf(rows.where("split = 'train'"), "text")
@@ -428,7 +449,7 @@ def exp_c_compare(spark, d):
     base = metrics.binary_metrics(both.where("model = 'B'"))
     out = experiments.compare_with_baseline(
         experiments.metrics_long(ours, experiments.WEIGHTED),
-        experiments.metrics_long(base, ["accuracy", "precision", "f1", "average_precision"]),
+        experiments.metrics_long(base, metrics.METRICS),
     )
     return _round(out, ["model", "baseline"])
 
@@ -470,7 +491,7 @@ def rule_weights(shape: fusion.FusionShape) -> np.ndarray:
     parts = []
     for layer, (fan_in, fan_out) in enumerate(shape.layers().values()):
         i, j = np.meshgrid(np.arange(fan_in + 1), np.arange(fan_out), indexing="ij")
-        parts.append((((i * 7 + j * 13 + layer * 5) % 11 - 5) / 10.0).ravel())
+        parts.append((((i * 7 + j * 13 + layer * 5) % 11 - 5) / (10.0 * np.sqrt(fan_in))).ravel())
     return np.concatenate(parts)
 
 
@@ -478,7 +499,9 @@ def _rule_model(inputs):
     dims = inputs.select(
         F.size("text_features").alias("t"), F.size("context_features").alias("c")
     ).first()
-    shape = fusion.FusionShape(dims["t"], dims["c"], HIDDEN, 2, domain_hidden=3)
+    shape = fusion.FusionShape(
+        dims["t"], dims["c"], domain_hidden=fusion.CONFIG["hidden_dim"] // 2
+    )
     return fusion.FittedFusion(shape, rule_weights(shape))
 
 
@@ -543,7 +566,7 @@ def _train(spark, d, rows, **options):
         dims["t"], dims["c"], domain_hidden=options.pop("domain_hidden", 0)
     )
     return fusion.train_fusion(
-        train, rows.where("split = 'validation'"), shape, epochs=TRAIN_EPOCHS, **options
+        train, rows.where("split = 'validation'"), shape, **options
     )
 
 
@@ -584,10 +607,11 @@ QUERIES = {
         feature_metadata, fusion_inputs, handle_missing, clean_pages, text_stats_basic, dedup_id,
         dedup_text, pipeline_counts, preprocess_dataset, split_70_15_15, split_60_20_20,
         split_label_pivot, contract_checks, preview, profile_missing, profile_duplicates,
-        profile_labels, profile_context, inspect, class_distribution, describe_by_label, clip_p99,
+        profile_labels, profile_context, inspect, class_distribution, describe_by_label, describe_by_dataset,
+        hist_by_dataset, clip_p99,
         hist_by_label, hist_engagement, context_availability, mask_counts, class_weights,
         text_statistics, text_statistics_pages, tfidf_terms, tfidf_vocab, tfidf_vocab_min_df,
-        tfidf_weights, tfidf_transform, leakage_check, context_mask, context_numeric,
+        tfidf_weights, tfidf_joined, tfidf_transform, leakage_check, context_mask, context_numeric,
         context_onehot, context_features_long, context_transform, binary_metrics, roc_points,
         pr_points, roc_auc, avg_precision, confusion, weighted_metrics, class_report,
         model_comparison, missing_context, final_metrics, exp_c_compare, baseline_predictions,

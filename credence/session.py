@@ -51,20 +51,33 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
-    Unlike a checkpoint, later reads prune columns and push filters down.
+    Unlike a checkpoint, later reads prune columns and push filters down. The table stays
+    until its owner calls ``release``, as lazy frames may still read it.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give row-local text work every core when the input has fewer partitions
-    than the cluster has slots (one small file); a no-op on large inputs."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+def staged() -> list[str]:
+    """Paths of the tables staged by this driver and not yet released, oldest first."""
+    return list(_STAGED)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; frames that read them must be done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+        if path in _STAGED:
+            _STAGED.remove(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -15,21 +17,39 @@ NA_TOKENS = [
 # -----------------------------------------------------------------------------
 
 
+def first_lines(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """``(path, first line)`` of every file, in the order given, from one job."""
+    plus = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    lines = spark.read.text(paths).select(
+        F.url_decode(plus).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found = {_plain(r["file"]): r["line"] for r in first.collect()}
+    return [(p, found[_plain(p)]) for p in paths]
+
+
+def _plain(path: str) -> str:
+    """A path without its scheme, which Spark and Hadoop write differently."""
+    return re.sub(r"^[a-z0-9]+:/*", "/", path)
+
+
 def read_delimited(
     spark: SparkSession, paths: list[str], sep=",", numbered: str | None = None
 ) -> DataFrame:
     """All files as strings plus ``_file`` (decoded path) and ``_row``.
 
     Spark binds one header to every file of a read, so files are grouped by
-    header first (a header read touches one line) and each group is one scan.
+    header first (one job for all of them) and each group is one scan.
     ``_row`` grows within a file, because a multi-line file is never split.
     A file without the column ``numbered`` gets its row numbers there.
     """
     options = dict(header=True, sep=sep, quote='"', escape='"', multiLine=True)
     groups = defaultdict(list)
-    for path in paths:
-        header = spark.read.options(**{**options, "multiLine": False}).csv(path).columns
-        groups[tuple(header)].append(path)
+    for path, line in first_lines(spark, paths):
+        groups[tuple(next(csv.reader([line], delimiter=sep)))].append(path)
 
     plus = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     frames = []

@@ -52,7 +52,7 @@ def load_standardized_data(
     spark = spark or SparkSession.active()
     path = str(path)
     if not paths.exists(spark, path):
-        raise FileNotFoundError(f"standardized input not found: {path}")
+        raise FileNotFoundError(f"nothing to load at {path}")
     if _format_of(path) == "csv":
         header = (
             spark.read.options(**{**CSV_OPTIONS, "multiLine": False}).csv(path).columns
