@@ -1,9 +1,9 @@
 """Quality rules that vote, weighed by expectation-maximisation (weak supervision).
 
 Every rule looks at one statistic of a text and votes good (1), bad (-1) or abstains
-(0). Nobody says which documents are good: two latent classes are fitted to the vote
-patterns, with one accuracy per rule and class, and a document is kept when the
-posterior probability of the good class is at least a half.
+(0). Nobody says which documents are good: latent kinds of document, a good one and one bad one per
+rule, are fitted to the vote patterns, with an accuracy of each rule about each kind, and a document is
+kept when the posterior probability of the good kind is at least a half.
 
 Only the counts of distinct vote patterns reach the driver: at most 3 to the number
 of rules, whatever the number of documents.
@@ -29,6 +29,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
+#: Least share of right votes of a rule among good documents.
+LEAST_RIGHT = 0.99
 
 
 @dataclass(frozen=True)
@@ -140,47 +142,56 @@ def _guarded(formula: str) -> str:
 
 @dataclass
 class VoteModel:
-    prior: float
-    good: list[dict[str, float]]  # per rule: probability of each vote in a good document
-    bad: list[dict[str, float]]
+    """Latent kinds of document: kind 0 is good, kind r + 1 is bad as rule r sees it."""
+
+    priors: list[float]
+    alarm: list[list[float]]  # per kind and rule: probability that a vote is bad
+
+    def kinds(self, pattern: str) -> list[float]:
+        """Probability of each kind given the votes."""
+        logs = []
+        for prior, alarm in zip(self.priors, self.alarm, strict=True):
+            seen = [math.log(a if v == "-" else 1 - a) for v, a in zip(pattern, alarm, strict=True) if v != "0"]
+            logs.append(math.log(prior) + sum(seen))
+        top = max(logs)
+        weights = [math.exp(x - top) for x in logs]
+        return [w / sum(weights) for w in weights]
 
     def posterior(self, pattern: str) -> float:
-        if not pattern.strip("0"):
-            return self.prior
-        odds = math.log(self.prior) - math.log(1 - self.prior)
-        for vote, g, b in zip(pattern, self.good, self.bad, strict=True):
-            if vote != "0":
-                odds += math.log(g[vote]) - math.log(b[vote])
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+        return self.kinds(pattern)[0]
 
 
-def fit_votes(patterns: dict[str, int], n_rules: int, rounds: int = 50) -> VoteModel:
+def fit_votes(patterns: dict[str, int], n_rules: int, rounds: int = 100) -> VoteModel:
     """Expectation-maximisation over the counted patterns.
 
-    A rule is right with a probability between a half and 0.999 among the good documents
-    it votes on, and votes bad at least as often among the bad ones; this keeps
-    the classes from changing places. Pseudo-counts stand for ten documents.
+    Bad documents are bad in different ways, so there is a latent kind of bad document for each rule; a
+    rule's accuracies are its rates of bad votes among the kinds. A rule is right about good documents with a probability
+    of at least ``LEAST_RIGHT``, and votes bad on most documents of its own kind, which keeps the kinds from changing places.
+    Pseudo-counts stand for ten documents.
     """
-    model = VoteModel(0.85, [{"+": 0.97, "-": 0.03}] * n_rules, [{"+": 0.6, "-": 0.4}] * n_rules)
+    kinds = range(n_rules + 1)
+    model = VoteModel(
+        [0.85, *[0.15 / n_rules] * n_rules],
+        [[0.002 if k == 0 else 0.9 if k == r + 1 else 0.1 for r in range(n_rules)] for k in kinds],
+    )
     total = sum(patterns.values())
     for _ in range(rounds if total else 0):
-        post = {p: model.posterior(p) for p in patterns}
-        kept = sum(n * post[p] for p, n in patterns.items())
-        prior = min(0.99, max(0.5, (kept + 8.5) / (total + 10)))
-        good, bad = [], []
-        for r in range(n_rules):
-            sums = {(c, v): 0.0 for c in "gb" for v in "+-"}
-            for p, n in patterns.items():
-                if p[r] != "0":
-                    sums["g", p[r]] += n * post[p]
-                    sums["b", p[r]] += n * (1 - post[p])
-            ok = (sums["g", "+"] + 9.7) / (sums["g", "+"] + sums["g", "-"] + 10)
-            ok = min(0.999, max(0.5, ok))
-            caught = (sums["b", "-"] + 4) / (sums["b", "+"] + sums["b", "-"] + 10)
-            caught = min(0.999, max(1 - ok, caught))
-            good.append({"+": ok, "-": 1 - ok})
-            bad.append({"+": 1 - caught, "-": caught})
-        model = VoteModel(prior, good, bad)
+        share = {p: model.kinds(p) for p in patterns}
+        mass = [sum(n * share[p][k] for p, n in patterns.items()) for k in kinds]
+        start = [8.5, *[1.5 / n_rules] * n_rules]
+        priors = [(mass[k] + start[k]) / (total + 10) for k in kinds]
+        alarm = []
+        for k in kinds:
+            rates = []
+            for r in range(n_rules):
+                cast = sum(n * share[p][k] for p, n in patterns.items() if p[r] != "0")
+                bad = sum(n * share[p][k] for p, n in patterns.items() if p[r] == "-")
+                guess = 0.002 if k == 0 else 0.9 if k == r + 1 else 0.1
+                rate = (bad + 10 * guess) / (cast + 10)
+                low, high = (0.001, 1 - LEAST_RIGHT) if k == 0 else (0.5, 0.999) if k == r + 1 else (0.001, 0.999)
+                rates.append(min(high, max(low, rate)))
+            alarm.append(rates)
+        model = VoteModel(priors, alarm)
     return model
 
 

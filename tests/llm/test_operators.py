@@ -296,13 +296,13 @@ def test_rules(docs, empty):
     assert rules.quality(empty).count() == 0
 
 
-def test_votes_separate_two_kinds():
-    patterns = {"+++++++": 800, "+0+++++": 60, "-+++++-": 40, "--++++0": 30, "++-+-++": 25, "0000000": 5, "+++++0+": 40}
+def test_votes_separate_good_from_bad():
+    patterns = {"+++++++": 800, "+0+++++": 60, "-++++++": 70, "--++++0": 30, "++--+-+": 25, "0000000": 5, "+++++0+": 40}
     model = rules.fit_votes(patterns, 7)
-    assert all(model.posterior(p) > 0.9 for p in ("+++++++", "+0+++++")) and model.posterior("--++++0") < 0.5
-    assert model.posterior("0000000") == model.prior
-    again = rules.fit_votes({}, 7)
-    assert again.prior == 0.85
+    assert all(model.posterior(p) > 0.9 for p in ("+++++++", "+0+++++", "+++++0+"))
+    assert all(model.posterior(p) < 0.5 for p in ("-++++++", "--++++0", "++--+-+"))  # one kind of bad is enough
+    assert model.posterior("0000000") == pytest.approx(model.priors[0])
+    assert rules.fit_votes({}, 7).priors[0] == 0.85
 
 
 def test_preference(spark):
