@@ -76,7 +76,7 @@ def staged() -> list[str]:
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables; frames that read them must be done with."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
+    for path in list(paths):
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
         if path in _STAGED:
