@@ -15,6 +15,7 @@ from credence.operators.context import context_availability, context_vector, fit
 from credence.schema import COUNT_COLUMNS, ORDER
 from credence.sources.standard import standardize
 
+INPUT_PARTITIONS = "credence.input.partitions"
 EVENT_COUNTS = {"n_tweets": "view", "n_replies": "click", "n_retweets": "purchase"}
 CONTEXT_NUMERIC = COUNT_COLUMNS
 CONTEXT_CATEGORICAL = ["source", "subset"]
@@ -24,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text is about to be processed row by row. A caller whose files are
+    too few to split (one row group in all) may deal the rows out by setting
+    ``INPUT_PARTITIONS`` in the session; without it nothing moves."""
+    rows = table(spark, sf_dir, name)
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
+
+
 def engagement(spark, sf_dir) -> DataFrame:
     """Counts per user; combined before the shuffle, so a hot user is no problem."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(
@@ -35,7 +45,7 @@ def engagement(spark, sf_dir) -> DataFrame:
 
 
 def documents_raw(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     counts = engagement(spark, sf_dir).withColumnRenamed("user_id", "doc_id")
     return docs.join(labels, "doc_id", "left").join(counts, "doc_id", "left").select(
@@ -59,7 +69,7 @@ def documents(spark, sf_dir) -> DataFrame:
 def pages(spark, sf_dir) -> DataFrame:
     parity = F.pmod("page_id", F.lit(2))
     return standardize(
-        table(spark, sf_dir, "pages").select(
+        texts(spark, sf_dir, "pages").select(
             F.concat(F.lit("page_"), "page_id").alias("id"),
             F.lit("pages").alias("dataset"),
             F.lit("web").alias("subset"),

@@ -503,6 +503,91 @@ train AS (SELECT * FROM splitted WHERE split = 'train'),
 held AS (SELECT * FROM splitted WHERE split <> 'train')"""
 QUANTIZED = "list_transform({0}, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR))"
 
+
+
+def _unit(name: str, terms: str, key: str) -> str:
+    """``name``: (key, term, v), unit TF-IDF rows of a table over ``vocab``."""
+    return f"""{name}_raw AS (
+  SELECT t.{key}, t.term, (1 + ln(t.tf)) * v.idf AS w FROM {terms} t JOIN vocab v ON v.term = t.term),
+{name} AS (SELECT {key}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS v FROM {name}_raw)"""
+
+
+def _fit(balanced: bool, steps=3000) -> str:
+    """``dual_*``: a fixed point of the penalised log-loss, whose weights are sums of the training rows.
+
+    With K the products of the training rows (and 1 for the intercept), a row's coefficient is
+    ``weight * y / (1 + exp(y * f))`` where ``f = K a``; each step goes part of the way there.
+    """
+    weight = "n / (2.0 * count(*) OVER (PARTITION BY label))" if balanced else "1.0"
+    tag = "bal" if balanced else "one"
+    return f"""rows_{tag} AS (
+  SELECT id, row_number() OVER (ORDER BY id) AS i, 2.0 * label - 1 AS y, CAST({weight} AS DOUBLE) AS w
+  FROM train, (SELECT count(*) AS n FROM train)),
+gram_{tag} AS (
+  SELECT a.i, list(1.0 + coalesce(g.k, 0.0) ORDER BY b.i) AS k FROM rows_{tag} a CROSS JOIN rows_{tag} b
+  LEFT JOIN products g ON g.a = a.id AND g.b = b.id GROUP BY a.i),
+setup_{tag} AS (
+  SELECT (SELECT list(k ORDER BY i) FROM gram_{tag}) AS m, list(y ORDER BY i) AS y, list(w ORDER BY i) AS w,
+    2.0 / (2.0 + max(w) * (SELECT max(list_sum(k)) FROM gram_{tag}) / 4.0) AS s FROM rows_{tag}),
+dual_{tag} AS (
+  SELECT 0 AS step, list_transform(y, lambda v: 0.0::DOUBLE) AS a FROM setup_{tag}
+  UNION ALL
+  SELECT step + 1, list_transform(list_zip(a, y, w, list_transform(m, lambda r: list_dot_product(r, a))),
+    lambda z: z[1] + s * (z[3] * z[2] / (1 + exp(z[2] * z[4])) - z[1]))
+  FROM dual_{tag}, setup_{tag} WHERE step < {steps}),
+coef_{tag} AS (
+  SELECT r.id, d.a[r.i] AS a FROM (SELECT a FROM dual_{tag} ORDER BY step DESC LIMIT 1) d, rows_{tag} r)"""
+
+
+def _scores(name: str, tag: str, rows: str) -> str:
+    """``name``: rows with ``score`` and ``prediction``; ``cross`` holds their products with the training rows."""
+    return f"""{name} AS (
+  SELECT *, CAST(score > 0.5 AS INTEGER) AS prediction FROM (
+    SELECT r.*, 1 / (1 + exp(-(coalesce(p.f, 0.0) + (SELECT sum(a) FROM coef_{tag})))) AS score FROM {rows} r
+    LEFT JOIN (SELECT x.b, sum(x.k * c.a) AS f FROM crossed x JOIN coef_{tag} c ON c.id = x.a GROUP BY x.b) p ON p.b = r.id))"""
+
+
+def _products(name: str, left: str, right: str) -> str:
+    return f"""{name} AS (
+  SELECT a.id AS a, b.id AS b, sum(a.v * b.v) AS k FROM {left} a JOIN {right} b ON b.term = a.term GROUP BY 1, 2)"""
+
+
+def _other(tokens: str, prefix: str) -> str:
+    """A second ``terms`` in one statement, under another name."""
+    return tokens.replace("toks AS (", f"{prefix}_toks AS (").replace("FROM toks", f"FROM {prefix}_toks").replace(
+        "terms AS (", f"{prefix}_terms AS ("
+    )
+
+
+BASELINE = f"""{TRAIN_TERMS},
+{_tokens('train', 'id', 'text')},
+{_vocab('train')},
+{_unit('tv', 'terms', 'id')},
+{_other(_tokens('held', 'id', 'text'), 'held')},
+{_unit('hv', 'held_terms', 'id')},
+{_products('products', 'tv', 'tv')},
+{_products('crossed', 'tv', 'hv')}"""
+TEST_ROWS = "(SELECT id, label FROM held WHERE split = 'test')"
+ZERO_SHOT = f"""{PROCESSED},
+train AS (SELECT * FROM processed),
+target0 AS (
+  SELECT 'page_' || page_id AS id, 'pages' AS dataset, CAST(page_id % 2 AS INTEGER) AS label,
+    {_clean("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {_clean('html')} AS body FROM pages
+  UNION ALL SELECT 'claim_' || item_id, 'benchmark', CAST(item_id % 2 AS INTEGER), {_clean('text')}, {_clean('text')} FROM benchmark),
+target AS (
+  SELECT id, dataset, label, text FROM (
+    SELECT id, dataset, label, CASE WHEN body = '' THEN title ELSE body END AS text FROM target0)
+  WHERE {_count('text', f'[^{WS}]+')} >= 5),
+{_tokens('train', 'id', 'text')},
+{_vocab('train')},
+{_unit('tv', 'terms', 'id')},
+{_other(_tokens('target', 'id', 'text'), 'target')},
+{_unit('hv', 'target_terms', 'id')},
+{_products('products', 'tv', 'tv')},
+{_products('crossed', 'tv', 'hv')},
+{_fit(False)},
+{_scores('scored', 'one', '(SELECT id, dataset, label FROM target)')}"""
+
 ORACLES = {
     "src_reviews_content_engagement": _with(ENG, select=_review_rows()),
     "src_snapshot_csv": _snapshot_rows(),
@@ -721,6 +806,23 @@ FROM long a JOIN long b ON b.metric = a.metric WHERE a.context_mask = 1 AND b.co
         "ON accuracy, precision, recall, f1, roc_auc, average_precision INTO NAME metric VALUE value)",
         select="SELECT ours.metric, ours.value AS model, base.value AS baseline FROM ours LEFT JOIN base ON base.metric = ours.metric",
     ),
+    "baseline_predictions": "WITH RECURSIVE " + ",\n".join(
+        [BASELINE, _fit(False), _scores("scored", "one", TEST_ROWS)]
+    ) + "\nSELECT id, label, prediction, round(score, 4) AS score FROM scored",
+    "balanced_predictions": "WITH RECURSIVE " + ",\n".join(
+        [BASELINE, _fit(True), _scores("scored", "bal", TEST_ROWS)]
+    ) + "\nSELECT id, label, prediction, round(score, 4) AS score FROM scored",
+    "imbalance_experiment": "WITH RECURSIVE " + ",\n".join(
+        [
+            BASELINE, _fit(False), _fit(True),
+            _scores("plain", "one", "(SELECT id, label, split AS part FROM held)"),
+            _scores("weighed", "bal", "(SELECT id, label, split AS part FROM held)"),
+            "pair AS (SELECT *, 'Unweighted' AS model FROM plain UNION ALL SELECT *, 'Class weighted' FROM weighed)",
+            _binary("pair", "part, model"),
+        ]
+    ) + "\nSELECT * FROM bm",
+    "zero_shot_metrics": "WITH RECURSIVE " + ",\n".join([ZERO_SHOT, _weighted("scored", "dataset")])
+    + f"\nSELECT dataset, n, {WEIGHTED} FROM wm",
     "gated_scores": _with(
         SCORED,
         select="""SELECT id, context_mask, round(gate, 5) AS gate, round(logit_0, 5) AS logit_0, round(logit_1, 5) AS logit_1,

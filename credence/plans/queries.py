@@ -118,11 +118,11 @@ def handle_missing(spark, d):
 
 
 def clean_pages(spark, d):
-    return corpora.table(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
+    return corpora.texts(spark, d, "pages").select("page_id", clean_text("html").alias("text"))
 
 
 def text_stats_basic(spark, d):
-    return preprocess.add_text_stats(corpora.table(spark, d, "documents")).select(
+    return preprocess.add_text_stats(corpora.texts(spark, d, "documents")).select(
         "doc_id", "text_len", "word_count"
     )
 
@@ -265,43 +265,43 @@ def class_weights(spark, d):
 
 
 def text_statistics(spark, d):
-    out = tfidf.extract_text_statistics(corpora.table(spark, d, "documents"), "text")
+    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "documents"), "text")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("doc_id", *names), names)
 
 
 def text_statistics_pages(spark, d):
-    out = tfidf.extract_text_statistics(corpora.table(spark, d, "pages"), "html")
+    out = tfidf.extract_text_statistics(corpora.texts(spark, d, "pages"), "html")
     names = [c for c in out.columns if c.startswith("text_")]
     return _round(out.select("page_id", *names), names)
 
 
 def tfidf_terms(spark, d):
-    return tfidf.count_terms(corpora.table(spark, d, "documents"), "doc_id", "text")
+    return tfidf.count_terms(corpora.texts(spark, d, "documents"), "doc_id", "text")
 
 
 def tfidf_vocab(spark, d):
-    model = tfidf.fit_tfidf(corpora.table(spark, d, "documents"), "text")
+    model = tfidf.fit_tfidf(corpora.texts(spark, d, "documents"), "text")
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_vocab_min_df(spark, d):
     model = tfidf.fit_tfidf(
-        corpora.table(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
+        corpora.texts(spark, d, "documents"), "text", max_features=1000, min_df=0.05,
         ngram_range=(1, 1),
     )
     return _round(model.vocabulary(spark), ["idf"])
 
 
 def tfidf_weights(spark, d):
-    docs = corpora.table(spark, d, "documents")
+    docs = corpora.texts(spark, d, "documents")
     model = tfidf.fit_tfidf(docs, "text")
     return _round(tfidf.transform_tfidf(docs, "doc_id", "text", model), ["weight"], 5)
 
 
 def tfidf_joined(spark, d):
     """The weights of ``tfidf_weights`` from a joined vocabulary of any size."""
-    docs = corpora.table(spark, d, "documents")
+    docs = corpora.texts(spark, d, "documents")
     vocabulary, n = tfidf.fit_vocabulary(docs, "text")
     counts = stage(tfidf.count_terms(docs, "doc_id", "text"), "term-counts")
     return _round(tfidf.weigh_terms(counts, "doc_id", stage(vocabulary, "vocabulary"), n), ["weight"], 5)
@@ -460,9 +460,8 @@ def exp_c_compare(spark, d):
 def _baseline(spark, d, build):
     rows = _split_60(spark, d)
     model = build().fit(rows.where("split = 'train'"))
-    return model.predict(rows.where("split = 'test'").select("id", "text", "label")).select(
-        "id", "label", "prediction", "score"
-    )
+    scored = model.predict(rows.where("split = 'test'").select("id", "text", "label"))
+    return _round(scored.select("id", "label", "prediction", "score"), ["score"], 4)
 
 
 def baseline_predictions(spark, d):
@@ -474,7 +473,9 @@ def balanced_predictions(spark, d):
 
 
 def imbalance_experiment(spark, d):
-    return experiments.imbalance_experiment(_split_60(spark, d))
+    return _round(
+        experiments.imbalance_experiment(_split_60(spark, d)), [*SCORES, "average_precision"]
+    )
 
 
 def zero_shot_metrics(spark, d):
@@ -483,7 +484,7 @@ def zero_shot_metrics(spark, d):
     model = classify.build_baseline().fit(train)
     target = corpora.pages(spark, d).unionByName(corpora.benchmark(spark, d))
     target = preprocess.handle_missing(target).select("id", "dataset", "text", "label")
-    return experiments.zero_shot_metrics(model.predict(target))
+    return _round(experiments.zero_shot_metrics(model.predict(target)), SCORES)
 
 
 def rule_weights(shape: fusion.FusionShape) -> np.ndarray:
