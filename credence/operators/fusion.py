@@ -480,8 +480,29 @@ def validation_counts(df: DataFrame, shape, params) -> DataFrame:
     return rows.groupBy("label", "prediction").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
 
 
-def _validation_summary(cells) -> tuple:
-    """Loss per row, accuracy and support-weighted F1 of at most classes^2 rows."""
+def validation_summary(cells: DataFrame) -> DataFrame:
+    """Loss per row, accuracy and support-weighted F1 as one row, from at most classes^2 rows."""
+    sides = F.array(
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0.0).alias("called")),
+        F.struct(F.col("prediction").alias("class"), F.lit(0.0).alias("support"), F.col("n").alias("called")),
+    )
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0.0)
+    whole = cells.agg(
+        (F.sum("loss") / F.sum("n")).alias("loss"), (F.sum(hit) / F.sum("n")).alias("accuracy")
+    )
+    per_class = cells.select(F.inline(sides)).groupBy("class").agg(
+        F.sum("support").alias("support"), F.sum("called").alias("called")
+    )
+    hits = cells.where("label = prediction").select(F.col("label").alias("class"), F.col("n").alias("hits"))
+    f1 = per_class.join(hits, "class", "left").agg(
+        F.sum(F.col("support") * 2 * F.coalesce("hits", F.lit(0.0)) / (F.col("support") + F.col("called")))
+        / F.sum("support")
+    )
+    return whole.withColumn("f1", f1.scalar())
+
+
+def _summary(cells) -> tuple:
+    """The same of collected rows, once an epoch."""
     n = sum(c["n"] for c in cells)
     f1 = 0.0
     for label in {c["label"] for c in cells}:
@@ -559,7 +580,7 @@ def train_fusion(
             flat = flat - learning_rate * m / (np.sqrt(v) + ADAM_EPS)
 
         params = spark.sparkContext.broadcast(flat)
-        val_loss, val_accuracy, val_f1 = _validation_summary(
+        val_loss, val_accuracy, val_f1 = _summary(
             validation_counts(validation, shape, params).collect()
         )
         params.unpersist()

@@ -840,10 +840,19 @@ FROM long a JOIN long b ON b.metric = a.metric WHERE a.context_mask = 1 AND b.co
     ),
     "feature_contract": _with(
         FUSION,
-        select="""SELECT count(*) AS rows, count(*) FILTER (WHERE embedding IS NULL) AS null_features,
-  count(*) FILTER (WHERE len(embedding) <> 64) AS bad_text_dim, CAST(0 AS BIGINT) AS bad_context_dim,
-  count(*) FILTER (WHERE context_mask NOT IN (0, 1)) AS bad_mask,
-  count(*) FILTER (WHERE label NOT IN (0, 1)) AS bad_label FROM chosen""",
+        select="""SELECT count(*) AS rows, count(*) FILTER (WHERE digit = '0') AS null_features,
+  count(*) FILTER (WHERE digit = '1') AS bad_text_dim, count(*) FILTER (WHERE digit = '2') AS bad_context_dim,
+  count(*) FILTER (WHERE digit = '3') AS bad_mask, count(*) FILTER (WHERE digit = '4') AS bad_label
+FROM (SELECT substr(md5(id), 1, 1) AS digit FROM chosen)""",
+    ),
+    "forward_metrics": _with(
+        SCORED,
+        """judged AS (SELECT c.label, CAST(o.logit_1 > o.logit_0 AS INTEGER) AS prediction,
+  ln(1 + exp(CASE WHEN c.label = 1 THEN o.logit_0 - o.logit_1 ELSE o.logit_1 - o.logit_0 END)) AS loss
+  FROM out o JOIN chosen c ON c.id = o.id)""",
+        _per_class("judged", ""),
+        select="""SELECT round((SELECT avg(loss) FROM judged), 5) AS loss,
+  round(CAST(sum(hits) AS DOUBLE) / sum(support), 5) AS accuracy, round(sum(f1 * support) / sum(support), 5) AS f1 FROM pc""",
     ),
     "domain_scores": _with(
         SCORED, select="SELECT id, domain_label, round(domain_score, 5) AS domain_score FROM out"

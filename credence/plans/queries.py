@@ -538,9 +538,28 @@ def gate_hist(spark, d):
 
 
 def feature_contract(spark, d):
+    """The input table with rows broken by the first digit of their id's digest."""
     inputs = _staged_inputs(spark, d)
     shape = _rule_model(inputs).shape
-    return fusion.feature_contract(inputs, shape.text_dim, shape.context_dim)
+    digit = F.substring(F.md5("id"), 1, 1)
+    text, context_ = F.col("text_features"), F.col("context_features")
+    broken = inputs.withColumns(
+        {
+            "text_features": F.when(digit == "1", F.slice(text, 1, shape.text_dim - 1)).when(digit != "0", text),
+            "context_features": F.when(digit == "2", F.concat(context_, context_)).otherwise(context_),
+            "context_mask": F.when(digit == "3", 2).otherwise(F.col("context_mask")),
+            "label": F.when(digit == "4", None).otherwise(F.col("label")),
+        }
+    )
+    return fusion.feature_contract(broken, shape.text_dim, shape.context_dim)
+
+
+def forward_metrics(spark, d):
+    """Loss, accuracy and F1 that training computes after an epoch, at the rule weights."""
+    inputs = _staged_inputs(spark, d)
+    model = _rule_model(inputs)
+    cells = fusion.validation_counts(inputs, model.shape, spark.sparkContext.broadcast(model.params))
+    return _round(fusion.validation_summary(cells), ["loss", "accuracy", "f1"], 5)
 
 
 def domain_scores(spark, d):
@@ -617,7 +636,8 @@ QUERIES = {
         pr_points, roc_auc, avg_precision, confusion, weighted_metrics, class_report,
         model_comparison, missing_context, final_metrics, exp_c_compare, baseline_predictions,
         balanced_predictions, imbalance_experiment, zero_shot_metrics, gated_scores, gate_stats,
-        gate_hist, feature_contract, domain_scores, domain_bce, fusion_history,
+        gate_hist, feature_contract, domain_scores, domain_bce, forward_metrics,
+        fusion_history,
         fusion_final_metrics, domain_history, fusion_zero_shot,
     )
 }
