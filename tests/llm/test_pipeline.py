@@ -1,7 +1,7 @@
 """The pipeline on a small table, its stages, and what it leaves behind."""
 
 import corpus_pipeline
-from credence.session import staged
+from credence.session import release, staged
 
 
 def test_stages_pass_documents_on(spark, sf):
@@ -15,6 +15,7 @@ def test_stages_pass_documents_on(spark, sf):
 
 
 def test_run_leaves_only_its_result(spark, sf):
+    release(spark, corpus_pipeline._LEFT)
     before = staged()
     packed = corpus_pipeline.run(spark, sf)
     assert packed.where("length > 2048 or offset + length > 2048").isEmpty()
