@@ -22,16 +22,21 @@ def _long(row: DataFrame, columns, names, by=()) -> DataFrame:
     return row.unpivot(list(by), list(columns), *names)
 
 
+def _ordered(report: DataFrame, keys) -> DataFrame:
+    """A short report in the order of its keys, nulls last."""
+    return report.orderBy(*[F.asc_nulls_last(k) for k in keys])
+
+
 def profile_missing(df: DataFrame, columns=STANDARD_COLUMNS) -> DataFrame:
     """Missing count (null or NaN) and percent (2 places) per column, in one scan; an
-    empty table has no percent. Columns stand in their order in the table."""
+    empty table has no percent. The fullest columns come first."""
     counts = df.agg(
         F.count("*").alias("_rows"), *[F.count_if(~known(df, c)).alias(c) for c in columns]
     )
     long = counts.unpivot(["_rows"], list(columns), "column", "missing")
     return long.select(
         "column", "missing", F.round(F.try_divide(F.col("missing"), F.col("_rows")) * 100, 2).alias("pct")
-    )
+    ).orderBy("missing", "column")
 
 
 def _repeats(df: DataFrame, key) -> DataFrame:
@@ -64,7 +69,8 @@ def profile_labels(df: DataFrame, label="label", by=()) -> DataFrame:
         counts = join_by(counts, df.groupBy(*by).agg(F.count("*").alias("_rows")), by)
     else:
         counts = counts.withColumn("_rows", df.agg(F.count("*")).scalar())
-    return counts.select(*by, label, "n", F.round(F.col("n") / F.col("_rows") * 100, 2).alias("pct"))
+    shares = counts.select(*by, label, "n", F.round(F.col("n") / F.col("_rows") * 100, 2).alias("pct"))
+    return _ordered(shares, [*by, label])
 
 
 def profile_context(df: DataFrame, flags=FLAG_COLUMNS, by=(), digits=3) -> DataFrame:
@@ -124,14 +130,16 @@ def class_distribution(df: DataFrame, by=("dataset",), label="label") -> DataFra
     by = list(by)
     counts = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     rows = counts.groupBy(*by).agg(F.sum("n").alias("_rows"))
-    return join_by(counts, rows, by).select(*by, label, "n", (F.col("n") / F.col("_rows")).alias("share"))
+    shares = join_by(counts, rows, by).select(*by, label, "n", (F.col("n") / F.col("_rows")).alias("share"))
+    return _ordered(shares, [*by, label])
 
 
 def split_label_pivot(df: DataFrame, labels=(0, 1)) -> DataFrame:
     """Rows per split and label; a missing cell is 0."""
-    return df.groupBy("split").agg(
+    counts = df.groupBy("split").agg(
         *[F.count_if(F.col("label") == v).alias(f"label_{v}") for v in labels]
     )
+    return _ordered(counts, ["split"])
 
 
 def describe_by_label(df: DataFrame, columns=("text_len", "word_count"), by=("label",)) -> DataFrame:
@@ -149,7 +157,7 @@ def describe_by_label(df: DataFrame, columns=("text_len", "word_count"), by=("la
         F.max("value").alias("max"),
     )
     quartiles = quantiles(long, "value", {"q25": 0.25, "q50": 0.50, "q75": 0.75}, keys)
-    return join_by(moments, quartiles, keys)
+    return _ordered(join_by(moments, quartiles, keys), keys)
 
 
 def clip_tail(df: DataFrame, value: str, share=CLIP_SHARE, by=()) -> DataFrame:
@@ -182,7 +190,8 @@ def histogram(df: DataFrame, value: str, bins: int, by=(), range_by=()) -> DataF
     else:
         rows = rows.withColumn("_span", span.select(F.struct("_from", "_width")).scalar()).select("*", "_span.*")
     index = F.least(F.floor((F.col("_x") - F.col("_from")) / F.col("_width") * bins), F.lit(bins - 1))
-    return rows.withColumn("bin", index.cast("int")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    counts = rows.withColumn("bin", index.cast("int")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    return _ordered(counts, [*by, "bin"])
 
 
 def hist_by_label(df: DataFrame, column: str, bins=HISTOGRAM_BINS, share=CLIP_SHARE, by=()) -> DataFrame:

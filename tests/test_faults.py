@@ -139,3 +139,11 @@ def test_joined_vocabulary_gives_the_same_weights(spark):
     vocabulary, n = tfidf.fit_vocabulary(df, "text")
     joined = tfidf.weigh_terms(tfidf.count_terms(df, "id", "text"), "id", vocabulary, n)
     assert near(joined) == near(tfidf.transform_tfidf(df, "id", "text", model))
+
+
+def test_reports_are_ordered(spark):
+    df = spark.createDataFrame([("b", 1), ("a", None), ("a", 0), ("b", 0), ("b", 1)], "dataset string, label int")
+    labels = [(r["dataset"], r["label"]) for r in profile.class_distribution(df).collect()]
+    assert labels == [("a", 0), ("a", None), ("b", 0), ("b", 1)]
+    assert [r["label"] for r in profile.profile_labels(df).collect()] == [0, 1, None]
+    assert [r["column"] for r in profile.profile_missing(df, ["label", "dataset"]).collect()] == ["dataset", "label"]
