@@ -14,7 +14,8 @@ A document's set holds its distinct ``WORDS``-word shingles; two documents link
    when the remaining lengths cannot reach the needed overlap, or when they hold only the searcher's own component. This links nearly all that links, and
    makes one component of a large group of near copies without comparing all its pairs.
 5. What is left is exact: any further link shares one of the rarest ``|shared| - ceil(0.75 n) + 1`` shingles of either side. Pairs of
-   *different* components that meet there are checked by their whole sets.
+   *different* components that meet there, and that neither the place of the shared shingle nor a bit map of both sets rules out,
+   are checked by their whole sets.
 
 No step drops a candidate by count. Only classes, links and roots move after step 1, never pairs of copies.
 
@@ -44,6 +45,7 @@ SLACK = 20
 ROUNDS = 4
 #: Sets with the most links that a set tries before it walks the tree.
 TRIED = 4
+MAP_BITS = 1024
 #: Shingles that one task compares at a time.
 BUCKET = 1_000_000
 #: Digests a task remembers so as not to send a copy's shingles twice.
@@ -207,92 +209,138 @@ def deal(buckets: int):
     return run
 
 
-def count_shared(table: pa.Table) -> pa.Table:
-    """One bucket to (owner, shared): how many of a class's shingles another class holds as well."""
-    owners, shared = [], []
-    for done, counts in zip(table["done"], table["counts"], strict=True):
-        if done.as_py() is not None:
-            owners.append(np.frombuffer(done.as_buffer(), np.uint64))
-            shared.append(np.frombuffer(counts.as_buffer(), np.int64))
-    sent = table.filter(table["grams"].is_valid()).combine_chunks()
-    if sent.num_rows:
-        g = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sent["grams"]])
-        o = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sent["owners"]])
-        order = np.lexsort((o, g))
-        g, o = g[order], o[order]
-        again = np.concatenate(([False], (g[1:] == g[:-1]) & (o[1:] == o[:-1])))
-        g, o = g[~again], o[~again]
-        run = np.cumsum(np.concatenate(([True], g[1:] != g[:-1]))) - 1
-        # two owners, or the mark (0) of a batch that settled its own holders
-        known = (np.bincount(run)[run] > 1) & (o != 0)
-        names, counts = np.unique(o[known], return_counts=True)
-        owners.append(names)
-        shared.append(counts.astype(np.int64))
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.uint64)
-    return pa.table({"owner": pa.array(owner.view(np.int64)), "shared": pa.array(np.concatenate(shared) if shared else [], pa.int64())})
+def count_shared(homes: int):
+    """One bucket to (home, owners, counts): how many of a class's shingles another class holds as well,
+    packed by the home of the class so that rows do not grow with classes times buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        owners, shared = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for done, counts in zip(table["done"], table["counts"], strict=True):
+            if done.as_py() is not None:
+                owners.append(np.frombuffer(done.as_buffer(), np.uint64))
+                shared.append(np.frombuffer(counts.as_buffer(), np.int64))
+        sent = table.filter(table["grams"].is_valid()).combine_chunks()
+        if sent.num_rows:
+            g = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sent["grams"]])
+            o = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in sent["owners"]])
+            order = np.lexsort((o, g))
+            g, o = g[order], o[order]
+            again = np.concatenate(([False], (g[1:] == g[:-1]) & (o[1:] == o[:-1])))
+            g, o = g[~again], o[~again]
+            run_ = np.cumsum(np.concatenate(([True], g[1:] != g[:-1]))) - 1
+            # two owners, or the mark (0) of a batch that settled its own holders
+            known = (np.bincount(run_)[run_] > 1) & (o != 0)
+            names, counts = np.unique(o[known], return_counts=True)
+            owners.append(names)
+            shared.append(counts.astype(np.int64))
+        owner, count = np.concatenate(owners), np.concatenate(shared)
+        home = (mixed(owner) % np.uint64(homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        owner, count = owner[order], count[order]
+        cuts = np.searchsorted(home[order], np.arange(homes + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        return pa.table({
+            "home": pa.array(used, pa.int64()),
+            "owners": pa.array([owner[cuts[h] : cuts[h + 1]].tobytes() for h in used], pa.binary()),
+            "counts": pa.array([count[cuts[h] : cuts[h + 1]].tobytes() for h in used], pa.binary()),
+        })
+
+    return run
+
+
+def sum_shared(table: pa.Table) -> pa.Table:
+    """One home to (owner, shared)."""
+    owners = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["owners"]])
+    counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["counts"]])
+    names, inverse = np.unique(owners, return_inverse=True)
+    return pa.table({"owner": pa.array(names), "shared": pa.array(np.bincount(inverse, counts, len(names)).astype(np.int64))})
+
+
+def _pack(home: np.ndarray, homes: int, sids: list[bytes], sizes: np.ndarray, row: np.ndarray, *values: np.ndarray):
+    """(home, sids, sizes, lengths, values...) blobs of the rows' values, by the home of each value; for sorted ``row``."""
+    order = np.lexsort((row, home))
+    home, row, values = home[order], row[order], [v[order] for v in values]
+    cuts = np.searchsorted(home, np.arange(homes + 1))
+    out = []
+    for h in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[h], cuts[h + 1])
+        held, lengths = np.unique(row[own], return_counts=True)
+        blobs = [b"".join(sids[k] for k in held), sizes[held].astype(np.int64).tobytes(), lengths.astype(np.int64).tobytes()]
+        out.append((int(h), *blobs, *[v[own].tobytes() for v in values]))
+    return out
+
+
+def _unpack(table: pa.Table, *columns: str):
+    """Distinct classes with their sizes, and the row and values of each shingle, in the order of rows."""
+    number: dict[bytes, int] = {}
+    sizes: list[int] = []
+    rows, values = [], {c: [] for c in columns}
+    for r in table.to_pylist():
+        own = [r["sids"][k : k + 16] for k in range(0, len(r["sids"]), 16)]
+        for sid, n in zip(own, np.frombuffer(r["sizes"], np.int64).tolist(), strict=True):
+            if sid not in number:
+                number[sid] = len(number)
+                sizes.append(n)
+        rows.append(np.repeat(np.array([number[x] for x in own]), np.frombuffer(r["lengths"], np.int64)))
+        for c in columns:
+            values[c].append(np.frombuffer(r[c], np.uint64))
+    row = np.concatenate(rows)
+    found = [np.concatenate(values[c]) for c in columns]
+    order = np.lexsort((found[0], row))  # a class may come from two tasks: its shingles count once
+    row, found = row[order], [v[order] for v in found]
+    fresh = np.concatenate(([True], (found[0][1:] != found[0][:-1]) | (row[1:] != row[:-1])))
+    return list(number), np.array(sizes), row[fresh], [v[fresh] for v in found]
 
 
 def deal_whole(buckets: int):
-    """(sid, grams) to (bucket, sids, sizes, grams): the parts of whole sets that fall into each bucket."""
+    """(sid, n, grams) to the parts of whole sets that fall into each bucket of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, row = _flat(batch.column(1))
-            sids = [x.as_py() for x in batch.column(0)]
-            bucket = (grams % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((grams, row, bucket))
-            grams, row, bucket = grams[order], row[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            out = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[b], cuts[b + 1])
-                held, sizes = np.unique(row[own], return_counts=True)
-                out.append((int(b), b"".join(sids[k] for k in held), sizes.astype(np.int32).tobytes(), grams[own].tobytes()))
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield _batch([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "sids", "sizes", "grams"])
+            grams, row = _flat(batch.column(2))
+            out = _pack(
+                (grams % np.uint64(buckets)).astype(np.int64), buckets, batch.column(0).to_pylist(),
+                batch.column(1).to_numpy(), row, grams,
+            )
+            yield from _blobs(out, ["bucket", "sids", "sizes", "lengths", "grams"])
 
     return run
 
 
-def rank_shared(table: pa.Table) -> pa.Table:
-    """One bucket to (sid, grams, holders): the shingles that two classes hold or more, with the number of holders."""
-    sids, parts, sizes = [], [], []
-    for row in table.to_pylist():
-        sids += [row["sids"][k : k + 16] for k in range(0, len(row["sids"]), 16)]
-        sizes.append(np.frombuffer(row["sizes"], np.int32))
-        parts.append(np.frombuffer(row["grams"], np.uint64))
-    grams = np.concatenate(parts)
-    first = {sid: k for k, sid in reversed(list(enumerate(sids)))}  # a class may come from two tasks
-    row = np.repeat(np.array([first[sid] for sid in sids]), np.concatenate(sizes))
-    order = np.lexsort((grams, row))
-    grams, row = grams[order], row[order]
-    again = np.concatenate(([False], (grams[1:] == grams[:-1]) & (row[1:] == row[:-1])))
-    grams, row = grams[~again], row[~again]
-    _, inverse, holders = np.unique(grams, return_inverse=True, return_counts=True)
-    holders = holders[inverse]
-    keep = holders > 1
-    grams, row, holders = grams[keep], row[keep], holders[keep].astype(np.int64)
-    cuts = np.searchsorted(row, np.arange(len(sids) + 1))
-    used = np.flatnonzero(np.diff(cuts))
-    cell = lambda x: [x[cuts[k] : cuts[k + 1]].tobytes() for k in used]
-    return pa.table({
-        "sid": pa.array([sids[k] for k in used], pa.binary()),
-        "grams": pa.array(cell(grams), pa.binary()), "holders": pa.array(cell(holders), pa.binary()),
-    })
+def _blobs(out: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    if out:
+        first, *rest = zip(*out, strict=True)
+        yield _batch([pa.array(first, pa.int64()), *[pa.array(c, pa.binary()) for c in rest]], names)
 
 
-def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, n, parts) to (sid, n, grams): shared shingles, rare first; classes with too few of them leave."""
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            grams = np.concatenate([np.frombuffer(p["grams"], np.uint64) for p in row["parts"]])
-            holders = np.concatenate([np.frombuffer(p["holders"], np.int64) for p in row["parts"]])
-            if len(grams) >= least_overlap(row["n"]):
-                rows.append((row["sid"], row["n"], grams[np.lexsort((grams, holders))].tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        yield _batch([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["sid", "n", "grams"])
+def rank_shared(homes: int):
+    """One bucket to its shingles that two classes hold or more, with the number of holders, by the home of the class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sids, sizes, row, (grams,) = _unpack(table, "grams")
+        _, inverse, holders = np.unique(grams, return_inverse=True, return_counts=True)
+        holders = holders[inverse]
+        keep = holders > 1
+        names = np.array([int.from_bytes(x[8:], "little") for x in sids], np.uint64) % np.uint64(homes)
+        row = row[keep]
+        out = _pack(names.astype(np.int64)[row], homes, sids, sizes, row, grams[keep], holders[keep].astype(np.uint64))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = [pa.int64()] + [pa.binary()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["home", "sids", "sizes", "lengths", "grams", "holders"])
+
+    return run
+
+
+def assemble(table: pa.Table) -> pa.Table:
+    """One home to (sid, n, grams): shared shingles, rare first; classes with too few of them leave."""
+    sids, sizes, row, (grams, holders) = _unpack(table, "grams", "holders")
+    order = np.lexsort((grams, holders, row))
+    grams, cuts = grams[order], np.searchsorted(row, np.arange(len(sids) + 1))
+    able = [k for k in range(len(sids)) if cuts[k + 1] - cuts[k] >= least_overlap(int(sizes[k]))]
+    return pa.table({
+        "sid": pa.array([sids[k] for k in able], pa.binary()), "n": pa.array([int(sizes[k]) for k in able], pa.int64()),
+        "grams": pa.array([grams[cuts[k] : cuts[k + 1]].tobytes() for k in able], pa.binary()),
+    })
 
 
 class Components:
@@ -350,17 +398,14 @@ class PrefixTree:
             self.owner = -1
 
 
-def join_group(sets: list[tuple[list[int], int]], before: list[int]) -> list[tuple[int, int]]:
-    """Links that connect what is similar in a group of (ordered grams, n); ``before``: components known so far.
+def join_group(sets: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
+    """Links (later, earlier) that connect what is similar in a group of (ordered grams, n).
 
     The sets with the most in common come first, so the hub of a large group is in the tree early, and each set
-    tries the hubs of its components before it walks the tree.
+    tries the greatest hubs before it walks the tree.
     """
     found: list[tuple[int, int]] = []
     owners = Components(len(sets))
-    first: dict[int, int] = {}
-    for k, c in enumerate(before):
-        owners.up[k] = owners.root(first.setdefault(c, k))
     tree = PrefixTree([])
     order = sorted(range(len(sets)), key=lambda k: (sets[k][1] - len(sets[k][0]), -sets[k][1], k))
     own = [frozenset(g) for g, _ in sets]
@@ -409,7 +454,7 @@ def join_group(sets: list[tuple[list[int], int]], before: list[int]) -> list[tup
 
 
 def meet(round_: int):
-    """(sid, n, grams, comp) to (key, ...): the smallest shingle under the round's permutation."""
+    """(sid, n, grams) to (key, ...): the smallest shingle under the round's permutation."""
     turn = np.uint64(round_ * int(_STEP) % 2**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,15 +473,14 @@ def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of which the hubs go on to the next stretch."""
 
     def links(rows: list) -> tuple[list[tuple[bytes, bytes]], list]:
-        sets = [(np.frombuffer(g, np.uint64).tolist(), n) for _, _, n, g, _ in rows]
-        found = join_group(sets, [c for *_, c in rows])
+        found = join_group([(np.frombuffer(g, np.uint64).tolist(), n) for _, _, n, g in rows])
         hubs = sorted({b for _, b in found})[:GROUP // 4]
         return [(rows[a][1], rows[b][1]) for a, b in found], [rows[k] for k in hubs]
 
     held: list = []
     for batch in batches:
         out: list = []
-        cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "sid", "n", "grams", "comp")]
+        cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("key", "sid", "n", "grams")]
         for row in zip(*cols, strict=True):
             if held and held[-1][0] != row[0]:
                 out += links(held)[0] if len(held) > 1 else []
@@ -458,18 +502,37 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, n, grams) to (gram, sid, n) of the shingles one of which any link of the class shares."""
+    """(sid, n, grams) to (gram, sid, n, rest) of the shingles one of which any link of the class shares;
+    ``rest`` shingles come after it in the order."""
     for batch in batches:
         sid, n = batch.column(0), batch.column(1).to_pylist()
         parts = [np.frombuffer(g.as_buffer(), np.int64) for g in batch.column(2)]
+        whole = [len(p) for p in parts]
         parts = [p[: len(p) - least_overlap(k) + 1] for p, k in zip(parts, n, strict=True)]
         row = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
+        rest = [np.arange(w - 1, w - 1 - len(p), -1) for w, p in zip(whole, parts, strict=True)]
         yield _batch(
-            [pa.array(np.concatenate(parts) if parts else []).cast(pa.int64()), sid.take(row), batch.column(1).take(row)],
-            ["gram", "sid", "n"],
+            [
+                pa.array(np.concatenate(parts) if parts else [], pa.int64()), sid.take(row), batch.column(1).take(row),
+                pa.array(np.concatenate(rest) if rest else [], pa.int64()),
+            ],
+            ["gram", "sid", "n", "rest"],
         )
 
 
+def bit_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, n, grams) to (sid, held, bits): ``MAP_BITS`` bits, each set by the shingles that hash to it."""
+    for batch in batches:
+        maps, held = [], []
+        for grams in batch.column(2):
+            g = np.frombuffer(grams.as_buffer(), np.uint64)
+            bits = np.zeros(MAP_BITS, np.uint8)
+            bits[(mixed(g) % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+            maps.append(np.packbits(bits).view(np.int64).tolist())
+            held.append(len(g))
+        yield _batch([batch.column(0), pa.array(held, pa.int64()), pa.array(maps, pa.list_(pa.int64()))], ["sid", "held", "bits"])
+
+
 def check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -496,7 +559,10 @@ def possible(made: DataFrame) -> DataFrame:
     total = sent.agg(F.sum(F.octet_length("grams")) / 8).first()[0] or 0
     buckets = max(1, int(total // BUCKET) + 1)
     dealt = sent.mapInArrow(deal(buckets), "bucket long, grams binary, owners binary, done binary, counts binary")
-    shared = dealt.groupBy("bucket").applyInArrow(count_shared, "owner long, shared long").groupBy("owner").agg(F.sum("shared").alias("shared"))
+    shared = (
+        dealt.groupBy("bucket").applyInArrow(count_shared(buckets), "home long, owners binary, counts binary")
+        .groupBy("home").applyInArrow(sum_shared, "owner long, shared long")
+    )
     own = made.where("grams is not null").select("sid", "n").distinct()
     least = F.lit(1) + F.floor(F.ceil(F.lit(PART) * F.col("n") / WHOLE) / SLACK)
     named = own.mapInArrow(name_owner, "sid binary, n long, owner long")
@@ -520,54 +586,49 @@ def ordered_sets(made: DataFrame, keyed: DataFrame, able: DataFrame) -> DataFram
     whole = texts.mapInArrow(make_sets(True), SETS.format(id=kind)).where("grams is not null")
     whole = stage(whole.select("sid", "n", "grams"), "whole-sets")
     total = whole.agg(F.sum("n")).first()[0] or 0
-    parts = (
-        whole.select("sid", "grams").mapInArrow(deal_whole(max(1, int(total // BUCKET) + 1)), "bucket long, sids binary, sizes binary, grams binary")
-        .groupBy("bucket").applyInArrow(rank_shared, "sid binary, grams binary, holders binary")
-        .groupBy("sid").agg(F.collect_list(F.struct("grams", "holders")).alias("parts"))
+    buckets = int(total // BUCKET) + 1
+    blobs = "sids binary, sizes binary, lengths binary, grams binary"
+    ranked = (
+        whole.mapInArrow(deal_whole(buckets), f"bucket long, {blobs}")
+        .groupBy("bucket").applyInArrow(rank_shared(buckets), f"home long, {blobs}, holders binary")
     )
-    sizes = whole.select("sid", "n").distinct()
-    joined = sizes.join(parts, "sid").select("sid", "n", "parts")
-    return stage(joined.mapInArrow(assemble, "sid binary, n long, grams binary"), "ordered-sets")
+    return stage(ranked.groupBy("home").applyInArrow(assemble, "sid binary, n long, grams binary"), "ordered-sets")
 
 
-def links_of(sets: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all links (steps 4 and 5)."""
-    kind = "sid binary, n long, grams binary, comp binary"
-    open_ = sets.withColumn("comp", F.col("sid"))
-    links = comps = None
+def class_roots(sets: DataFrame) -> DataFrame:
+    """(node, root) of the classes that link with others (steps 4 and 5)."""
+    open_, links = sets.select("sid", "n", "grams"), None
     for k in range(ROUNDS):
-        keyed = open_.mapInArrow(meet(k), f"key long, {kind}").where("key is not null")
+        keyed = open_.mapInArrow(meet(k), "key long, sid binary, n long, grams binary").where("key is not null")
         grouped = keyed.repartition("key").sortWithinPartitions("key")
         found = stage(grouped.mapInArrow(join_groups, "a binary, b binary"), f"links-{k}")
         links = links.unionByName(found) if k else found
-        comps = connected(links, f"round-{k}")
-        if k == ROUNDS - 1:
-            break
-        # of a component only its hubs and one more go on: links among its own are of no use
-        hubs = links.select(F.col("b").alias("hub")).distinct()
-        open_ = (
-            open_.drop("comp").join(comps, F.col("sid") == F.col("node"), "left").join(hubs, F.col("sid") == F.col("hub"), "left")
-            .where("root is null or root = sid or hub is not null")
-            .select("sid", "n", "grams", F.coalesce("root", "sid").alias("comp"))
-        )
-        open_ = stage(open_, f"open-{k}")
-    rare = sets.select("sid", "n", "grams").mapInArrow(rarest, "gram long, sid binary, n long")
+        if k < ROUNDS - 1:  # what has come to a hub is stood for by it
+            open_ = stage(open_.join(found.select(F.col("a").alias("sid")), "sid", "left_anti"), f"open-{k}")
+    comps = connected(links, "rounds")
+    rare = sets.select("sid", "n", "grams").mapInArrow(rarest, "gram long, sid binary, n long, rest long")
     rare = stage(
-        rare.join(comps, F.col("sid") == F.col("node"), "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("comp")),
+        rare.join(comps, F.col("sid") == F.col("node"), "left").select("gram", "sid", "n", "rest", F.coalesce("root", "sid").alias("comp")),
         "rarest",
     )
     mixed_ = rare.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    open_ = stage(rare.join(mixed_, "gram"), "open-grams")
+    open_ = rare.join(mixed_, "gram")
+    maps = sets.select("sid", "n", "grams").mapInArrow(bit_maps, "sid binary, held long, bits array<long>")
+    open_ = stage(open_.join(maps, "sid"), "open-grams")
     left, right = open_.alias("l"), open_.alias("r")
-    pairs = left.join(
-        right,
-        (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") < F.col("r.comp"))
-        & (WHOLE * F.col("l.n") >= PART * F.col("r.n")) & (WHOLE * F.col("r.n") >= PART * F.col("l.n")),
-    ).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+    need = F.ceil(PART * (F.col("l.n") + F.col("r.n")) / (WHOLE + PART))
+    # at the first shingle that a pair shares, what comes after it must still make up the needed overlap
+    reach = F.least("l.rest", "r.rest") + 1 >= need
+    # every bit in which two maps differ stands for a shingle that only one set holds
+    differ = F.aggregate(F.zip_with("l.bits", "r.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    close = differ <= F.col("l.held") + F.col("r.held") - 2 * need
+    same = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") < F.col("r.comp"))
+    pairs = left.join(right, same & reach & close).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     one = sets.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ag"))
     two = sets.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("bg"))
     sure = pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ag", "bg").mapInArrow(check_pairs, "a binary, b binary")
-    return links.unionByName(sure)
+    sure = stage(sure, "checked-links")
+    return comps if sure.isEmpty() else connected(links.unionByName(sure), "classes")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -575,7 +636,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made, keyed = classes(docs, id_col, text_col)
     able = stage(possible(made), "able-classes")
     sets = ordered_sets(made, keyed, able)
-    roots = connected(stage(links_of(sets), "all-links"), "classes")
+    roots = class_roots(sets)
     least = made.where("sid is not null").groupBy("sid").agg(F.min("_id").alias("least"))
     named = least.join(roots, least["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     tops = named.where("root <> sid").select("root", "least").unionByName(named.where("root = sid").select("root", "least"))

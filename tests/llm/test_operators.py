@@ -191,7 +191,7 @@ def test_join_group_finds_all_components():
     base = list(range(1000, 1100))
     sets = [(sorted(set(base) - set(r.sample(base, k % 9)) | {k}), 101) for k in range(60)]
     sets += [(sorted(r.sample(range(5000), 80)), 80) for _ in range(40)]
-    links = jaccard.join_group([(g, len(g)) for g, _ in sets], list(range(len(sets))))
+    links = jaccard.join_group([(g, len(g)) for g, _ in sets])
     up = jaccard.Components(len(sets))
     for a, b in links:
         up.up[up.root(a)] = up.root(b)
