@@ -190,9 +190,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = stage(
         data.mapInArrow(find_anchors, f"anchor long, digest binary, _id {kind}, _th long, first long, size int, at int"), "anchors"
     )
-    often = every.groupBy("anchor").agg(
-        F.count("*").alias("n"), F.min("digest").alias("d1"), F.max("digest").alias("d2")
-    ).where("n > 1").select("anchor", (F.col("d1") != F.col("d2")).alias("differ"))
+    # staged, so that the join deals rows out anew and can split an anchor that very many places share
+    often = stage(
+        every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
+        .where("n > 1").select("anchor", (F.col("d1") != F.col("d2")).alias("differ")),
+        "frequent-anchors",
+    )
     again = stage(every.join(often, "anchor"), "repeated-anchors")
     distinct = stage(
         again.groupBy("anchor", "digest").agg(
