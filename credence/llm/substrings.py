@@ -11,9 +11,13 @@ Every byte covered by a ``LENGTH``-byte string that also starts anywhere else go
    that symbol, stably (the Burrows-Wheeler step), and updates the common prefixes of neighbours in the order. Where a common prefix reaches
    ``LENGTH``, both neighbours' windows at that column are repeated. The rounds are bounded by the length of a context, whatever
    the length of a document; the collections come sequentially from the sorted shuffle files of a task, a bounded number of contexts at a time.
-3. *Spans.* Repeated windows go back to all documents that hold their context, and merge there into removed runs.
+3. *Crowds.* An anchor with more than ``COLLECTION`` different contexts is no collection. The windows that start in a block of ``BLOCK``
+   neighbouring columns have all bytes but the outermost in common; so the digests of these cores are counted for each anchor and
+   block, and where a core repeats, so are the digests of the single windows. Both are counts with partial sums in each map task:
+   no task holds the crowd.
+4. *Spans.* Repeated windows go back to all documents that hold their context, and merge there into removed runs.
 
-What is compared are bytes; hashes only say what to compare, but for whole equal contexts (a 128-bit digest).
+What is compared are bytes; hashes only say what to compare, but for whole equal contexts and the windows of crowds (a 128-bit digest).
 
 Defined cases: null text counts as empty; texts under ``LENGTH`` bytes keep everything. Rows equal in id and text are each
 an occurrence, so their windows are repeated. An empty table gives an empty result. Extra columns are ignored.
@@ -35,8 +39,10 @@ from credence.session import stage
 
 LENGTH = 400
 GRAM = 64
-#: Contexts that a task takes together, unless one anchor has more.
+#: Contexts that a task takes together, with those of the last anchor less than twice as many; an anchor with more is a crowd.
 COLLECTION = 16_000
+#: Columns of a crowd whose windows are first counted together.
+BLOCK = 32
 ABSENT = 256
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -183,6 +189,69 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield collection(held)
 
 
+def cores(block: int):
+    """A mapInArrow function from (anchor, digest, at, context, columns) to (anchor, digest, column, core): for each block of columns the
+    digest of the bytes that all its windows hold. ``columns`` are the first ones of the ``BLOCK``s to look into; null stands for all."""
+    reach = LENGTH - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, digest, at, context, columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                start = reach - at
+                low, high = start, start + len(context) - LENGTH  # first and last window
+                for a in range(0, reach + 1, BLOCK) if columns is None else columns:
+                    b = min(a + BLOCK - 1, reach)
+                    for c in range(a, b + 1, block):
+                        d = min(c + block - 1, b)
+                        if c <= high and d >= low:
+                            core = context[d - start : c - start + LENGTH]
+                            out.append((anchor, digest, c, hashlib.blake2b(core, digest_size=16).digest()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "digest", "column", "core"]
+            )
+
+    return run
+
+
+def column_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, digest, at, columns) to (anchor, digest, lo, hi), as of ``compare``."""
+    for batch in batches:
+        out: list[tuple] = []
+        for anchor, digest, at, columns in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            found = np.sort(np.array(columns)) + at - (LENGTH - GRAM)
+            gap = np.flatnonzero(np.diff(found) > 1)
+            lows, highs = found[np.concatenate(([0], gap + 1))], found[np.concatenate((gap, [len(found) - 1]))]
+            out += [(anchor, digest, lo, hi) for lo, hi in zip(lows.tolist(), highs.tolist(), strict=True)]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 4
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "digest", "lo", "hi"])
+
+
+def crowd_runs(contexts: DataFrame) -> DataFrame:
+    """What ``compare`` gives, for staged contexts of crowded anchors, by counting (step 3)."""
+    all_ = F.lit(None).cast("array<int>")
+    asked = contexts.select("anchor", "digest", "at", "context", all_.alias("columns"))
+    for block in (BLOCK, 1):
+        dealt = stage(asked.mapInArrow(cores(block), "anchor long, digest binary, column int, core binary"), f"cores-{block}")
+        key = ["anchor", "column", "core"]
+        again = dealt.join(dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), key)
+        columns = again.groupBy("anchor", "digest").agg(F.collect_list("column").alias("columns"))  # at most one a column
+        asked = contexts.join(columns, ["anchor", "digest"]).select("anchor", "digest", "at", "context", "columns")
+    return asked.select("anchor", "digest", "at", "columns").mapInArrow(column_runs, "anchor long, digest binary, lo int, hi int")
+
+
+def contexts_of(data: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(anchor, digest, at, context) of different contexts, each cut from one text that holds it."""
+    places = distinct.groupBy(F.col("p._id").alias("p_id"), F.col("p._th").alias("p_th")).agg(
+        F.collect_list(F.struct("anchor", "digest", F.col("p.first").alias("first"), "size", F.col("p.at").alias("at"))).alias("places")
+    )
+    texts = data.join(places, data["_id"].eqNullSafe(places["p_id"]) & (data["_th"] == places["p_th"]))
+    return texts.select("data", "places").mapInArrow(cut_contexts, "anchor long, digest binary, at int, context binary")
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, spans): byte runs (a, b) of each document that repeated windows cover, not yet merged."""
     data = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).cast("binary").alias("data"))
@@ -205,15 +274,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "contexts",
     )
     whole = distinct.where("n > 1").select("anchor", "digest", F.lit(0).alias("lo"), (F.col("size") - LENGTH).alias("hi"))
-    places = (
-        distinct.where("differ")
-        .groupBy(F.col("p._id").alias("p_id"), F.col("p._th").alias("p_th"))
-        .agg(F.collect_list(F.struct("anchor", "digest", F.col("p.first").alias("first"), "size", F.col("p.at").alias("at"))).alias("places"))
+    differ = distinct.where("differ")
+    crowded = stage(
+        differ.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > COLLECTION).select("anchor"), "crowded-anchors"
     )
-    texts = data.join(places, data["_id"].eqNullSafe(places["p_id"]) & (data["_th"] == places["p_th"]))
-    contexts = texts.select("data", "places").mapInArrow(cut_contexts, "anchor long, digest binary, at int, context binary")
+    crowds = not crowded.isEmpty()
+    contexts = contexts_of(data, differ.join(crowded, "anchor", "left_anti") if crowds else differ)
     sorted_ = contexts.repartition("anchor").sortWithinPartitions("anchor")
     partly = stage(sorted_.mapInArrow(compare, "anchor long, digest binary, lo int, hi int"), "repeated-windows")
+    if crowds:
+        contexts = stage(contexts_of(data, differ.join(crowded, "anchor", "left_semi")), "crowded-contexts")
+        partly = partly.unionByName(stage(crowd_runs(contexts), "repeated-crowd-windows"))
     runs = whole.unionByName(partly).select(F.col("anchor").alias("r_anchor"), F.col("digest").alias("r_digest"), "lo", "hi")
     hit = again.join(runs, (F.col("anchor") == F.col("r_anchor")) & (F.col("digest") == F.col("r_digest")))
     span = F.struct((F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + LENGTH).alias("b"))

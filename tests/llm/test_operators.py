@@ -275,6 +275,36 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_a_crowded_anchor(spark, monkeypatch):
+    """Passages of less and of more than a window in many surroundings: whole, and no task compares an unbounded collection."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    short, nearly, wide = noise(200), noise(390), noise(450)
+    rows = [noise(500) + short + noise(500) for _ in range(60)] + [noise(500) + nearly + noise(500) for _ in range(40)]
+    rows += [noise(500) + wide + noise(500) for _ in range(40)]
+    rows += [noise(300) + rows[k][300:900] + noise(300) for k in (0, 1, 2, 60, 61, 100)]
+    rows += [noise(40) + rows[70][480:900] + noise(10), rows[3][450:850], rows[4][440:841] + "x", short, wide]
+    starts = collections.Counter()
+    for t in rows:
+        starts.update(t[k : k + 400] for k in range(len(t) - 399))
+    expected = collections.Counter()
+    for i, t in enumerate(rows):
+        gone = {p for k in range(len(t) - 399) if starts[t[k : k + 400]] > 1 for p in range(k, k + 400)}
+        kept = "".join(x for p, x in enumerate(t) if p not in gone)
+        expected[i, len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    whole = substrings.repeated_windows
+
+    def bounded(contexts, *rest):
+        assert len(contexts) < 2 * 8, "too many contexts at a time"
+        return whole(contexts, *rest)
+
+    monkeypatch.setattr(substrings, "COLLECTION", 8)
+    monkeypatch.setattr(substrings, "repeated_windows", bounded)
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert got(substrings.report(substrings.remove_repeats(frame)), "doc_id", "n_removed", "kept_sha256") == expected
+    assert sum(k[1] > 0 for k in expected) > 40
+
+
 def test_rules(docs, empty):
     expected = collections.Counter()
     for i, t in corpus():
