@@ -631,8 +631,9 @@ def class_roots(sets: DataFrame) -> DataFrame:
     return comps if sure.isEmpty() else connected(links.unionByName(sure), "classes")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, _th, n_shingles, component_id) of every row."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _th, n_shingles, component_id, top) of every row. ``top`` names the component even where ids are
+    null or stand for several texts; it is null without words."""
     made, keyed = classes(docs, id_col, text_col)
     able = stage(possible(made), "able-classes")
     sets = ordered_sets(made, keyed, able)
@@ -642,23 +643,29 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tops = named.where("root <> sid").select("root", "least").unionByName(named.where("root = sid").select("root", "least"))
     tops = tops.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("component"))
     of_class = stage(
-        named.join(tops, named["root"] == tops["top"]).select(F.col("sid").alias("class"), "component"), "class-components"
+        named.join(tops, named["root"] == tops["top"]).select(F.col("sid").alias("class"), "component", "top"), "class-components"
     )
     rows = made.select("_id", "_th", "n", "sid")
     return rows.join(of_class, rows["sid"] == of_class["class"], "left").select(
         F.col("_id").alias("doc_id"), "_th", F.col("n").alias("n_shingles"),
-        F.coalesce("component", "_id").alias("component_id"),
+        F.coalesce("component", "_id").alias("component_id"), "top",
     )
 
 
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _th, n_shingles, component_id) of every row."""
+    return rooted(docs, id_col, text_col).drop("top")
+
+
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input with one document of each component: the one whose id names it.
+    """The input with one document of each component: the one with the smallest id, or any where all ids are null.
 
-    Of repeated rows with that id one stays, chosen by the digest of the text. Documents without words all stay.
+    Of repeated rows with that id one stays, chosen by the digest of the text. Texts that are not similar stay apart
+    also where they share an id or have none. Documents without words all stay.
     """
-    found = components(docs, id_col, text_col)
+    found = rooted(docs, id_col, text_col)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(
+    first = found.where("n_shingles > 0").groupBy("top").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).alias("k")
     ).select(name("k.doc_id").alias("_name"), F.col("k._th").alias("_digest"))
     rows = docs.select(F.struct("*").alias("row"), name(id_col).alias("_name"), F.xxhash64(text_or_empty(text_col)).alias("_digest"))

@@ -186,6 +186,15 @@ def test_jaccard(docs, empty):
     assert jaccard.components(empty).count() == 0 and jaccard.one_each(empty).count() == 0
 
 
+def test_one_each_keeps_unrelated_texts_without_an_id_of_their_own(spark):
+    line = lambda seed: " ".join(random.Random(seed).choices("abcdefghijklmnopqrstuvwxyz", k=60))
+    near = line(1) + " end"
+    rows = [(None, line(1)), (None, line(2)), (None, line(2)), (5, line(3)), (5, line(4)), (6, line(4) + " end"), (7, near), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = collections.Counter([(7, near), (None, line(2)), (5, line(3)), (5, line(4)), (8, "")])
+    assert got(jaccard.one_each(frame), "doc_id", "text") == want
+
+
 def test_join_group_finds_all_components():
     r = random.Random(3)
     base = list(range(1000, 1100))
