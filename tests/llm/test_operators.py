@@ -402,6 +402,24 @@ def test_toxicity(spark, graded, docs, empty):
     assert len(base) == 1
 
 
+def test_toxicity_keeps_all_when_nothing_is_known(spark, graded):
+    frame = spark.createDataFrame(graded, "doc_id long, text string").repartition(4)
+    schema = "doc_id long, toxic int"
+    fit = {r.doc_id: r.f for r in frame.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) != 0).alias("f")).collect()}
+    free = [i for i, _ in graded if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [i for i, _ in graded if zlib.crc32(str(i).encode()) % 4 == 2]
+    toxic = [i for i in free if i % 3 == 0 and fit[i]]
+    plain = [i for i in free if i % 3 and fit[i]]
+    nothing = [[], [(10**6 + i, i % 2) for i in range(40)], [(i, int(i % 3 == 0)) for i in held], [(toxic[0], 1)], [(i, 0) for i in free]]
+    for rows in nothing:
+        assert toxicity.ordinary(frame, spark.createDataFrame(rows, schema)).count() == len(graded), rows[:3]
+    # a few labels, none of them in the quarter that the curve is fitted on
+    few = spark.createDataFrame([(i, 1) for i in toxic[:20]] + [(i, 0) for i in plain[:40]], schema)
+    kept = {r.doc_id for r in toxicity.ordinary(frame, few).collect()}
+    bad = {i for i, _ in graded if i % 3 == 0}
+    assert len(kept & bad) < 0.1 * len(bad) and len(kept - bad) > 0.9 * (len(graded) - len(bad))
+
+
 def test_quality_votes(spark, graded, docs, empty):
     frame = spark.createDataFrame(graded, "doc_id long, text string").repartition(4)
     labels = labelled(spark, graded, lambda t: not t.isupper())
