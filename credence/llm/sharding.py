@@ -3,7 +3,8 @@
 Texts are ordered by a hash of their content. The atoms are the ``CELLS`` equal ranges of
 that order; equal texts share a hash, so a group of copies always lies whole in one atom. Over the ordered atom
 sizes a binary search finds the smallest capacity for which cutting greedily needs no more
-than the wanted number of shards, and the shards are cut there.
+than the wanted number of shards. An atom above the mean size (a hot group of copies) would set it for all; it
+gets a shard of its own, and the rest is cut by the same search over the shards left, at no larger capacity.
 
 What the driver sees is one size per atom, 65,536 numbers at any scale; at 100 TB an atom
 is 1/1600 of a shard. Rows are numbered inside shards by salted parts of bounded size, so a group of copies
@@ -31,36 +32,66 @@ ROW_BYTES = 16
 CELLS = 65_536
 
 
-def greedy_cuts(ends: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Ends (exclusive) of the shards filled greedily up to ``capacity``; None if more are needed.
+def greedy_cuts(ends: list[int], capacity: int, at: int, stop: int) -> list[int]:
+    """Ends (exclusive) of the shards that hold the atoms ``at`` to ``stop``, filled greedily up to ``capacity``.
 
-    ``ends`` are running totals of the atom sizes.
+    ``ends`` are running totals of the atom sizes; no atom there is above the capacity.
     """
-    cuts, at, done = [], 0, 0
-    while at < len(ends):
-        if len(cuts) == shards:
-            return None
-        nxt = bisect_right(ends, done + capacity, lo=at)
-        if nxt == at:
-            return None
-        cuts.append(nxt)
-        at, done = nxt, ends[nxt - 1]
+    cuts, done = [], ends[at - 1] if at else 0
+    while at < stop:
+        at = bisect_right(ends, done + capacity, lo=at, hi=stop)
+        cuts.append(at)
+        done = ends[at - 1]
     return cuts
 
 
-def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
-    """Cuts of the contiguous partition whose largest part is smallest."""
-    if not sizes:
-        return []
-    ends = list(accumulate(sizes))
-    low, high = max(max(sizes), -(-ends[-1] // shards)), ends[-1]
+def cuts_around(ends: list[int], alone: list[int], capacity: int) -> list[int]:
+    """Cuts of the partition in which the atoms ``alone`` have a shard each and the stretches between are filled greedily."""
+    cuts, at = [], 0
+    for x in alone:
+        cuts += [*greedy_cuts(ends, capacity, at, x), x + 1]
+        at = x + 1
+    return cuts + greedy_cuts(ends, capacity, at, len(ends))
+
+
+def least_capacity(sizes: list[int], ends: list[int], alone: list[int], shards: int) -> int:
+    """Smallest capacity of the other shards; that of the largest stretch is enough."""
+    apart = set(alone)
+    low, high = max((s for k, s in enumerate(sizes) if k not in apart), default=0), ends[-1]
     while low < high:
         middle = (low + high) // 2
-        if greedy_cuts(ends, middle, shards) is None:
+        if len(cuts_around(ends, alone, middle)) > shards:
             low = middle + 1
         else:
             high = middle
-    return greedy_cuts(ends, low, shards)
+    return low
+
+
+def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
+    """Cuts of a contiguous partition whose largest part is smallest, and that leaves no shard empty while atoms can be parted.
+
+    An atom above the mean would set the capacity for all. It gets a shard of its own, where that needs no larger
+    capacity, and the rest is partitioned over the shards left by the same search.
+    """
+    if not sizes:
+        return []
+    ends, alone = list(accumulate(sizes)), []
+    capacity, rest = least_capacity(sizes, ends, [], shards), ends[-1]
+    for x in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+        if len(alone) == shards or sizes[x] * (shards - len(alone)) <= rest:
+            break
+        tried = sorted([*alone, x])
+        if len(cuts_around(ends, tried, capacity)) <= shards:
+            alone, rest = tried, rest - sizes[x]
+    cuts = cuts_around(ends, alone, least_capacity(sizes, ends, alone, shards))
+    while len(cuts) < min(shards, len(sizes)):  # what is left over halves the largest part of several atoms
+        parts = [(a, b) for a, b in zip([0, *cuts], cuts) if b - a > 1]
+        held = lambda a, b: ends[b - 1] - (ends[a - 1] if a else 0)
+        a, b = max(parts, key=lambda p: held(*p))
+        at = bisect_right(ends, (ends[a - 1] if a else 0) + held(a, b) // 2, lo=a, hi=b)
+        cuts.append(min((k for k in (at, at + 1) if a < k < b), key=lambda k: max(held(a, k), held(k, b))))
+        cuts.sort()
+    return cuts
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:

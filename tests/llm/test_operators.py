@@ -150,6 +150,28 @@ def test_minimax_is_least(seed):
     assert cuts[-1] == len(sizes) and len(cuts) <= shards and max(parts) == best(sizes, shards)
 
 
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.33, 0.6])
+def test_a_hot_atom_leaves_no_shard_empty(share):
+    r = random.Random(4)
+    sizes = [r.randint(50, 150) for _ in range(4000)]
+    rest = sum(sizes)
+    hot = int(rest * share / (1 - share))
+    sizes.insert(1234, hot)
+    cuts = sharding.minimax_cuts(sizes, 40)
+    parts = [sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts)]
+    assert len(parts) == 40 and max(parts) == hot and parts.count(hot) == 1
+    others = [x for x in parts if x != hot]
+    assert max(others) < 1.05 * rest / 39 and min(others) > 0.5 * rest / 39
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shards_are_empty_only_for_want_of_atoms(seed):
+    r = random.Random(seed)
+    sizes, shards = [r.choice([1, 2, 3, 60, 90]) for _ in range(r.randint(1, 30))], r.randint(1, 12)
+    cuts = sharding.minimax_cuts(sizes, shards)
+    assert len(cuts) == min(shards, len(sizes)) and cuts == sorted(set(cuts)) and cuts[-1] == len(sizes)
+
+
 def test_gapless_rank(spark):
     rows = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id") % 3).alias("g"), "id")
     ranked = gapless_rank(rows, "g", ["id"]).groupBy("g").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("_rank")).alias("r"))
