@@ -94,3 +94,36 @@ reached AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x) c USING (doc_id)
 """
+
+#: CRC-32 bit by bit: each byte is followed by eight shifts.
+PREFIX_TRIE = r"""
+WITH plain AS (
+  SELECT TRY_CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+turns AS (
+  SELECT c, role, text, row_number() OVER (
+    PARTITION BY c ORDER BY turn NULLS FIRST, md5(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i
+  FROM plain WHERE c IS NOT NULL),
+ids AS (
+  SELECT c, (((c % 5) + 5) % 5) AS k, xor(4294967295, list_reduce(
+    [4294967295]::BIGINT[] || flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+      lambda x: [CAST(ascii(x) AS BIGINT)] || list_transform(range(8), lambda b: CAST(-1 AS BIGINT)))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 9 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT c, i, role, text FROM turns JOIN ids USING (c) WHERE i > h
+  UNION ALL SELECT d.c, i, role, text FROM turns t JOIN ids d ON t.c = d.c - d.k WHERE i <= d.h),
+whole AS (
+  SELECT c, coalesce(list(struct_pack(r := role, t := text) ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS w
+  FROM ids LEFT JOIN rebuilt USING (c) GROUP BY c),
+prefixes AS (SELECT c, d, list_slice(w, 1, d) AS p, len(w) = d AS ends FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, p, min(c) AS c, count(*) AS n, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends) AS names,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[-1].t) END AS saved FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sized AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (d, p)),
+above AS (SELECT list_slice(p, 1, e) AS p, e AS d, saved, n_children FROM (SELECT p, saved, n_children, unnest(range(0, d + 1)) AS e FROM sized)),
+sums AS (SELECT d, p, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM above GROUP BY d, p)
+SELECT s.c AS conv_id, CAST(s.d AS BIGINT) AS depth, u.c AS parent_conv_id, s.n AS n_convs, s.n_children, m.n_leaves,
+  CAST(m.saved AS BIGINT) AS saved_tokens, sha256(coalesce(s.names, '')) AS ends_sha256
+FROM sized s JOIN sums m USING (d, p) LEFT JOIN nodes u ON u.d = s.d - 1 AND u.p = list_slice(s.p, 1, s.d - 1)
+"""

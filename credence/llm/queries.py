@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.llm import (
+    alignment,
     decontaminate,
     jaccard,
     line_dedup,
     oracles,
     packing,
     preference,
+    prefix_trie,
     quality_votes,
     rules,
     sharding,
     substrings,
+    token_counts,
     toxicity,
 )
 from credence.llm.common import table
@@ -73,18 +76,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+    return alignment.report(scored)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))
+    return prefix_trie.report(prefix_trie.trie(prefix_trie.shared_heads(turns)))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_votes, op2_decontaminate, op3_line_dedup, op4_sharding, op5_preference, op6_toxicity, op7_jaccard,
-        op8_packing, op9_substrings, op10_quality_rules,
+        op8_packing, op9_substrings, op10_quality_rules, op11_alignment, op12_prefix_trie, op13_token_counts,
     )
 }
 
-#: Without a twin: fitted models (1, 6, 10), hashes that SQL lacks (4), token ids (8), bytes cut by windows (9).
+#: Without a twin: fitted models (1, 6, 10), hashes that SQL lacks (4), token ids (8, 11, 13), bytes cut by windows (9).
 ORACLES: dict[str, str] = {
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_line_dedup": oracles.LINE_DEDUP,
     "op5_preference": oracles.PREFERENCE,
     "op7_jaccard": oracles.JACCARD,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
