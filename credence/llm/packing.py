@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credence.llm.arrays import part_slices
 from credence.llm.common import gapless_rank
 from credence.llm.wordpieces import WordPieces
 from credence.session import stage
 
 CAPACITY = 2048
 END = 0
-#: Texts that a task tokenises at a time.
-TEXTS = 4_096
+#: Characters of text that a task tokenises at a time, for more than one text; an array operation holds some 30 bytes for each.
+SLICE = 2_000_000
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -50,20 +51,25 @@ def tokenise(vocabulary: str, capacity: int = CAPACITY):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of, end, width = WordPieces(vocabulary), END.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                texts = [x or "" for x in batch.column(1).slice(at, TEXTS).to_pylist()]
-                ids, counts = pieces_of.batch(texts)
-                owner, rows = [], []
-                ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                for k, (stop, count) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-                    whole = bytes(raw[4 * (stop - count) : 4 * stop]) + end
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            before = b""  # ids of the parts of a text that went before
+            for marks, parts in part_slices(texts, SLICE):
+                ids, counts = pieces_of.batch(parts)
+                owner, rows, stop = [], [], 0
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                for (k, last), count in zip(marks, counts.tolist(), strict=True):
+                    before += raw[stop : stop + 4 * count]
+                    stop += 4 * count
+                    if not last:
+                        continue
+                    whole, before = before + end, b""
                     for piece, byte in enumerate(range(0, len(whole), width)):
-                        part = whole[byte : byte + width]
-                        owner.append(at + k)
-                        rows.append((piece, byte // 4, len(part) // 4, zlib.crc32(part)))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], NAMES)
+                        cut = whole[byte : byte + width]
+                        owner.append(k)
+                        rows.append((piece, byte // 4, len(cut) // 4, zlib.crc32(cut)))
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KINDS, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], NAMES)
 
     return run
 
