@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credence.llm.arrays import part_slices, text_slices
 from credence.llm.common import row_key
 from credence.llm.token_counts import byte_letters
 from credence.session import stage
 
 #: Id pairs whose counts are sent to all executors, at most (17 bytes each).
 HEAVY = 1_000_000
-#: Characters of text that are tokenised at a time, for more than one text.
+#: Characters of text that are tokenised at a time; longer texts are taken in parts, cut where both tokenizers cut.
 SLICE = 1_000_000
 #: Pre-tokens of byte-level vocabularies (a fixed value of their format).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -259,15 +261,33 @@ class GroupText:
         return "".join(self.words[words].tolist())[:-1]
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > SLICE:
-            yield slice(start, k)
-            start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+class Part(NamedTuple):
+    """The alignment of a text, or of a part of one that begins and ends where both tokenizers cut."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: str
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def _joined(parts: list[Part | None]) -> tuple:
+    """Numbers, digest and linked pairs of a text; nothing if a part of it has no alignment."""
+    if None in parts:
+        return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
+    digest = hashlib.sha256(";".join(p.groups for p in parts).encode()).hexdigest()
+    pairs, times = parts[0].pairs, parts[0].times
+    if len(parts) > 1:
+        pairs, place = np.unique(np.concatenate([p.pairs for p in parts]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([p.times for p in parts])).astype(np.int64)
+    return *(sum(p[k] for p in parts) for k in range(4)), digest, pairs, times
+
+
+def _wholes(texts: list[str]) -> Iterator[tuple[list[tuple[int, bool]], list[str]]]:
+    for part in text_slices(texts, SLICE):
+        yield [(k, True) for k in range(part.start, part.stop)], texts[part]
 
 
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -281,18 +301,31 @@ def aligning(byte_vocabulary: str, piece_model: str):
         first, second = both.first, both.second
         written = GroupText(len(first.bytes), len(second.bytes))
 
-        def of(text: str, a: np.ndarray, b: np.ndarray, exact: bool) -> tuple:
-            if not text or not exact:
-                return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
+        def of(text: str, a: np.ndarray, b: np.ndarray, exact: bool) -> Part | None:
+            if not exact:
+                return None
             link_a, link_b, end_a, end_b = align(np.cumsum(first.sizes[a]), np.cumsum(second.sizes[b]))
             pairs, times = np.unique(a[link_a] << 24 | b[link_b], return_counts=True)
-            digest = hashlib.sha256(written(a, b, end_a, end_b).encode()).hexdigest()
-            return len(a), len(b), len(end_a), len(link_a), digest, pairs, times
+            return Part(len(a), len(b), len(end_a), len(link_a), written(a, b, end_a, end_b), pairs, times)
 
         for batch in batches:
             texts = [x or "" for x in batch.column(2).to_pylist()]
-            for part in _slices(texts):
-                rows = [of(t, *ids) for t, ids in zip(texts[part], both(texts[part]), strict=True)]
+            held: list[Part | None] = []  # parts of a text that went before
+            before = None
+            for marks, parts in part_slices(texts, SLICE) if both.by_word else _wholes(texts):
+                owner, rows = [], []
+                # both put a blank before what they get; all but the first part of a text begin with theirs
+                earlier = [before, *(k for k, _ in marks)]
+                parts = [p[1:] if k == e else p for (k, _), e, p in zip(marks, earlier, parts, strict=False)]
+                before = earlier[-1]
+                for (k, last), text, ids in zip(marks, parts, both(parts), strict=True):
+                    held.append(of(text, *ids) if text else None)
+                    if last:
+                        owner.append(k)
+                        rows.append(_joined(held))
+                        held = []
+                if not rows:
+                    continue
                 *plain, pairs, times = zip(*rows, strict=True)
                 offsets = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
                 lists = [
@@ -300,9 +333,9 @@ def aligning(byte_vocabulary: str, piece_model: str):
                     for x, kind in ((pairs, pa.int64()), (times, pa.int32()))
                 ]
                 kinds = [pa.int64()] * 4 + [pa.string()]
-                here = batch.slice(part.start, part.stop - part.start)
+                at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [here.column(0), here.column(1), *[pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], *lists],
+                    [*(batch.column(c).take(at) for c in (0, 1)), *[pa.array(c, k) for c, k in zip(plain, kinds, strict=True)], *lists],
                     ["_id", "_th", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
                 )
 

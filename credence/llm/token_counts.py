@@ -10,7 +10,7 @@ as long as no merge builds on a later one, which is checked when the vocabulary
 leftmost place is merged in a round.
 
 Words repeat, so a task keeps the counts of those it has seen, about ``KNOWN`` of them, and cuts and merges the others.
-Texts are taken ``SLICE`` characters at a time; a longer text is a slice of its own.
+Texts are taken ``SLICE`` characters at a time, long ones in parts.
 
 Defined cases: a null text counts as empty: 0 bytes, 0 tokens. Special strings inside a text are one token each, as the
 library reads them. Every row gets a row, repeated ones and null ids too; an empty table gives an empty result.
@@ -20,7 +20,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credence.llm.arrays import part_slices
+
 LIMIT = 2048
-#: Characters of text that a task holds as pre-tokens at a time, for more than one text.
+NAMES = ["doc_id", "n_bytes", "n_tokens"]
+#: Characters of text that a task holds as words at a time; longer texts are taken in parts, cut between words.
 SLICE = 2_000_000
 #: Words whose counts a task keeps before it starts anew.
 KNOWN = 400_000
@@ -168,36 +171,24 @@ class RankMerger:
         return [word.translate(self.to_bytes).encode("latin-1") for word, _ in cuts if word]
 
 
-def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        if held and size + len(text) > SLICE:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
-
-
 def counting(vocabulary: str):
     """A mapInArrow function from (doc_id, text) to (doc_id, n_bytes, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, known = RankMerger(vocabulary), {}
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for texts in _slices(x.as_py() or "" for x in batch.column(1)):
-                cut = [merger.words(text) for text in texts]
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            n_tokens = np.zeros(len(texts), np.int64)
+            for marks, parts in part_slices(texts, SLICE):
+                cut = [merger.words(part) for part in parts]
                 if len(known) > KNOWN:
                     known = {}
                 new = list({w for words, _ in cut for w in words if w not in known})
                 known.update(zip(new, merger.tokens_of(new), strict=True))
-                n_tokens += [sum(map(known.__getitem__, words)) + marks for words, marks in cut]
-                n_bytes += [len(text) if text.isascii() else len(text.encode()) for text in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
-            )
+                for (k, _), (words, special) in zip(marks, cut, strict=True):
+                    n_tokens[k] += sum(map(known.__getitem__, words)) + special
+            n_bytes = [len(text) if text.isascii() else len(text.encode()) for text in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens)], NAMES)
 
     return run
 

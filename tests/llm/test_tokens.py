@@ -6,10 +6,11 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from credence.llm import alignment, token_counts
+from credence.llm import alignment, arrays, token_counts
 
 SCHEMA = "doc_id long, text string, n_tokens string, pairs string, _id int, _th int"
 SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "<unk>", "<0x41>"]
@@ -52,6 +53,26 @@ def test_counts_equal_the_library(docs, empty):
     assert token_counts.token_counts(empty).collect() == []
 
 
+def test_long_texts_in_parts(docs, monkeypatch):
+    """Texts taken a few words at a time give what whole ones give."""
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([0] * len(rows)), pa.array([t for _, t in rows])], ["_id", "_th", "text"])
+
+    def run():
+        counted = token_counts.counting(token_counts.default_vocabulary())(iter([batch.select(["_id", "text"])]))
+        aligned = alignment.aligning(*alignment.default_vocabularies())(iter([batch]))
+        return [[r for b in found for r in b.to_pylist()] for found in (counted, aligned)]
+
+    whole = run()
+    for size in (7, 40):
+        monkeypatch.setattr(token_counts, "SLICE", size)
+        monkeypatch.setattr(alignment, "SLICE", size)
+        for _, text in rows:
+            parts = arrays.word_parts(text or "", size)
+            assert "".join(parts) == (text or "") and all(p[0] == " " and not p.isspace() for p in parts[1:])
+        assert run() == whole
+
+
 def test_merging_one_place_a_round_gives_the_same():
     merger = token_counts.RankMerger(token_counts.default_vocabulary())
     rows = [b"a" * k for k in range(1, 40)] + [b"abcabcabc", b"understanding", b"hahahahaha", "né".encode()]
