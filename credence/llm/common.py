@@ -68,6 +68,25 @@ def gapless_rank(rows: DataFrame, group: str, order: list[str], name: str = "_ra
     )
 
 
+def next_in_order(rows: DataFrame, key: str, name: str = "_next") -> DataFrame:
+    """(key, next): the key that follows in the order of the distinct keys; the last gets the one before, a single one nothing.
+
+    Keys of any type that has an order are dealt into ranges, and each range is numbered in its own task; what follows the last
+    key of a range comes from a table with one row a range.
+    """
+    keys = rows.select(key).where(F.col(key).isNotNull()).distinct()
+    dealt = stage(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ordered-keys")
+    edges = dealt.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    by_part = Window.orderBy("_part")  # as many rows as there are ranges
+    edges = edges.select(
+        F.col("_part").alias("_edge"), F.lead("_first").over(by_part).alias("_ahead"), F.lag("_last").over(by_part).alias("_behind")
+    )
+    inside = Window.partitionBy("_part").orderBy(key)
+    found = dealt.select(key, "_part", F.lead(key).over(inside).alias("_in"), F.lag(key).over(inside).alias("_before"))
+    found = found.join(F.broadcast(edges), F.col("_part") == F.col("_edge"))
+    return found.select(key, F.coalesce("_in", "_ahead", "_before", "_behind").alias(name)).where(F.col(name).isNotNull())
+
+
 def connected(links: DataFrame, name: str = "links") -> DataFrame:
     """(node, root) with the smallest node reachable over ``links`` (a, b); linked nodes only.
 

@@ -51,7 +51,8 @@ FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND
 PREFERENCE = r"""
 WITH plain AS (SELECT conv_id AS pair, turn, coalesce(role, 'unknown') AS role, text FROM conversations WHERE conv_id IS NOT NULL),
 last AS (SELECT pair, max(turn) AS pos, arg_max(text, turn) AS text FROM plain WHERE role = 'assistant' GROUP BY pair),
-answers AS (SELECT a.pair, a.pos, b.text FROM last a JOIN last b ON b.pair = xor(a.pair, 1)),
+partners AS (SELECT *, coalesce(lead(pair) OVER (ORDER BY pair), lag(pair) OVER (ORDER BY pair)) AS other FROM last),
+answers AS (SELECT a.pair, a.pos, b.text FROM partners a JOIN last b ON b.pair = a.other),
 chosen AS (SELECT p.*, row_number() OVER (PARTITION BY pair ORDER BY turn) AS i FROM plain p WHERE pair IN (SELECT pair FROM answers)),
 rejected AS (
   SELECT *, row_number() OVER (PARTITION BY pair ORDER BY turn) AS i FROM (

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credence.llm.common import let
+from credence.llm.common import let, next_in_order
+from credence.session import stage
 
 HEADER, TURN_END = "<|{}|>\n", "\n<|end|>\n"
 LEARNT_ROLE = "assistant"
@@ -85,15 +86,18 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pa
 
 
 def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs made of plain conversations: chosen is the conversation, rejected is the same
-    one whose last assistant turn is that of its neighbour (ids 2k and 2k + 1 are neighbours),
-    and which ends there. Conversations without an assistant turn, or whose neighbour has none, give no pair."""
+    """Pairs made of plain conversations: chosen is the conversation, rejected is the same one whose last assistant turn is
+    that of the next conversation with one, in the order of ids of any kind (for the last id: of the one before), and which ends there.
+    Every conversation with an assistant turn gives a pair, unless it is the only one; those without, and null ids, give none.
+    Null turn numbers come first. An answer that equals the other gives equal sides up to there."""
     plain = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("pair"), "turn", "role", "text")
     said = plain.where(F.col("role") == LEARNT_ROLE)
-    last = said.groupBy("pair").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select((F.col("pair").bitwiseXOR(F.lit(1))).alias("pair"), F.col("last.text").alias("text"))
-    answers = last.select("pair", F.col("last.turn").alias("at")).join(other, "pair")
-    heads = plain.join(answers.select("pair", "at"), "pair").where(F.col("turn") < F.col("at")).drop("at")
+    last = stage(said.groupBy("pair").agg(F.max(F.struct("turn", "text")).alias("last")), "last-answers")
+    partner = next_in_order(last, "pair", "partner")
+    other = last.select(F.col("pair").alias("partner"), F.col("last.text").alias("text"))
+    answers = last.select("pair", F.col("last.turn").alias("at")).join(partner, "pair").join(other, "partner").drop("partner")
+    before = F.when(F.col("turn").isNull(), F.col("at").isNotNull()).otherwise(F.col("turn") < F.col("at"))
+    heads = plain.join(answers.select("pair", "at"), "pair").where(before).drop("at")
     tails = answers.select("pair", F.col("at").alias("turn"), F.lit(LEARNT_ROLE).alias("role"), "text")
     chosen = plain.join(answers.select("pair"), "pair", "left_semi")
     return chosen, heads.unionByName(tails)
