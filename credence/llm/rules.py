@@ -1,9 +1,11 @@
 """Quality rules that vote, weighed by expectation-maximisation (weak supervision).
 
 Every rule looks at one statistic of a text and votes good (1), bad (-1) or abstains
-(0). Nobody says which documents are good: latent kinds of document, a good one and one bad one per
-rule, are fitted to the vote patterns, with an accuracy of each rule about each kind, and a document is
-kept when the posterior probability of the good kind is at least a half.
+(0). Nobody says which documents are good: latent kinds of document, a good one and at most one bad one per
+rule, are fitted to the vote patterns, with the rates at which each rule votes and abstains about each kind, and a document is
+kept when the posterior probability of the good kind is at least a half. A rule's accuracy is free between a half and one: a
+bad vote of a rule whose bad votes come alone and seldom is taken as its error and overruled, and several bad
+votes that each might be errors are not.
 
 Only the counts of distinct vote patterns reach the driver: at most 3 to the number
 of rules, whatever the number of documents.
@@ -29,8 +31,12 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
-#: Least share of right votes of a rule among good documents.
-LEAST_RIGHT = 0.99
+#: Share of the documents that a kind of bad document must hold to be one.
+LEAST_KIND = 0.005
+#: Share of good documents on which a rule is believed to vote bad.
+USUAL_ERROR = 0.003
+#: Rounds before kinds that hold less are given up, and in all.
+SETTLE, ROUNDS = 20, 120
 
 
 @dataclass(frozen=True)
@@ -142,17 +148,17 @@ def _guarded(formula: str) -> str:
 
 @dataclass
 class VoteModel:
-    """Latent kinds of document: kind 0 is good, kind r + 1 is bad as rule r sees it."""
+    """Latent kinds of document: kind 0 is good, kind r + 1 is bad as rule r sees it (prior 0 where there is none)."""
 
     priors: list[float]
     alarm: list[list[float]]  # per kind and rule: probability that a vote is bad
 
     def kinds(self, pattern: str) -> list[float]:
-        """Probability of each kind given the votes."""
+        """Probability of each kind given the votes; an abstention says nothing."""
         logs = []
         for prior, alarm in zip(self.priors, self.alarm, strict=True):
             seen = [math.log(a if v == "-" else 1 - a) for v, a in zip(pattern, alarm, strict=True) if v != "0"]
-            logs.append(math.log(prior) + sum(seen))
+            logs.append(math.log(prior) + sum(seen) if prior else -math.inf)
         top = max(logs)
         weights = [math.exp(x - top) for x in logs]
         return [w / sum(weights) for w in weights]
@@ -161,37 +167,42 @@ class VoteModel:
         return self.kinds(pattern)[0]
 
 
-def fit_votes(patterns: dict[str, int], n_rules: int, rounds: int = 100) -> VoteModel:
+def fit_votes(patterns: dict[str, int], n_rules: int, rounds: int = ROUNDS) -> VoteModel:
     """Expectation-maximisation over the counted patterns.
 
-    Bad documents are bad in different ways, so there is a latent kind of bad document for each rule; a
-    rule's accuracies are its rates of bad votes among the kinds. A rule is right about good documents with a probability
-    of at least ``LEAST_RIGHT``, and votes bad on most documents of its own kind, which keeps the kinds from changing places.
-    Pseudo-counts stand for ten documents.
+    Bad documents are bad in different ways, so there may be a latent kind of bad document for each rule; a rule's accuracies
+    are its rates of right votes about the good kind and about its own, each free between a half and one, which keeps
+    the kinds from changing places. Votes that fall together tell kinds apart; lone ones could be either a kind or errors, so
+    it is believed, with the weight of the corpus, that a rule errs about ``USUAL_ERROR`` of the good documents. All other
+    pseudo-counts stand for ten documents. After ``SETTLE`` rounds a kind that
+    holds less than ``LEAST_KIND`` of the documents is given up: the bad votes it was made of are then explained by
+    the other kinds, or as errors of the rule.
     """
     kinds = range(n_rules + 1)
-    model = VoteModel(
-        [0.85, *[0.15 / n_rules] * n_rules],
-        [[0.002 if k == 0 else 0.9 if k == r + 1 else 0.1 for r in range(n_rules)] for k in kinds],
-    )
+
+    def guess(k: int, r: int) -> float:
+        return USUAL_ERROR if k == 0 else 0.9 if k == r + 1 else 0.1
+
+    start = [0.85, *[0.15 / n_rules] * n_rules]
+    model = VoteModel(start, [[guess(k, r) for r in range(n_rules)] for k in kinds])
     total = sum(patterns.values())
-    for _ in range(rounds if total else 0):
+    for step in range(rounds if total else 0):
         share = {p: model.kinds(p) for p in patterns}
         mass = [sum(n * share[p][k] for p, n in patterns.items()) for k in kinds]
-        start = [8.5, *[1.5 / n_rules] * n_rules]
-        priors = [(mass[k] + start[k]) / (total + 10) for k in kinds]
+        alive = [k == 0 or (model.priors[k] > 0 and (step < SETTLE or mass[k] >= LEAST_KIND * total)) for k in kinds]
+        weight = [(mass[k] + 10 * start[k]) * alive[k] for k in kinds]
         alarm = []
         for k in kinds:
             rates = []
             for r in range(n_rules):
                 cast = sum(n * share[p][k] for p, n in patterns.items() if p[r] != "0")
                 bad = sum(n * share[p][k] for p, n in patterns.items() if p[r] == "-")
-                guess = 0.002 if k == 0 else 0.9 if k == r + 1 else 0.1
-                rate = (bad + 10 * guess) / (cast + 10)
-                low, high = (0.001, 1 - LEAST_RIGHT) if k == 0 else (0.5, 0.999) if k == r + 1 else (0.001, 0.999)
+                belief = total if k == 0 else 10
+                rate = (bad + belief * guess(k, r)) / (cast + belief)
+                low, high = (1e-4, 0.5) if k == 0 else (0.5, 1 - 1e-4) if k == r + 1 else (1e-4, 1 - 1e-4)
                 rates.append(min(high, max(low, rate)))
             alarm.append(rates)
-        model = VoteModel(priors, alarm)
+        model = VoteModel([w / sum(weight) for w in weight], alarm)
     return model
 
 

@@ -362,6 +362,15 @@ def test_votes_separate_good_from_bad():
     model = rules.fit_votes(patterns, 7)
     assert all(model.posterior(p) > 0.9 for p in ("+++++++", "+0+++++", "+++++0+"))
     assert all(model.posterior(p) < 0.5 for p in ("-++++++", "--++++0", "++--+-+"))  # one kind of bad is enough
+    # a rule whose bad votes come alone and seldom errs: overruled, but not when several say so
+    model = rules.fit_votes(patterns | {"++++-++": 3, "+++++-+": 1}, 7)
+    assert model.posterior("++++-++") > 0.5 and model.posterior("+++++-+") > 0.5
+    assert all(model.posterior(p) < 0.5 for p in ("-++++++", "--++++0", "++--+-+", "++-0--+", "-+++-++"))
+    # where that rule's bad votes are many, they are a kind
+    assert rules.fit_votes(patterns | {"++++-++": 60}, 7).posterior("++++-++") < 0.5
+    # the counts of a corpus a thousand times as large give the same verdicts
+    large = rules.fit_votes({p: 1000 * n for p, n in (patterns | {"++++-++": 3}).items()}, 7)
+    assert large.posterior("++++-++") > 0.5 > large.posterior("-++++++")
     assert model.posterior("0000000") == pytest.approx(model.priors[0])
     assert rules.fit_votes({}, 7).priors[0] == 0.85
 
@@ -387,6 +396,30 @@ def test_preference(spark):
     assert preference.preference_pairs(frames[0].where("false"), frames[1]).count() == 0
 
 
+@pytest.mark.parametrize("name", ["even", "words", "single", "none"])
+def test_every_answered_conversation_gets_a_rejected_side(spark, name):
+    ids = {"even": range(0, 80, 2), "words": [f"c{k}" for k in range(9)], "single": [5], "none": []}[name]
+    rows = []
+    for k, c in enumerate(ids):
+        rows += [(c, None, "user", None), (c, 1, "assistant", f"early {k}"), (c, 2, "user", "and"), (c, 3, "assistant", f"last {k}"), (c, 4, "user", "ok")]
+    unanswered = {"even": 7, "words": "b"}.get(name)
+    if unanswered is not None:
+        rows += [(unanswered, 0, "user", "nobody answers"), (unanswered, 0, "user", "nobody answers"), (None, 0, "assistant", "no id")]
+        late = {"even": 101, "words": "d"}[name]
+        rows += [(late, None, "assistant", None), (late, None, "assistant", ""), (late, 5, None, "tail")]
+    kind = "string" if name == "words" else "long"
+    turns = spark.createDataFrame([(*r, 1) for r in rows], f"conv_id {kind}, turn long, role string, text string, pair int").repartition(3)
+    pairs = {r.pair: r for r in preference.preference_pairs(*preference.swapped_answers(turns)).collect()}
+    answered = sorted({c for c, _, role, _ in rows if c is not None and role == "assistant"})
+    assert sorted(pairs) == ([] if name == "single" else answered)
+    for k, c in enumerate(answered if len(answered) > 1 else []):
+        if c not in ids:
+            continue
+        other = answered[k + 1] if k + 1 < len(answered) else answered[k - 1]
+        said = f"last {list(ids).index(other)}" if other in ids else ""
+        assert pairs[c].rejected.text == f"<|assistant|>\n{said}\n<|end|>\n" and pairs[c].prompt_turns == 3
+
+
 def labelled(spark, docs, bad):
     rows = [(i, int(bad(t)), None if i % 17 == 3 else int(bad(t))) for i, t in docs]
     return spark.createDataFrame([*rows, (None, 1, 1), (10**9, 1, 0)], "doc_id long, quality int, toxic int")
