@@ -8,7 +8,7 @@ from credence.functions.columns import computed_once
 from credence.functions.text import DEFAULT_MIN_WORDS, clean_text, word_count
 from credence.operators.split import fit_split
 from credence.schema import ORDER
-from credence.session import materialize, stage
+from credence.session import materialize, stage, stage_bucketed
 
 
 def handle_missing(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
@@ -68,14 +68,22 @@ def first_occurrences(df: DataFrame, id_column="id", text_column="text", order=O
     return first_of_keys(duplicate_keys(df, id_column, text_column, order, extra), order)
 
 
+def kept_rows(table: DataFrame, kept: DataFrame, order=ORDER) -> DataFrame:
+    """The rows of a table bucketed by ``order`` that are in ``kept``. Only the order values are shuffled, to the
+    buckets; each task hashes those of its bucket, so the wide rows neither move nor get sorted."""
+    return table.join(kept.select(order).hint("shuffle_hash"), order, "left_semi")
+
+
 def remove_duplicates(df: DataFrame, id_column="id", text_column="text", order=ORDER) -> DataFrame:
     """Drop repeated ids, then repeated texts (case-insensitive), keeping the first.
 
-    The wide rows meet the kept keys in one semi join on the unique order value,
-    so they move at most once and no copy group can make a hot partition.
+    The rows are staged once in buckets of the unique order value. Repeats are sought among narrow
+    columns, and the kept order values go to the buckets, so the wide rows
+    move only as they are written and no copy group can make a hot partition.
     """
-    kept = first_occurrences(df, id_column, text_column, order)
-    return df.join(kept, order, "left_semi")
+    table = stage_bucketed(df, "to-deduplicate", order)
+    kept = first_occurrences(table, id_column, text_column, order)
+    return kept_rows(table, kept, order)
 
 
 def pipeline_counts(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
@@ -93,17 +101,16 @@ def pipeline_counts(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
 def clean_and_deduplicate(df: DataFrame, min_words=DEFAULT_MIN_WORDS):
     """Cleaned rows without duplicates, and the kept ``(order, id, label)`` rows.
 
-    Cleaning costs far more than a write, so the cleaned rows are staged once with
-    their text digest. De-duplication then reads only narrow columns, and the wide
-    rows are read once more for the semi join.
+    Cleaning costs far more than a write, so the cleaned rows are staged once, in buckets of the
+    order value and with their text digest. De-duplication then reads only narrow columns, and the wide
+    rows are read once more where they lie.
     """
     cleaned = add_text_stats(handle_missing(df, min_words))
     digest = F.unhex(F.sha2(F.lower("text"), 256))
-    staged = stage(cleaned.withColumn("_text_key", digest), "cleaned")
+    staged = stage_bucketed(cleaned.withColumn("_text_key", digest), "cleaned", ORDER)
     keys = staged.select(ORDER, "id", "label", F.col("id").alias("_id_key"), "_text_key")
     kept = materialize(first_of_keys(keys))
-    rows = staged.drop("_text_key").join(kept.select(ORDER), ORDER, "left_semi")
-    return rows, kept
+    return kept_rows(staged.drop("_text_key"), kept), kept
 
 
 def preprocess_dataset(df: DataFrame, min_words=DEFAULT_MIN_WORDS, seed=42) -> DataFrame:

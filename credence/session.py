@@ -52,6 +52,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 _STAGED: list[str] = []
+_TABLES: dict[str, str] = {}
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +69,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """``stage`` with the rows dealt by ``key`` into buckets, one file each.
+
+    The rows move once, as they are written. Joins and groupings on ``key`` read each bucket where it lies: the
+    plan has no exchange above the scan. The table is temporary: ``release`` drops it with its files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"credence_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{table}"
+    # the same hash deals the shuffle and names the bucket, so each task writes one file
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(table, format="parquet")
+    _STAGED.append(path)
+    _TABLES[path] = table
+    return spark.table(table)
+
+
 def staged() -> list[str]:
     """Paths of the tables staged by this driver and not yet released, oldest first."""
     return list(_STAGED)
@@ -77,6 +96,8 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged tables; frames that read them must be done with."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in list(paths):
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
         if path in _STAGED:

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from credence.operators.profile import (
 )
 from credence.operators.prefix import quantiles
 from credence.plans import corpora
+from credence.session import release, staged
 from credence.sources.standard import standardize
 
 
@@ -51,6 +54,34 @@ def test_duplicates(spark):
     assert {r["_ord"] for r in kept.collect()} == {0, 3, 4}
 
 
+@pytest.mark.parametrize("order", ["long", "struct<part:int,file:string,row:bigint>"])
+def test_wide_rows_are_not_moved_by_the_semi_join(spark, order):
+    value = F.struct(F.lit(1).alias("part"), F.lit("f").alias("file"), F.col("id").alias("row")) if "struct" in order else F.col("id")
+    rows = spark.range(4000).select(
+        value.cast(order).alias("_ord"), F.concat(F.lit("d"), "id").alias("id"),
+        F.concat(F.lit("t"), (F.col("id") / 2).cast("long")).alias("text"),
+    )
+    before = set(staged())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = remove_duplicates(rows)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        assert done.count() == 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.split("\n")
+    join = next(k for k, line in enumerate(lines) if "ShuffledHashJoin" in line)
+    wide = next(k for k, line in enumerate(lines) if k > join and "FileScan" in line)
+    assert "Bucketed: true" in lines[wide] and "text" in lines[wide].split("ReadSchema")[1]
+    assert not any("Exchange" in line or "Sort" in line for line in lines[join + 1 : wide])
+    (path,) = set(staged()) - before
+    (table,) = [t for t in spark.catalog.listTables() if path.endswith(t.name)]
+    release(spark, [path])
+    assert path not in staged() and not spark.catalog.tableExists(table.name) and not os.path.exists(path.removeprefix("file:"))
+
+
 def test_hot_copy_group(spark):
     rows = spark.range(30000).select(
         F.col("id").alias("_ord"), F.concat(F.lit("d"), "id").alias("id"),
