@@ -139,7 +139,7 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
             .agg(F.count("*").alias("n"))
         )
         # fitted once: later transforms must not aggregate the training rows again
-        categories = stage(counted, "context-categories")
+        categories = stage(_numbered(counted), "context-categories")
         top = categories.groupBy("column").agg(
             F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"),
             F.count("*").alias("values"),
@@ -148,12 +148,32 @@ def fit_context(df: DataFrame, *, numeric_columns=(), categorical_columns=()) ->
         fill = {r["column"]: r["value"] for r in top}
         sizes = {r["column"]: (r["values"], r["bytes"]) for r in top}
         # the fill value is one of the observed values, so imputing adds none
-        categories = categories.select("column", "value")
+        categories = categories.select("column", "value", "index")
     return ContextModel(
         tuple(numeric_columns), tuple(categorical_columns), numeric, fill, categories, sizes
     )
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """Adds ``index``, the place of a value among the sorted values of its column, from 0.
+
+    Values are dealt into ranges; each range is numbered in its own task, and the sizes of
+    the ranges before it, a table of one row a range and column, shift it. No task sees a whole column.
+    """
+    ranges = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(
+        counted.repartitionByRange(ranges, "column", "value").withColumn("_range", F.spark_partition_id()), "category-ranges"
+    )
+    before = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("column", "_range").agg(F.count("*").alias("_size")).select(
+        F.col("column").alias("_column"), F.col("_range").alias("_from"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy("column", "_range").orderBy("value")
+    local = dealt.withColumn("_place", F.row_number().over(inside) - 1)
+    shifted = local.join(F.broadcast(starts), (F.col("column") == F.col("_column")) & (F.col("_range") == F.col("_from")))
+    return shifted.select("column", "value", "n", (F.col("_place") + F.col("_start")).cast("int").alias("index"))
+
+
 def _numeric_values(model: ContextModel) -> dict:
     return {
         c: (F.coalesce(number(c), F.lit(float(median))) - F.lit(float(mean)))
@@ -192,7 +212,7 @@ def context_onehot(df: DataFrame, id_column: str, model: ContextModel) -> DataFr
         long = df.select(id_column, *[_filled(c, model).alias(c) for c in columns]).unpivot(
             [id_column], columns, "column", "value"
         )
-        categories = model.categories.where(F.col("column").isin(columns))
+        categories = model.categories.where(F.col("column").isin(columns)).select("column", "value")
         seen = long.join(F.broadcast(categories) if small else categories, ["column", "value"], "left_semi")
         rows = seen.select(
             id_column,
@@ -230,9 +250,9 @@ def feature_names(model: ContextModel) -> list:
         return names
     by_column: dict = {}
     for r in model.categories.collect():
-        by_column.setdefault(r["column"], []).append(r["value"])
+        by_column.setdefault(r["column"], []).append((r["index"], r["value"]))
     for c in model.categorical_columns:
-        values = sorted(by_column.get(c, []), key=lambda v: v.encode())
+        values = [v for _, v in sorted(by_column.get(c, []))]
         names += [f"categorical__{c}_{v}" for v in values]
     return names
 
@@ -241,17 +261,16 @@ def context_sparse(df: DataFrame, model: ContextModel, output="context_sparse")
     """Adds ``struct<size, indices, values>`` in the order of ``feature_names``.
 
     Each category is looked up by a join on its column's table of indices, so neither the
-    plan nor the work of a row grows with the number of categories.
+    plan nor the work of a row grows with the number of categories. The gated model reads this form as it is.
     """
     values = _numeric_values(model)
     numeric = [values[c].cast("float") for c, *_ in model.numeric]
     fitted = [c for c in model.categorical_columns if c in model.fill]
-    order = Window.partitionBy("column").orderBy("value")
     start, found = len(numeric), []
     for c in fitted:
         table = model.categories.where(F.col("column") == c).select(
             F.col("value").alias(f"_value_{c}"),
-            (F.row_number().over(order) - 1 + start).alias(f"_index_{c}"),
+            (F.col("index") + start).alias(f"_index_{c}"),
         )
         start += model.sizes[c][0]
         found.append(f"_index_{c}")
@@ -267,7 +286,7 @@ def context_sparse(df: DataFrame, model: ContextModel, output="context_sparse")
 
 
 def context_vector(df: DataFrame, model: ContextModel, output="context_features") -> DataFrame:
-    """Dense ``array<float>`` in the order of ``feature_names``, from the sparse form."""
+    """Dense ``array<float>`` in the order of ``feature_names``, from the sparse form; for few categories."""
     sparse = computed_once(context_sparse(df, model, "_sparse"), {"_row": F.col("_sparse")}).drop("_sparse")
     numeric = len(model.numeric)
     hot = F.slice("_row.indices", numeric + 1, max(1, len(model.fill)))

@@ -9,6 +9,7 @@ and Adam state only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
+from credence.operators.sparse import SparseRows, is_malformed, is_sparse, width
 from credence.schema import require_columns
 from credence.session import materialize
 
@@ -92,14 +94,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def forward(p: dict, text, context, mask, keep=None) -> dict:
-    """Batch forward pass; ``keep`` scales the four hidden layers (dropout)."""
+    """Batch forward pass over dense or sparse context; ``keep`` scales the four hidden layers (dropout)."""
     m = np.asarray(mask, dtype="float64").reshape(-1, 1)
 
     def hidden(x, layer):
         z = np.maximum(x @ p[layer][0] + p[layer][1], 0.0)
         return z if keep is None else z * keep[layer]
 
-    a = {"x": np.asarray(text, dtype="float64"), "c": np.asarray(context, dtype="float64") * m, "m": m}
+    rows = context if isinstance(context, SparseRows) else np.asarray(context, dtype="float64")
+    a = {"x": np.asarray(text, dtype="float64"), "c": rows * m, "m": m}
     a["t"] = hidden(a["x"], "text")
     a["k"] = hidden(a["c"], "context")
     a["g_in"] = np.concatenate([a["t"], a["k"], m], axis=1)
@@ -141,7 +144,8 @@ def gradient(shape, flat, text, context, mask, label, keep=None, domain=None, la
     def linear(g, layer, x, d):
         g[layer][0][...] += x.T @ d
         g[layer][1][...] += d.sum(axis=0)
-        return d @ p[layer][0].T
+        # nothing lies below sparse rows
+        return None if isinstance(x, SparseRows) else d @ p[layer][0].T
 
     def relu(g, layer, x, hid, d):
         d = d * (hid > 0)
@@ -212,6 +216,22 @@ def dropout_masks(shape: FusionShape, keys: np.ndarray, step: int, rate: float,
 # ---- scoring ----------------------------------------------------------------
 
 
+def _sparse_scores(make_predict, width: int):
+    """A column function over text arrays, sparse context and mask; no row is spread out to its width."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+        predict = make_predict()
+        for text, context, mask in batches:
+            rows, found = SparseRows.of(context["indices"].to_list(), context["values"].to_list(), width), []
+            for at in range(0, len(text), SCORE_BATCH):
+                stop = at + SCORE_BATCH
+                found += list(predict(np.stack(text.iloc[at:stop].to_list()), rows.part(at, stop), mask.iloc[at:stop].to_numpy()))
+            yield pd.Series(found, dtype=object)
+
+    return run
+
+
 @dataclass(frozen=True)
 class FittedFusion:
     shape: FusionShape
@@ -233,12 +253,15 @@ class FittedFusion:
 
             return predict
 
-        run = predict_batch_udf(
-            make_predict,
-            return_type=T.ArrayType(T.DoubleType()),
-            batch_size=SCORE_BATCH,
-            input_tensor_shapes=[[shape.text_dim], [shape.context_dim], None],
-        )
+        if is_sparse(df, "context_features"):
+            run = _sparse_scores(make_predict, shape.context_dim)
+        else:
+            run = predict_batch_udf(
+                make_predict,
+                return_type=T.ArrayType(T.DoubleType()),
+                batch_size=SCORE_BATCH,
+                input_tensor_shapes=[[shape.text_dim], [shape.context_dim], None],
+            )
         out = df.withColumn("_out", run(*[F.col(c) for c in INPUTS]))
         out = out.withColumns(
             {"gate": F.get("_out", F.lit(0)), "logits": F.slice("_out", 2, k)}
@@ -351,11 +374,14 @@ def feature_contract(
 ) -> DataFrame:
     """Counts of rows that break the input contract, in one aggregation."""
     mask = F.col("context_mask")
+    bad_context = width(df, "context_features") != context_dim
+    if is_sparse(df, "context_features"):
+        bad_context |= is_malformed("context_features")
     return df.agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("text_features").isNull() | F.col("context_features").isNull()).alias("null_features"),
         F.count_if(F.size("text_features") != text_dim).alias("bad_text_dim"),
-        F.count_if(F.size("context_features") != context_dim).alias("bad_context_dim"),
+        F.count_if(bad_context).alias("bad_context_dim"),
         F.count_if(F.coalesce(~mask.isin(0, 1), F.lit(True))).alias("bad_mask"),
         F.count_if(F.coalesce(~F.col(label).between(0, num_classes - 1), F.lit(True))).alias("bad_label"),
     )
@@ -377,6 +403,10 @@ def _matrix(column, dtype="float64") -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
+def _context(column, width: int):
+    return SparseRows.of_arrow(column, width) if pa.types.is_struct(column.type) else _matrix(column)
+
+
 def _vector(column, dtype) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(dtype)
 
@@ -412,7 +442,7 @@ def gradient_rows(df: DataFrame, shape, params, *, step, rate, seed, lam=None) -
                 continue
             loss, used, domain_loss, n, g = gradient(
                 shape, flat,
-                _matrix(b["text_features"]), _matrix(b["context_features"]),
+                _matrix(b["text_features"]), _context(b["context_features"], shape.context_dim),
                 _vector(b["context_mask"], "float64"), _vector(b["label"], "int64"),
                 dropout_masks(shape, _vector(b["_key"], "int64"), step, rate, seed),
                 _vector(b["domain_label"], "int64") if adversarial else None,
@@ -462,7 +492,7 @@ def validation_counts(df: DataFrame, shape, params) -> DataFrame:
             label = _vector(b["label"], "int64")
             logp = log_softmax(
                 forward(
-                    layers, _matrix(b["text_features"]), _matrix(b["context_features"]),
+                    layers, _matrix(b["text_features"]), _context(b["context_features"], shape.context_dim),
                     _vector(b["context_mask"], "float64"),
                 )["logits"]
             )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credence.functions.text import url_domain
-from credence.operators.context import context_availability, context_vector, fit_context
+from credence.operators.context import context_availability, context_sparse, fit_context
 from credence.schema import COUNT_COLUMNS, ORDER
 from credence.sources.standard import standardize
 
@@ -136,11 +136,11 @@ def context_model(spark, sf_dir):
 
 
 def fusion_inputs(spark, sf_dir) -> DataFrame:
-    """Embeddings joined by id to encoded context and the engagement mask. English
+    """Embeddings joined by id to sparsely encoded context and the engagement mask. English
     documents are the source domain."""
     model = context_model(spark, sf_dir)
     context = context_availability(
-        context_vector(documents(spark, sf_dir), model), COUNT_COLUMNS, "context_mask"
+        context_sparse(documents(spark, sf_dir), model, "context_features"), COUNT_COLUMNS, "context_mask"
     ).select(
         F.col(ORDER).alias("vec_id"), "id", "context_features", "context_mask",
         (F.col("subset") != "en").cast("int").alias("domain_label"),

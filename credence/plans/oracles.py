@@ -298,7 +298,7 @@ LONG_CONTEXT = (
     "UNION ALL SELECT id, feature, value FROM onehot"
 )
 
-# dense context vector: numeric columns first, then sorted categories per column
+# context vector: numeric columns first, then sorted categories per column
 FUSION = f"""{STD},
 {_context('std', 'std')},
 cats AS (
@@ -602,9 +602,11 @@ ORACLES = {
     ),
     "fusion_inputs": _with(
         FUSION,
-        "packed AS (SELECT id, list(v ORDER BY i) AS c FROM cx GROUP BY id)",
+        """packed AS (
+  SELECT id, count(*) AS size, list(i ORDER BY i) FILTER (WHERE i < 3 OR v <> 0) AS at,
+    list(v ORDER BY i) FILTER (WHERE i < 3 OR v <> 0) AS c FROM cx GROUP BY id)""",
         select=f"""SELECT c.id, array_to_string({QUANTIZED.format('c.embedding')}, ',') AS text_features,
-  array_to_string({QUANTIZED.format('p.c')}, ',') AS context_features, c.context_mask, c.label, c.domain_label
+  p.size || '|' || array_to_string(p.at, ',') || '|' || array_to_string({QUANTIZED.format('p.c')}, ',') AS context_features, c.context_mask, c.label, c.domain_label
 FROM chosen c JOIN packed p ON p.id = c.id""",
     ),
     "handle_missing": _with(CLEANED, select="SELECT id, title, text, label, source FROM cleaned"),

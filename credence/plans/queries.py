@@ -103,7 +103,10 @@ def _ten_thousandths(c):
 def fusion_inputs(spark, d):
     return corpora.fusion_inputs(spark, d).select(
         "id", _ten_thousandths("text_features").alias("text_features"),
-        _ten_thousandths("context_features").alias("context_features"),
+        F.concat_ws(
+            "|", F.col("context_features.size").cast("string"), F.array_join("context_features.indices", ","),
+            _ten_thousandths("context_features.values"),
+        ).alias("context_features"),
         F.col("context_mask").cast("int").alias("context_mask"), "label", "domain_label",
     )
 
@@ -498,7 +501,7 @@ def rule_weights(shape: fusion.FusionShape) -> np.ndarray:
 
 def _rule_model(inputs):
     dims = inputs.select(
-        F.size("text_features").alias("t"), F.size("context_features").alias("c")
+        F.size("text_features").alias("t"), F.col("context_features.size").alias("c")
     ).first()
     shape = fusion.FusionShape(
         dims["t"], dims["c"], domain_hidden=fusion.CONFIG["hidden_dim"] // 2
@@ -546,7 +549,7 @@ def feature_contract(spark, d):
     broken = inputs.withColumns(
         {
             "text_features": F.when(digit == "1", F.slice(text, 1, shape.text_dim - 1)).when(digit != "0", text),
-            "context_features": F.when(digit == "2", F.concat(context_, context_)).otherwise(context_),
+            "context_features": F.when(digit == "2", context_.withField("size", 2 * context_["size"])).otherwise(context_),
             "context_mask": F.when(digit == "3", 2).otherwise(F.col("context_mask")),
             "label": F.when(digit == "4", None).otherwise(F.col("label")),
         }
@@ -580,7 +583,7 @@ def _fusion_split(spark, d):
 def _train(spark, d, rows, **options):
     train = rows.where("split = 'train'")
     dims = train.select(
-        F.size("text_features").alias("t"), F.size("context_features").alias("c")
+        F.size("text_features").alias("t"), F.col("context_features.size").alias("c")
     ).first()
     shape = fusion.FusionShape(
         dims["t"], dims["c"], domain_hidden=options.pop("domain_hidden", 0)

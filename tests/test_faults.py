@@ -1,10 +1,13 @@
 """Ordinary inputs that once gave wrong answers: NaN, null groups, one class, empty tables, repeated ids."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from credence import session
 from credence.operators import classify, context, experiments, fusion, metrics, profile, split, tfidf
+from credence.operators.sparse import SPARSE, SparseRows
+from credence.session import staged
 from credence.sources.delimited import read_delimited
 
 NAN = float("nan")
@@ -75,6 +78,57 @@ def test_many_categories(spark):
     assert len(dense) == 20_001 and sum(dense[1:]) == 1 and dense[row["indices"][1]] == 1
 
 
+def test_categories_are_numbered_by_range(spark):
+    """200,000 publishers: no window holds more than its share of them, and every index is used once."""
+    df = spark.range(200_000).select(
+        "id", F.concat(F.lit("p"), "id").alias("source"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("lang")
+    )
+    before = set(staged())
+    model = context.fit_context(df, categorical_columns=["source", "lang"])
+    (ranges,) = [p for p in set(staged()) - before if "category-ranges" in p]
+    sizes = [r["count"] for r in spark.read.parquet(ranges).groupBy("column", "_range").count().collect()]
+    assert max(sizes) < 100_000
+    for column, n in (("source", 200_000), ("lang", 133_334)):
+        rows = model.categories.where(F.col("column") == column)
+        assert rows.agg(F.min("index"), F.max("index"), F.count_distinct("index")).first() == (0, n - 1, n)
+    plan = context.context_sparse(df, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "array_contains" not in plan
+    one = context.context_sparse(df.where("id = 199999"), model).first()["context_sparse"]
+    assert one["size"] == 333_334 and len(one["indices"]) == 2
+    first = {r["value"]: r["index"] for r in model.categories.where("column = 'source'").where("index < 3").collect()}
+    assert first == {"p0": 0, "p1": 1, "p10": 2}
+
+
+def test_sparse_and_dense_context_score_alike(spark):
+    """The gated model reads indices and values; its gradient agrees with that of dense rows."""
+    rng = np.random.default_rng(1)
+    shape = fusion.FusionShape(3, 50, 4, 2, 3)
+    model = fusion.FittedFusion(shape, shape.init(7))
+    rows = []
+    for k in range(60):
+        at = sorted(rng.choice(50, k % 4, replace=False).tolist())
+        rows.append((f"i{k}", rng.normal(size=3).tolist(), (50, at, rng.normal(size=len(at)).astype("float32").tolist()), k % 2, k % 2))
+    schema = f"id string, text_features array<double>, context_features {SPARSE}, context_mask int, label int"
+    sparse = spark.createDataFrame(rows, schema).repartition(3)
+    lists = [(i, x, [dict(zip(c[1], c[2])).get(j, 0.0) for j in range(c[0])], m, y) for i, x, c, m, y in rows]
+    dense = spark.createDataFrame(lists, schema.replace(SPARSE, "array<float>"))
+    scores = [{r["id"]: (r["gate"], r["score"], r["domain_score"]) for r in model.domain_scores(df).collect()} for df in (sparse, dense)]
+    assert scores[0].keys() == scores[1].keys()
+    for i, got in scores[0].items():
+        assert got == pytest.approx(scores[1][i], abs=1e-9)
+    assert "predict_batch_udf" not in model.score(sparse)._jdf.queryExecution().optimizedPlan().toString()
+
+    text, mask, label = (np.array([r[k] for r in lists]) for k in (1, 3, 4))
+    batch = SparseRows.of([r[2][1] for r in rows], [r[2][2] for r in rows], 50)
+    one, two = (
+        fusion.gradient(shape, model.params, text, c, mask, label, domain=mask, lam=0.5) for c in (batch, np.array([r[2] for r in lists]))
+    )
+    assert one[0] == pytest.approx(two[0]) and np.allclose(one[4], two[4])
+    assert fusion.check_features(sparse, shape) == 60
+    broken = sparse.withColumn("context_features", F.col("context_features").withField("indices", F.array(F.lit(50))))
+    assert fusion.feature_contract(broken, 3, 50).first()["bad_context_dim"] == 60
+
+
 def test_saved_models(spark, tmp_path):
     texts = [(f"d{i}", "good trial data" if i % 2 else "secret cure claim", i % 2, "ab"[i % 2], float(i)) for i in range(20)]
     df = spark.createDataFrame(texts, "id string, text string, label int, source string, x double")
