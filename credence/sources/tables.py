@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credence.schema import PROCESSED_SCHEMA
 from credence.sources import paths
+from credence.sources.delimited import headers, parse, read_records
 
 # Null is written as \N and an empty string as a quoted empty cell, so that a CSV
 # round trip keeps the two apart. Line breaks inside a cell are quoted.
@@ -54,15 +55,25 @@ def load_standardized_data(
     if not paths.exists(spark, path):
         raise FileNotFoundError(f"nothing to load at {path}")
     if _format_of(path) == "csv":
-        header = (
-            spark.read.options(**{**CSV_OPTIONS, "multiLine": False}).csv(path).columns
-        )
-        types = {f.name: f.dataType.simpleString() for f in schema.fields}
-        declared = ", ".join(f"`{h}` {types.get(h, 'string')}" for h in header)
-        return spark.read.options(**CSV_OPTIONS, emptyValue="").schema(declared).csv(path)
+        return _read_csv(spark, path, schema)
     return spark.read.parquet(path)
 
 
+def _read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A CSV table, each file of it in as many tasks as it has blocks; folders named ``column=value`` give columns."""
+    records = read_records(spark, path)
+    found = headers(records)
+    names = {h for _, h in found}
+    if len(names) != 1:
+        raise ValueError(f"the files of {path} have {len(names)} different headers" if names else f"no header in {path}")
+    (header,) = names
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    declared = ", ".join(f"`{h}` {types.get(h, 'string')}" for h in header)
+    rows = parse(records, declared, nullValue=CSV_OPTIONS["nullValue"], emptyValue="")
+    folders = [c for c in rows.columns if not c.startswith("_")]
+    return rows.select("_cells.*", *[F.col(c).cast(types.get(c, "string")).alias(c) for c in folders])
+
+
 def _format_of(path: str) -> str:
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in (".csv", ".parquet"):
@@ -74,3 +85,11 @@ def save_config(spark: SparkSession, config: dict, path: str) -> None:
     """A run's settings as a one-row JSON table."""
     row = spark.createDataFrame([(json.dumps(config),)], "config string")
     row.write.mode("overwrite").text(path)
+
+
+def load_config(spark: SparkSession, path: str) -> dict:
+    """The settings that ``save_config`` wrote."""
+    rows = spark.read.text(path).collect()  # one row
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds {len(rows)} rows, not the one of a saved configuration")
+    return json.loads(rows[0]["value"])

@@ -1,10 +1,15 @@
+import csv
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from credence.schema import STANDARD_COLUMNS
 from credence.sources import load_dataset, load_processed, load_standardized_data, save_processed
+from credence.sources.delimited import headers, read_delimited, read_records
 from credence.sources.standard import standardize
+from credence.sources.tables import load_config, save_config
 from credence.operators.preprocess import add_text_stats
 
 
@@ -125,6 +130,67 @@ def test_round_trip(spark, tmp_path, fmt):
     assert sorted(back.collect()) == sorted(df.collect())
 
 
+QUOTED = [
+    ["id", "text\nof many lines", 'a "name"'],
+    ["0", "plain", ""], ["1", 'says "hi", leaves', "x"], ["2", "two\nlines", "three\r\nmore\n"], ["3", ',"', '","'], ["4", "\n\n", ',\n"'],
+    ["5", '"', '""'], ["6", "", '"\n'], ["7", "long " * 60 + "\n" + "tail " * 60, "\n,"], ["8", 'a,"b",\n"c"', "\x01\x02"], ["9", "é\n日本", "z"],
+]
+
+
+@pytest.mark.parametrize("block", [5, 40, 200, 100_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_at_block_edges(spark, tmp_path, block, end):
+    """Records are those of the csv module, wherever the file is cut into blocks."""
+    r = random.Random(block)
+    rows = QUOTED[1:] + [[str(k), "".join(r.choices('ab",\n', k=r.randint(0, 12))), r.choice(QUOTED)[1]] for k in range(10, 60)]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name, quoting in (("minimal", csv.QUOTE_MINIMAL), ("all", csv.QUOTE_ALL)):
+            with open(tmp_path / f"{name} 1+1.csv", "w", encoding="utf-8-sig" if name == "all" else "utf-8", newline="") as f:
+                csv.writer(f, quoting=quoting, lineterminator=end).writerows([QUOTED[0], *rows])
+        (tmp_path / "empty.csv").write_text("")
+        (tmp_path / "header only.csv").write_text("id,other\n")
+        records = read_records(spark, str(tmp_path))
+        if block <= 200:
+            assert records.sparkSession.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 5
+        back = [x for x in read_delimited(spark, [f"{tmp_path}/{n}.csv" for n in ("minimal 1+1", "all 1+1", "header only")], numbered="no").collect()]
+        assert sorted({x for _, x in headers(records)}) == sorted([tuple(QUOTED[0]), ("id", "other")])
+        for name in ("minimal", "all"):
+            own = sorted((x for x in back if x["_file"].endswith(f"{name} 1+1.csv")), key=lambda x: x["_row"])
+            assert [[x[c] or "" for c in QUOTED[0]] for x in own] == rows
+            assert [x["no"] for x in own] == [str(k) for k in range(len(rows))]
+        assert len(back) == 2 * len(rows)
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k) if k not in kept else spark.conf.set(k, kept[k])
+
+
+def test_stray_quotes_and_blank_lines(spark, tmp_path):
+    """A quote inside a cell is a sign; empty lines are no records; an open quote runs to the end of the file."""
+    text = 'a,b\n\n1,5" pipe\n2,x "y"\n\n"3"x,4\n5,"open\n6,7\n'
+    (tmp_path / "t.csv").write_text(text)
+    rows = sorted(read_delimited(spark, [f"{tmp_path}/t.csv"]).collect(), key=lambda x: x["_row"])
+    assert [(x["a"], x["b"]) for x in rows[:2]] == [("1", '5" pipe'), ("2", 'x "y"')]
+    assert rows[2]["b"] == "4" and rows[3]["a"] == "5" and rows[3]["b"].startswith("open\n6,7") and len(rows) == 4
+
+
+def test_csv_table_in_folders(spark, tmp_path):
+    df = standardize(spark.createDataFrame([("1", "a\nb", 1), ("2", 'c"d', 0)], "id string, text string, label int")).withColumn("split", F.lit("train"))
+    path = save_processed(add_text_stats(df), "y", tmp_path, "csv", partition_by=("split",))
+    back = load_standardized_data(path)
+    assert sorted((r["id"], r["text"], r["label"], r["split"], r["text_len"]) for r in back.collect()) == [("1", "a\nb", 1, "train", 3), ("2", 'c"d', 0, "train", 3)]
+
+
+def test_configuration(spark, tmp_path):
+    config = {"seed": 42, "name": 'a "b"\nc', "rates": [0.5, None], "nested": {"é": True}}
+    save_config(spark, config, f"{tmp_path}/config")
+    assert load_config(spark, f"{tmp_path}/config") == config
+    save_config(spark, {}, f"{tmp_path}/config")
+    assert load_config(spark, f"{tmp_path}/config") == {}
+
+
 def test_unknown_suffix_and_path(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         load_standardized_data(tmp_path / "none.csv")
