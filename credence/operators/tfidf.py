@@ -6,16 +6,19 @@ divided by the document's L2 norm. ``n`` counts every document, empty ones too.
 MLlib's ``IDF`` lacks the ``+ 1``, so the weight is written out here.
 
 Counting happens inside each row (sort the grams, measure run lengths), so the
-long gram stream is never shuffled; fitting shuffles one partial count per term.
+long gram stream is never shuffled. Fitting counts each part of the corpus where it is read and
+shuffles only the counts of terms that can be among the most frequent.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,11 +26,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from credence.functions.columns import computed_once
 from credence.functions.text import text_statistics, tokens
 from credence.schema import require_columns
+from credence.session import stage
 
 # ---- fixed values -----------------------------------------------------------
 MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 2)
 # -----------------------------------------------------------------------------
+#: Distinct terms that a task counts together.
+PART_TERMS = 2_000_000
+#: Terms that are sent to all tasks, at most; more are joined by a shuffle.
+BROADCAST_TERMS = 2_000_000
 
 
 def with_grams(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
@@ -120,6 +128,76 @@ class TfidfModel:
         )
 
 
+LOCAL = "part string, term string, tf long, df long, place int, documents long"
+
+
+def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted terms of documents to counts of the whole part of the corpus that a task reads, most frequent first.
+
+    A part is closed when it holds ``PART_TERMS`` terms; its first row carries the number of its documents.
+    """
+    held, fresh, waiting, documents, number = None, [], 0, 0, 0
+
+    def summed() -> pa.Table:
+        rows = pa.concat_tables([*fresh, *([] if held is None else [held])])
+        return rows.group_by("term").aggregate([("tf", "sum"), ("df", "sum")]).rename_columns(["term", "tf", "df"])
+
+    def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        if not documents:
+            return
+        if not rows.num_rows:  # documents without a term
+            rows = pa.table({"term": pa.nulls(1, pa.string()), "tf": pa.array([0], pa.int64()), "df": pa.array([0], pa.int64())})
+        rows = rows.sort_by([("tf", "descending")])
+        n = rows.num_rows
+        rows = rows.add_column(0, "part", pa.array([f"{TaskContext.get().partitionId()}-{number}"] * n))
+        rows = rows.append_column("place", pa.array(np.arange(n, dtype=np.int32)))
+        rows = rows.append_column("documents", pa.array(np.where(np.arange(n) == 0, documents, 0)))
+        yield from rows.combine_chunks().to_batches(max_chunksize=100_000)
+
+    for batch in batches:
+        terms = batch.column(0).flatten()
+        ones = pa.array(np.ones(len(terms), np.int64))
+        fresh.append(pa.table({"term": terms.field("term"), "tf": terms.field("tf"), "df": ones}))
+        waiting += len(terms)
+        documents += batch.num_rows
+        if waiting >= PART_TERMS:
+            held, fresh, waiting = summed(), [], 0
+            if held.num_rows >= PART_TERMS:
+                yield from close(held)
+                held, documents, number = None, 0, number + 1
+    if documents:
+        yield from close(summed())
+
+
+def local_counts(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
+    """(part, term, tf, df, place, documents): counts of every part of the corpus where it is read, no shuffle."""
+    counted = with_term_counts(df.select(text_column), text_column, ngram_range)
+    return counted.select("_terms").mapInArrow(_local_counts, LOCAL)
+
+
+def most_frequent(parts: DataFrame, k: int, least_df: float = 1) -> DataFrame:
+    """The ``k`` terms with the highest total count (ties: term ascending) among those in ``least_df`` documents, exactly, as
+    (term, tf, df), from staged ``local_counts``.
+
+    The heads of the parts give partial totals; the k-th of them is a lower bound of the k-th total. A term that reaches
+    it has at least an m-th of it in one of the m parts. Only terms that do are summed over all parts,
+    so the long tail of rare terms is never shuffled.
+    """
+    total = lambda rows: rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    known = parts.where("term is not null")
+    heads = total(known.where(F.col("place") < k)).where(F.col("df") >= F.lit(least_df)).orderBy(F.desc("tf")).limit(k)
+    found = heads.agg(F.count("*").alias("n"), F.min("tf").alias("bound")).first()
+    m = parts.where("place = 0").count()
+    share = -(-found["bound"] // m) if found["n"] == k else 1
+    if share > 1:
+        able = stage(known.where(F.col("tf") >= share).select("term").distinct(), "terms-that-can-reach")
+        few = able.count() <= BROADCAST_TERMS
+        known = known.join(F.broadcast(able) if few else able, "term", "left_semi")
+    return total(known).where(F.col("df") >= F.lit(least_df)).orderBy(F.desc("tf"), "term").limit(k)
+
+
 def fit_vocabulary(
     df: DataFrame,
     text_column: str,
@@ -128,19 +206,16 @@ def fit_vocabulary(
     ngram_range=NGRAM_RANGE,
     min_df=1,
 ) -> tuple[DataFrame, int]:
-    """The kept ``(term, tf, df)`` rows and the number of documents.
+    """The kept ``(term, tf, df)`` rows and the number of documents, from one pass over the texts.
 
     Terms are kept by total count (ties: term ascending) among those in at least
     ``min_df`` documents (a float is a share of all documents).
     """
     require_columns(df, [text_column], "text column")
-    n_documents = df.count()
-    counted = with_term_counts(df.select(text_column), text_column, ngram_range)
-    counted = counted.select(F.inline("_terms"))
-    totals = counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    parts = stage(local_counts(df, text_column, ngram_range), "local-term-counts")
+    n_documents = parts.where("place = 0").agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
     least = min_df * n_documents if isinstance(min_df, float) else min_df
-    kept = totals.where(F.col("df") >= F.lit(least)).orderBy(F.desc("tf"), "term")
-    return kept.limit(max_features), n_documents
+    return most_frequent(parts, max_features, least), n_documents
 
 
 def fit_tfidf(

@@ -1,13 +1,17 @@
 import math
+import random
 import re
+import types
 import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from credence.operators import tfidf as T
+from credence.session import staged
 
 DOCS = [
     "The cat sat on the mat", "A cat. a CAT!", "Café crème, café", "x y z", "", None,
@@ -117,3 +121,49 @@ def test_joined_vocabulary_gives_the_same_weights(frame):
     rows = T.transform_tfidf(frame, "id", "text", model).collect()
     assert {(r["id"], r["term"]): r["weight"] for r in joined} == pytest.approx(
         {(r["id"], r["term"]): r["weight"] for r in rows})
+
+
+@pytest.mark.parametrize("k", [1, 5, 40, 300, 5000])
+def test_most_frequent_terms_without_the_tail(spark, k, monkeypatch):
+    """Equal to summing everything, for any number of parts, and most of the tail stays where it is."""
+    r = random.Random(k)
+    words = [f"w{j:04d}" for j in range(3000)]
+    texts = [" ".join(words[min(2999, int(r.paretovariate(0.7)) - 1)] for _ in range(r.randint(0, 80))) for _ in range(600)] + [None, "", "w0001 w0001"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(9)
+    counts, holding = Counter(), Counter()
+    for t in texts:
+        counts.update((t or "").split())
+        holding.update(set((t or "").split()))
+    for least in (1, 4):
+        want = sorted((-n, t) for t, n in counts.items() if holding[t] >= least)[:k]
+        kept, n = T.fit_vocabulary(df, "text", max_features=k, ngram_range=(1, 1), min_df=least)
+        assert n == 603 and [(-x["tf"], x["term"], x["df"]) for x in kept.collect()] == [(a, t, holding[t]) for a, t in want]
+    parts = T.stage(T.local_counts(df, "text", (1, 1)), "parts")
+    monkeypatch.setattr(T, "BROADCAST_TERMS", 0)
+    assert [x["term"] for x in T.most_frequent(parts, k).collect()] == [t for _, t in sorted((-n, t) for t, n in counts.items())[:k]]
+    if k == 5:  # a share of the parts' counts moves
+        before = set(staged())
+        T.most_frequent(parts, k)
+        (able,) = [spark.read.parquet(p) for p in set(staged()) - before]
+        assert parts.join(able, "term", "left_semi").count() < parts.count() / 4
+
+
+def test_parts_are_closed_when_full(monkeypatch):
+    """A task that meets many terms hands them on in several parts; nothing is lost."""
+    monkeypatch.setattr(T, "PART_TERMS", 10)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 3))
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+    docs = [[{"term": f"t{(7 * d + j) % 40}", "tf": 1 + j % 3} for j in range(6)] for d in range(30)] + [[], None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(docs[k : k + 4], kind)], ["_terms"]) for k in range(0, len(docs), 4)]
+    found = pa.Table.from_batches(list(T._local_counts(iter(batches)))).to_pylist()
+    want = Counter()
+    for doc in docs:
+        for x in doc or []:
+            want[x["term"]] += x["tf"]
+    got = Counter()
+    for x in found:
+        got[x["term"]] += x["tf"]
+    got.pop(None, None)
+    assert got == want and len({x["part"] for x in found}) > 2
+    assert sum(x["documents"] for x in found) == len(docs)
+    assert list(T._local_counts(iter([]))) == []
