@@ -5,8 +5,8 @@ Rows are ranked inside a class by ``md5(id:seed)``. The set taken from a class i
 threshold hash per class and cut. Thresholds come from a histogram of hash
 prefixes (one aggregation, a fixed number of result rows) and from the rows of
 the few histogram cells a threshold falls into; tagging is then row-local.
-Ids must be unique, as they are after de-duplication: where a repeated id sits on a
-threshold no cut has the wanted size, and that raises.
+Ids are unique after de-duplication. Where a repeated id sits on a threshold, no cut by ids has the wanted size; then
+the rows themselves are ordered, by id, digest of the row and, among equal rows, their number.
 """
 
 from __future__ import annotations
@@ -18,8 +18,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credence.functions.text import is_blank
 from credence.schema import require_columns
+from credence.session import stage
 
 PREFIX_HEX_DIGITS = 4  # 65,536 histogram cells per class
+ROW_KEY = "_row_key"
+
+
+class RepeatedId(ValueError):
+    """A cut would have to fall between rows of one id."""
 
 
 @dataclass(frozen=True)
@@ -128,13 +134,34 @@ class _HashOrder:
         )
         at_cut = ranked.where(at_offset).collect()
         if any(r["_hash"] == r["_next"] for r in at_cut):
-            raise ValueError("a repeated id stands where a cut has to fall; make the ids unique first")
+            raise RepeatedId("a repeated id stands where a cut has to fall; make the ids unique first")
         found = {
             (r["_label"] if by_class else None, r["_cell"], r["_rank"]): r["_hash"] for r in at_cut
         }
         return {(s, k): found[(s, cell, offset)] for s, k, cell, offset in wanted}
 
 
+def with_row_keys(df: DataFrame, id_column: str) -> DataFrame:
+    """Adds ``ROW_KEY``, different for every row and the same set of keys on every run.
+
+    Rows that equal others in all columns are numbered: each task numbers those of its part, and the sizes of the
+    parts before shift them, so that a row copied any number of times is no single task's work.
+    """
+    columns = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    named = df.withColumn("_digest", F.concat_ws("|", F.col(id_column).cast("string"), F.md5(columns)))
+    named = stage(named.withColumn("_part", F.spark_partition_id()), "rows-to-split")
+    sizes = named.groupBy("_digest", "_part").agg(F.count("*").alias("_n"))
+    # where no row repeats, nothing is numbered
+    if sizes.groupBy("_digest").agg(F.sum("_n").alias("_n")).where("_n > 1").isEmpty():
+        return named.withColumn(ROW_KEY, F.col("_digest")).drop("_digest", "_part")
+    before = Window.partitionBy("_digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_digest", "_part").orderBy("_digest")
+    numbered = named.withColumn("_place", F.row_number().over(inside)).join(starts, ["_digest", "_part"])
+    key = F.concat_ws("|", "_digest", (F.col("_place") + F.col("_start")).cast("string"))
+    return stage(numbered.withColumn(ROW_KEY, key).drop("_digest", "_part", "_place", "_start"), "numbered-rows")
+
+
 def _plan(df, id_column, label_column, seed, sizes, can_stratify) -> SplitPlan:
     """``sizes`` is ``[(name, share of what is left)]``; the rest is training."""
 
@@ -180,7 +207,8 @@ def fit_split(
     df: DataFrame, val_size=0.15, test_size=0.15, seed=42, *, id_column="id", label_column="label"
 ) -> SplitPlan:
     """70/15/15 by default; a cut is stratified when there is more than one class
-    and the smallest has at least three rows. Reads ``df`` twice (narrow)."""
+    and the smallest has at least three rows. Reads ``df`` twice (narrow). The plan tags any frame with these
+    ids, so an id on a cut must stand in one row; ``split_dataset`` also splits the rows of an id."""
     sizes = [("test", test_size), ("val", val_size / (1 - test_size))]
     return _plan(
         df, id_column, label_column, seed, sizes,
@@ -189,7 +217,13 @@ def fit_split(
 
 
 def split_dataset(df: DataFrame, val_size=0.15, test_size=0.15, seed=42, **columns) -> DataFrame:
-    return fit_split(df, val_size, test_size, seed, **columns).apply(df)
+    """``fit_split`` applied to the same frame, whose ids may repeat."""
+    try:
+        return fit_split(df, val_size, test_size, seed, **columns).apply(df)
+    except RepeatedId:
+        rows = with_row_keys(df, columns.get("id_column", "id"))
+        plan = fit_split(rows, val_size, test_size, seed, **{**columns, "id_column": ROW_KEY})
+        return plan.apply(rows).drop(ROW_KEY)
 
 
 def contract_checks(df: DataFrame, text_column: str, label_column: str) -> DataFrame:
@@ -238,8 +272,12 @@ def split_labeled_data(
         return True
 
     sizes = [("test", test_size), ("validation", validation_size / (1 - test_size))]
-    plan = _plan(df, id_column, label_column, random_state, sizes, strict)
+    try:
+        plan = _plan(df, id_column, label_column, random_state, sizes, strict)
+    except RepeatedId:
+        df = with_row_keys(df, id_column)
+        plan = _plan(df, ROW_KEY, label_column, random_state, sizes, strict)
     for name, thresholds in plan.cuts:
         if len(thresholds) < 2:
             raise ValueError(f"{name} would hold {len(thresholds)} of 2 classes, with cuts {plan.sizes}")
-    return plan.apply(df)
+    return plan.apply(df).drop(ROW_KEY)

@@ -59,10 +59,29 @@ def test_gate_histogram_by_mask(spark):
     assert {(r["context_mask"], r["bin"], r["n"]) for r in profile.gate_hist(df).collect()} == {(0, 15, 3), (1, 0, 1), (1, 29, 2)}
 
 
-def test_repeated_ids_on_a_cut_raise(spark):
-    df = spark.range(200).select(F.concat(F.lit("d"), F.col("id") % 10).alias("id"), (F.col("id") % 2).cast("int").alias("label"))
-    with pytest.raises(ValueError, match="repeated id"):
-        split.split_dataset(df).count()
+@pytest.mark.parametrize("copies", ["different rows", "equal rows", "one row"])
+def test_repeated_ids_are_split_by_rows(spark, copies):
+    n = F.col("id")
+    label = (n % 2).cast("int")
+    ids = {"different rows": n % 10, "equal rows": n % 10, "one row": n % 2}[copies]
+    rows = spark.range(200).select(F.concat(F.lit("d"), ids).alias("id"), label.alias("label"), F.lit("a text").alias("text"))
+    if copies == "different rows":
+        rows = rows.withColumn("x", F.monotonically_increasing_id())
+    with pytest.raises(split.RepeatedId):
+        split.fit_split(rows)
+
+    def parts(done):
+        assert done.columns == [*rows.columns, "split"] and done.count() == 200
+        return {(r["split"], r["label"]): r["count"] for r in done.groupBy("split", "label").count().collect()}
+
+    done = split.split_dataset(rows)
+    # 15 % of 85 % of 200 rounds up to 31
+    assert parts(done) == {("train", 0): 70, ("train", 1): 69, ("val", 0): 15, ("val", 1): 16, ("test", 0): 15, ("test", 1): 15}
+    strict = split.split_labeled_data(rows, text_column="text", label_column="label")
+    assert parts(strict) == {("train", y): 60 for y in (0, 1)} | {(p, y): 20 for p in ("validation", "test") for y in (0, 1)}
+    content = lambda df: sorted(map(tuple, df.collect()))
+    if copies != "different rows":  # dealt out otherwise, the same rows go to the same parts
+        assert content(split.split_dataset(rows.repartition(7))) == content(done)
 
 
 def test_many_categories(spark):
