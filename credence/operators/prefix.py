@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credence.functions.columns import join_by
+from credence.operators.ranks import MOST_INTERVALS, values_of_ranks
+from credence.session import stage
 
 
 def _range_count(df: DataFrame) -> int:
@@ -75,10 +77,41 @@ def running_sums(
 def quantiles(df: DataFrame, value: str, probs: dict, by=(), ranges: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``probs`` maps an output column to a probability. Equal values are collapsed
-    before anything is ordered; nulls are ignored.
+    ``probs`` maps an output column to a probability; nulls are ignored. The ranks are found by rounds of counting
+    (``ranks``). Where there are more groups than the driver should know, or ``ranges`` is given, equal values are
+    collapsed and summed up in value ranges instead, with the same result.
     """
     by = list(by)
+    if ranges is None:
+        narrow = stage(df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value")), "values")
+        most = MOST_INTERVALS // (2 * max(1, len(probs)))
+        sizes = narrow.groupBy(*by).agg(F.count("*").alias("_n")).limit(most + 1).collect()
+        if len(sizes) <= most:
+            return _counted_quantiles(narrow, probs, by, {tuple(r[c] for c in by): r["_n"] for r in sizes if r["_n"]})
+        df, value = narrow, "_value"
+    return _collapsed_quantiles(df, value, probs, by, ranges)
+
+
+def _counted_quantiles(narrow: DataFrame, probs: dict, by: list, sizes: dict) -> DataFrame:
+    places = {g: {name: (n - 1) * float(p) for name, p in probs.items()} for g, n in sizes.items()}
+    wanted = {
+        g: (n, {min(int(x) + k, n - 1) for x in places[g].values() for k in (0, 1)}) for g, n in sizes.items()
+    }
+    found = values_of_ranks(narrow, "_value", by, wanted)
+    rows = []
+    for g, n in sizes.items():
+        at = found[g]
+        cut = {}
+        for name, x in places[g].items():
+            low, high = at[int(x)], at[min(int(x) + 1, n - 1)]
+            cut[name] = low + (high - low) * (x - int(x))
+        rows.append((*g, *cut.values()))
+    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in by] + [f"`{name}` double" for name in probs]
+    return narrow.sparkSession.createDataFrame(rows, ", ".join(kinds))
+
+
+def _collapsed_quantiles(df: DataFrame, value: str, probs: dict, by: list, ranges: int | None) -> DataFrame:
+    """Equal values are collapsed before anything is ordered."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranked = running_sums(counted, value, {"_upto": "_n"}, by, ranges=ranges)
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from credence.functions.columns import computed_once
 from credence.functions.text import DEFAULT_MIN_WORDS, clean_text, word_count
@@ -87,14 +87,16 @@ def remove_duplicates(df: DataFrame, id_column="id", text_column="text", order=O
 
 
 def pipeline_counts(df: DataFrame, min_words=DEFAULT_MIN_WORDS) -> DataFrame:
-    """Rows in, after the filter, and after de-duplication, as one row. Texts are
-    cleaned once: the narrow keys are staged and counted twice."""
-    keys = stage(duplicate_keys(handle_missing(df, min_words)), "duplicate-keys")
-    return df.agg(F.count("*").alias("rows_raw")).withColumns(
-        {
-            "rows_filtered": keys.agg(F.count("*")).scalar(),
-            "rows_deduplicated": first_of_keys(keys).agg(F.count("*")).scalar(),
-        }
+    """Rows in, after the filter, and after de-duplication, as one row. The corpus is read once: rows are counted as
+    they pass, while the narrow keys are staged."""
+    raw, filtered = Observation(), Observation()
+    rows = df.observe(raw, F.count(F.lit(1)).alias("n"))
+    kept = handle_missing(rows, min_words).observe(filtered, F.count(F.lit(1)).alias("n"))
+    keys = stage(duplicate_keys(kept), "duplicate-keys")
+    # both passed in a job without a shuffle, where a task that is run again counts once
+    return first_of_keys(keys).agg(F.count("*").alias("rows_deduplicated")).select(
+        F.lit(raw.get["n"]).cast("long").alias("rows_raw"), F.lit(filtered.get["n"]).cast("long").alias("rows_filtered"),
+        "rows_deduplicated",
     )
 
 

@@ -9,6 +9,7 @@ from credence.operators.preprocess import (
 from credence.operators.profile import (
     clip_tail, hist_engagement, histogram, inspect_dataframe, profile_duplicates, profile_labels,
 )
+from credence.operators import prefix, ranks
 from credence.operators.prefix import quantiles
 from credence.plans import corpora
 from credence.session import release, staged
@@ -129,6 +130,54 @@ def test_quantiles(spark, ranges):
         assert [got[g][c] for c in "abc"] == pytest.approx(list(np.quantile(mine, [0.25, 0.5, 0.99])))
 
 
+def test_pipeline_counts_read_the_corpus_once(spark):
+    rows = [(k, f"i{k % 8}", "t", f"one two three four five {k % 7}" if k % 3 else "short", k % 2) for k in range(40)]
+    source, passed = _table(spark, rows).repartition(4), spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    counts = pipeline_counts(source.mapInArrow(watched, source.schema)).collect()
+    kept = handle_missing(source)
+    want = (40, kept.count(), first_occurrences(kept).count())
+    assert [tuple(r) for r in counts] == [want] and 0 < want[2] < want[1] < 40
+    assert passed.value == 40
+    assert pipeline_counts(source.where("id = 'nobody'")).first() == (0, 0, 0)
+    assert pipeline_counts(_table(spark, [])).first() == (0, 0, 0)
+
+
+@pytest.mark.parametrize("fetched", [0, 3, 100])
+@pytest.mark.parametrize("kind", ["different", "few", "one", "powers"])
+def test_quantiles_by_counting(spark, fetched, kind, monkeypatch):
+    """Doubles that all differ, few values, one value, and values of all magnitudes; null groups are groups."""
+    import numpy as np
+
+    monkeypatch.setattr(ranks, "FETCHED", fetched)
+    monkeypatch.setattr(ranks, "MARKS", 8)
+    rng = np.random.default_rng(5)
+    n = 700
+    values = {
+        "different": rng.normal(size=n) * 1e3, "few": rng.integers(0, 4, n) * 1.5, "one": np.full(n, -2.5),
+        "powers": 2.0 ** rng.integers(-900, 900, n) * rng.choice([-1, 1], n),
+    }[kind]
+    rows = [(None if g == 3 else int(g), float(v)) for g, v in zip(rng.integers(0, 4, n), values)]
+    df = spark.createDataFrame(rows + [(0, None), (9, 4.0), (8, None)], "g int, v double").repartition(5)
+    probs = {"lo": 0.0, "a": 0.25, "b": 0.5, "c": 0.99, "hi": 1.0}
+    got = {r["g"]: r for r in quantiles(df, "v", probs, ["g"]).collect()}
+    assert set(got) == {0, 1, 2, None, 9}
+    for g, row in got.items():
+        mine = [v for k, v in rows if k == g] or [4.0]
+        assert [row[c] for c in probs] == pytest.approx(list(np.quantile(mine, list(probs.values()))), rel=1e-12)
+    whole = quantiles(df, "v", {"m": 0.5}).first()["m"]
+    assert whole == pytest.approx(np.quantile([*values, 4.0], 0.5), rel=1e-12)
+    assert quantiles(df.where("v > 1e300 and v < 0"), "v", {"m": 0.5}, ["g"]).count() == 0
+    monkeypatch.setattr(prefix, "MOST_INTERVALS", 1)  # too many groups: the other way, the same result
+    other = {r["g"]: r for r in quantiles(df, "v", probs, ["g"]).collect()}
+    assert other.keys() == got.keys() and all(other[g][c] == pytest.approx(got[g][c], rel=1e-12) for g in got for c in probs)
+
+
 def test_histograms(spark):
     df = spark.createDataFrame([(float(v),) for v in [0, 1, 2, 3, 4, 4, None] if v is not None], "x double")
     bins = {r["bin"]: r["n"] for r in histogram(df, "x", 4).collect()}
