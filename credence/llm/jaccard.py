@@ -13,8 +13,10 @@ A document's set holds its distinct ``WORDS``-word shingles; two documents link
    prefix tree: sets in the global order share the paths of common prefixes, partial overlaps are counted once a path, and subtrees are pruned
    when the remaining lengths cannot reach the needed overlap, or when they hold only the searcher's own component. This links nearly all that links, and
    makes one component of a large group of near copies without comparing all its pairs.
-5. What is left is exact: any further link shares one of the rarest ``|shared| - ceil(0.75 n) + 1`` shingles of either side. Pairs of
-   *different* components that meet there, and that neither the place of the shared shingle nor a bit map of both sets rules out,
+5. What is left is exact: any further link shares one of the rarest ``|shared| - ceil(0.75 n) + 1`` shingles of either side. What stands
+   behind a shingle bounds the size of a partner; a set meets only sets in the bands of sizes that it can link with, and of two
+   one must be able to link with a set as large as itself. So pages that share most of a template, but not enough, do not meet at all. Pairs of
+   *different* components that meet, and that neither the place of the shared shingle nor a bit map of both sets rules out,
    are checked by their whole sets.
 
 No step drops a candidate by count. Only classes, links and roots move after step 1, never pairs of copies.
@@ -26,6 +28,7 @@ words has its whole sequence as one shingle. Repeated rows share class and compo
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +49,8 @@ ROUNDS = 4
 #: Sets with the most links that a set tries before it walks the tree.
 TRIED = 4
 MAP_BITS = 1024
+#: Sets meet in step 5 by shingle and by size, in bands of this ratio.
+BAND = 1.1
 #: Shingles that one task compares at a time.
 BUCKET = 1_000_000
 #: Digests a task remembers so as not to send a copy's shingles twice.
@@ -187,12 +192,11 @@ def deal(buckets: int):
             bucket = (out_g % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((out_o, bucket))
             out_g, out_o, bucket = out_g[by], out_o[by], bucket[by]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            used = np.flatnonzero(np.diff(cuts))
+            used, own = _runs(bucket)
             cols = [
                 pa.array(used, pa.int64()),
-                pa.array([out_g[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
-                pa.array([out_o[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()),
+                pa.array([out_g[x].tobytes() for x in own], pa.binary()),
+                pa.array([out_o[x].tobytes() for x in own], pa.binary()),
                 pa.array([None] * len(used), pa.binary()), pa.array([None] * len(used), pa.binary()),
             ]
             yield _batch(cols, ["bucket", "grams", "owners", "done", "counts"])
@@ -209,6 +213,13 @@ def deal(buckets: int):
     return run
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The different values of an ascending array and where each stands; the work is that of the array, whatever the values."""
+    used, first = np.unique(ordered, return_index=True)
+    ends = np.append(first[1:], len(ordered)).tolist()
+    return used, [slice(a, b) for a, b in zip(first.tolist(), ends, strict=True)]
+
+
 def count_shared(homes: int):
     """One bucket to (home, owners, counts): how many of a class's shingles another class holds as well,
     packed by the home of the class so that rows do not grow with classes times buckets."""
@@ -237,12 +248,11 @@ def count_shared(homes: int):
         home = (mixed(owner) % np.uint64(homes)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         owner, count = owner[order], count[order]
-        cuts = np.searchsorted(home[order], np.arange(homes + 1))
-        used = np.flatnonzero(np.diff(cuts))
+        used, own = _runs(home[order])
         return pa.table({
             "home": pa.array(used, pa.int64()),
-            "owners": pa.array([owner[cuts[h] : cuts[h + 1]].tobytes() for h in used], pa.binary()),
-            "counts": pa.array([count[cuts[h] : cuts[h + 1]].tobytes() for h in used], pa.binary()),
+            "owners": pa.array([owner[x].tobytes() for x in own], pa.binary()),
+            "counts": pa.array([count[x].tobytes() for x in own], pa.binary()),
         })
 
     return run
@@ -260,10 +270,8 @@ def _pack(home: np.ndarray, homes: int, sids: list[bytes], sizes: np.ndarray, ro
     """(home, sids, sizes, lengths, values...) blobs of the rows' values, by the home of each value; for sorted ``row``."""
     order = np.lexsort((row, home))
     home, row, values = home[order], row[order], [v[order] for v in values]
-    cuts = np.searchsorted(home, np.arange(homes + 1))
     out = []
-    for h in np.flatnonzero(np.diff(cuts)):
-        own = slice(cuts[h], cuts[h + 1])
+    for h, own in zip(*_runs(home), strict=True):
         held, lengths = np.unique(row[own], return_counts=True)
         blobs = [b"".join(sids[k] for k in held), sizes[held].astype(np.int64).tobytes(), lengths.astype(np.int64).tobytes()]
         out.append((int(h), *blobs, *[v[own].tobytes() for v in values]))
@@ -615,15 +623,23 @@ def class_roots(sets: DataFrame) -> DataFrame:
     open_ = rare.join(mixed_, "gram")
     maps = sets.select("sid", "n", "grams").mapInArrow(bit_maps, "sid binary, held long, bits array<long>")
     open_ = stage(open_.join(maps, "sid"), "open-grams")
-    left, right = open_.alias("l"), open_.alias("r")
+    # the sizes a class can link with by what follows a shingle: no set above ``most`` reaches the overlap any more
+    most = F.floor((WHOLE + PART) * (F.col("rest") + 1) / PART).cast("long") - F.col("n")
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND))
+    larger = open_.where(most >= F.ceil(PART * F.col("n") / WHOLE)).withColumn(
+        "band", F.explode(F.sequence(band(F.ceil(PART * F.col("n") / WHOLE)), band(F.least("n", most))))
+    )
+    smaller = open_.where(most >= F.col("n")).withColumn("band", band(F.col("n")))
+    left, right = smaller.alias("l"), larger.alias("r")
     need = F.ceil(PART * (F.col("l.n") + F.col("r.n")) / (WHOLE + PART))
     # at the first shingle that a pair shares, what comes after it must still make up the needed overlap
     reach = F.least("l.rest", "r.rest") + 1 >= need
     # every bit in which two maps differ stands for a shingle that only one set holds
     differ = F.aggregate(F.zip_with("l.bits", "r.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     close = differ <= F.col("l.held") + F.col("r.held") - 2 * need
-    same = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.comp") < F.col("r.comp"))
-    pairs = left.join(right, same & reach & close).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
+    meets = (F.col("l.gram") == F.col("r.gram")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp"))
+    ordered = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.sid") < F.col("r.sid")))
+    pairs = left.join(right, meets & ordered & reach & close).select(F.col("l.sid").alias("a"), F.col("r.sid").alias("b")).distinct()
     one = sets.select(F.col("sid").alias("a"), F.col("n").alias("an"), F.col("grams").alias("ag"))
     two = sets.select(F.col("sid").alias("b"), F.col("n").alias("bn"), F.col("grams").alias("bg"))
     sure = pairs.join(one, "a").join(two, "b").select("a", "b", "an", "bn", "ag", "bg").mapInArrow(check_pairs, "a binary, b binary")

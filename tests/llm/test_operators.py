@@ -396,6 +396,34 @@ def test_preference(spark):
     assert preference.preference_pairs(frames[0].where("false"), frames[1]).count() == 0
 
 
+def test_jaccard_of_pages_with_a_template(spark):
+    """Pages that share four fifths of a template do not link; those that share more, or are cut shorter, do."""
+    r = random.Random(11)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    template = own(163)
+    rows = [(k, " ".join(template + own(41))) for k in range(120)]
+    template = own(163)
+    rows += [(200 + k, " ".join(template + own(r.randint(5, 60)))) for k in range(80)]
+    rows += [(300 + k, " ".join(template[: r.randint(100, 163)] + own(r.randint(0, 30)))) for k in range(40)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    want = collections.Counter((i, len(sets[i]), top(i)) for i in sets)
+    assert 120 < len({top(i) for i in sets}) < 200
+    found = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(jaccard.components(found), "doc_id", "n_shingles", "component_id") == want
+
+
 @pytest.mark.parametrize("name", ["even", "words", "single", "none"])
 def test_every_answered_conversation_gets_a_rejected_side(spark, name):
     ids = {"even": range(0, 80, 2), "words": [f"c{k}" for k in range(9)], "single": [5], "none": []}[name]
