@@ -43,7 +43,7 @@ def shape(word: str) -> str:
         if kind != last:
             found.append(kind)
             last = kind
-    return "".join(found[:8])
+    return "".join(found)
 
 
 class Words(dict):
