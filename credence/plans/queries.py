@@ -218,7 +218,12 @@ def inspect(spark, d):
 
 
 def class_distribution(spark, d):
-    return _round(profile.class_distribution(_processed_all(spark, d)), ["share"])
+    """Of the processed rows of all corpora; labels and keys tell which rows these are, so no text is written."""
+    parts = [
+        preprocess.first_occurrences(preprocess.handle_missing(c(spark, d)), extra=("dataset", "label"))
+        for c in (corpora.documents, corpora.pages, corpora.benchmark)
+    ]
+    return _round(profile.class_distribution(parts[0].unionByName(parts[1]).unionByName(parts[2])), ["share"])
 
 
 def describe_by_label(spark, d):
