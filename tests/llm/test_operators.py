@@ -306,6 +306,27 @@ def test_substrings(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_passages_of_every_length(spark):
+    """Planted in two or more documents: of 400 bytes or more all are found, under 400 bytes none, whatever their number of words."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghijklmnopé", k=r.randint(1, 10)))
+    rows, planted = [], {}
+    for k in range(160):
+        words = r.choice([45, 51, 60, 70, 80, 120])
+        passage = f"#{k:03d} " + " ".join(word() for _ in range(words)) + f" {k:03d}#"
+        holders = r.choice([2, 2, 3, 6])
+        for j in range(holders):
+            own = lambda: " ".join(word() for _ in range(r.randint(0, 40)))
+            # a sign of its own on either side, so that no repetition reaches further
+            rows.append((1000 * k + j, f"{own()} <{j}{passage}{j}> {own()}"))
+            planted[1000 * k + j] = len(passage.encode())
+    assert min(planted.values()) < 300 and 390 <= sorted(planted.values(), key=lambda n: abs(n - 400))[0] <= 410
+    done = substrings.report(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    for x in done.collect():
+        n = planted[x.doc_id]
+        assert (x.n_removed, x.n_spans) == ((n, 1) if n >= substrings.LENGTH else (0, 0))
+
+
 def test_substrings_of_a_crowded_anchor(spark, monkeypatch):
     """Passages of less and of more than a window in many surroundings: whole, and no task compares an unbounded collection."""
     r = random.Random(8)
@@ -503,6 +524,53 @@ def test_toxicity_keeps_all_when_nothing_is_known(spark, graded):
     assert len(kept & bad) < 0.1 * len(bad) and len(kept - bad) > 0.9 * (len(graded) - len(bad))
 
 
+def test_votes_equal_plain_cosines():
+    """Neighbours, ties and weights by loops over dense vectors."""
+    import types
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+
+    def batch(n):
+        # the last is the length term, which every text has
+        slots = [[*sorted(r.choice(40, r.integers(0, 9), replace=False).tolist()), 40] for _ in range(n)]
+        weights = [r.random(len(x)).astype("float32").tolist() for x in slots]
+        return slots, weights
+
+    (slots, weights), (known_slots, known_weights) = batch(700), batch(50)
+    for k in range(20, 26):  # copies, so that neighbours tie
+        known_slots[k], known_weights[k] = known_slots[20], known_weights[20]
+    slots[3], weights[3] = known_slots[20], known_weights[20]
+    idf = r.random(quality_votes.SLOTS).astype("float32")
+    axes = r.normal(size=(quality_votes.SLOTS, 6)).astype("float32")
+    labels = r.integers(0, 2, 50).astype("float32")
+
+    def vector(s, w):
+        v = np.zeros(quality_votes.SLOTS)
+        for a, b in zip(s, w, strict=True):
+            v[a] = b * idf[a]
+        v /= max(np.linalg.norm(v), 1e-9)
+        v = v @ axes
+        return v / max(np.linalg.norm(v), 1e-9)
+
+    arrays = lambda s, w: (pa.array(s, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float32())))
+    taught = quality_votes.latent(quality_votes.dense(*arrays(known_slots, known_weights), idf), axes)
+    model = types.SimpleNamespace(value=(idf, axes, taught, labels))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(700)), *arrays(slots, weights)], ["doc_id", "slots", "weights"])
+    got_ = next(quality_votes.vote(model)(iter([rows]))).column(1).to_numpy()
+    plain = np.array([vector(s, w) for s, w in zip(known_slots, known_weights, strict=True)])
+    for k in range(700):
+        cosine = np.maximum(plain @ vector(slots[k], weights[k]), 1e-6)
+        least = np.sort(cosine)[-quality_votes.NEIGHBOURS]
+        near = cosine >= least - 1e-7
+        strength = cosine[near] ** quality_votes.SHARPNESS
+        assert got_[k] == pytest.approx((strength * labels[near]).sum() / strength.sum(), abs=2e-3)
+    # whole shapes: what differs in the tail only is a different term
+    long = "a1" * 9
+    assert quality_votes.shape(long + "!") != quality_votes.shape(long + "?") and quality_votes.shape("Abc,12") == "Aa,0"
+
+
 def test_quality_votes(spark, graded, docs, empty):
     frame = spark.createDataFrame(graded, "doc_id long, text string").repartition(4)
     labels = labelled(spark, graded, lambda t: not t.isupper())
