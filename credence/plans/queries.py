@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from credence.functions.text import clean_text, url_domain
 from credence.operators import (
-    classify, context, experiments, fusion, metrics, preprocess, profile, split, tfidf,
+    classify, context, experiments, fusion, metrics, preprocess, profile, runs, split, tfidf,
 )
 from credence.plans import corpora
 from credence.schema import COUNT_COLUMNS, ORDER
@@ -87,12 +87,7 @@ def feature_metadata(spark, d):
     text = tfidf.fit_tfidf(docs, "text")
     model = corpora.context_model(spark, d)
     masked = context.context_availability(docs, COUNT_COLUMNS)
-    return masked.agg(
-        F.lit(len(text.terms)).cast("long").alias("text_feature_count"),
-        F.lit(context.feature_count(model)).cast("long").alias("context_feature_count"),
-        F.sum(F.col("context_available").cast("long")).alias("context_rows_available"),
-        F.count("*").alias("total_rows"),
-    )
+    return runs.feature_metadata(text, model, masked)
 
 
 def _ten_thousandths(c):
