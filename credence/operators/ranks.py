@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 #: Marks per interval and round.
 MARKS = 128
 #: Rows of an interval that are fetched instead of counted further.
-FETCHED = 2_000
+FETCHED = 10_000
 #: Groups and ranks that the driver keeps track of, at most.
 MOST_INTERVALS = 1_000
 
@@ -74,10 +75,11 @@ def values_of_ranks(rows: DataFrame, value: str, by: list[str], wanted: dict[tup
         number = {k: i for i, k in enumerate(unique)}
         inside = _inside(rows, value, by, intervals)
         few = [i for i, x in enumerate(intervals) if x.rows <= FETCHED]
-        fetched: dict[int, list[float]] = {i: [] for i in few}
+        fetched: dict[int, np.ndarray] = {}
         if few:
-            for r in inside.where(F.col("_i").isin(few)).collect():  # at most FETCHED an interval
-                fetched[r["_i"]].append(r["_v"])
+            table = inside.where(F.col("_i").isin(few)).toArrow()  # at most FETCHED an interval
+            owner, values = table["_i"].to_numpy(), table["_v"].to_numpy()
+            fetched = {i: np.sort(values[owner == i]) for i in few}
         marks: dict[int, list[tuple[float, int, int]]] = {}
         if len(few) < len(intervals):
             many = inside.where(~F.col("_i").isin(few)) if few else inside
@@ -103,7 +105,7 @@ def values_of_ranks(rows: DataFrame, value: str, by: list[str], wanted: dict[tup
         for x in todo:
             i = number[(x.group, x.low, x.high)]
             if i in fetched:
-                found[x.group][x.rank] = sorted(fetched[i])[x.rank - x.below]
+                found[x.group][x.rank] = float(fetched[i][x.rank - x.below])
                 continue
             step = _narrowed(x, marks[i])
             if isinstance(step, Interval):
