@@ -10,7 +10,7 @@ A set larger than ``MAX_INDEX_WINDOWS`` is cut into blocks by hash; the document
 block, so an executor never holds more than one bounded block.
 
 Defined cases: null and empty texts have no words and no hits; null item texts give no
-window. Equal windows of several items are stored once with all their items. Repeated
+window. Windows of items without an id hit like any other, but no item is counted for them. Equal windows of several items are stored once with all their items. Repeated
 documents get equal results. Empty tables give empty or clean results. Clashing extra
 columns cannot interfere: the input row travels as one struct.
 """

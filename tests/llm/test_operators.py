@@ -89,6 +89,16 @@ def test_decontamination(spark, docs, empty):
     assert nothing.where("contaminated").count() == 0 and nothing.count() == docs.count()
 
 
+def test_items_without_an_id(spark):
+    """Their windows hit like any other; as they have no name, no item is counted."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c d e f g h i j k"), (5, "x y"), (None, "x y")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.report(decontaminate.scan(docs, items)).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated) == (10, 0, True)
+    assert rows[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (rows[2].n_hit, rows[2].n_items) == (2, 1) and rows[2].items_sha256 == hashlib.sha256(b"5").hexdigest()
+
+
 def test_decontamination_in_blocks(docs, monkeypatch):
     whole = got(decontaminate.report(decontaminate.scan(docs, docs.where("doc_id < 3"), item_id="doc_id")), "doc_id", "n_hit")
     monkeypatch.setattr(decontaminate, "MAX_INDEX_WINDOWS", 20)
