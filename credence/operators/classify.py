@@ -12,12 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, tfidf_vectors
+from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, staged_vectors, with_margin
 from credence.schema import require_columns
-from credence.session import stage
 
 # ---- fixed values -----------------------------------------------------------
 DEFAULT_C = 1.0
@@ -85,14 +83,13 @@ class TextBaseline:
                 weights[negative]
             )
         truth = F.col(label_column) == F.lit(positive)
-        rows = tfidf_vectors(
-            train.select(id_column, text_column, label_column),
-            text_column, tfidf, sign=sign,
-        ).select(
-            "features", (truth == even).cast("double").alias("target"), weight.alias("weight")
-        )
         # the optimiser passes over the vectors hundreds of times: compute them once
-        rows = stage(rows, "training-vectors")
+        rows = staged_vectors(
+            train.select(
+                text_column, (truth == even).cast("double").alias("target"), weight.alias("weight"), sign.alias("sign")
+            ),
+            text_column, tfidf, "training-vectors", sign=F.col("sign"),
+        ).select("features", "target", "weight")
         model = LogisticRegression(
             labelCol="target", weightCol="weight", regParam=1.0 / (self.c * n),
             elasticNetParam=0.0, standardization=False, fitIntercept=False,
@@ -109,19 +106,19 @@ class FittedBaseline:
     text_column: str = "text"
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Adds ``prediction`` (probability above one half) and ``score``."""
+        """Adds ``prediction`` (probability above one half) and ``score``; row-local and native.
+
+        The model itself is not sent to executors: it carries the training summary and, with that, the session,
+        which cannot be serialised while anything in it is observed.
+        """
         negative, positive = self.classes
-        vectors = tfidf_vectors(df, self.text_column, self.tfidf, "features", F.lit(1.0))
-        scored = self.model.transform(vectors)
-        return scored.withColumns(
+        rows = with_margin(df, self.text_column, self.tfidf, self.model.coefficients.toArray(), "_margin")
+        return rows.withColumns(
             {
-                "score": vector_to_array("probability")[1],
-                "prediction": F.when(F.col("prediction") == 1.0, F.lit(positive)).otherwise(
-                    F.lit(negative)
-                ),
+                "prediction": F.when(F.col("_margin") > 0, F.lit(positive)).otherwise(F.lit(negative)),
+                "score": 1 - 1 / (1 + F.exp("_margin")),
             }
-        ).drop("features", "rawPrediction", "probability")
-
+        ).drop("_margin")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Vocabulary, coefficients and classes in three folders."""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from credence.functions.columns import computed_once
 from credence.functions.text import text_statistics, tokens
@@ -33,7 +34,7 @@ MAX_FEATURES = 5000
 NGRAM_RANGE = (1, 2)
 # -----------------------------------------------------------------------------
 #: Distinct terms that a task counts together.
-PART_TERMS = 2_000_000
+PART_TERMS = 1_000_000
 #: Terms that are sent to all tasks, at most; more are joined by a shuffle.
 BROADCAST_TERMS = 2_000_000
 
@@ -134,7 +135,9 @@ LOCAL = "part string, term string, tf long, df long, place int, documents long"
 def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counted terms of documents to counts of the whole part of the corpus that a task reads, most frequent first.
 
-    A part is closed when it holds ``PART_TERMS`` terms; its first row carries the number of its documents.
+    Documents come as lists of terms, or term by term with a null term for each document, so that a batch does not grow
+    with the length of the texts. A part is closed when it holds ``PART_TERMS`` terms; its first row carries the number
+    of its documents.
     """
     held, fresh, waiting, documents, number = None, [], 0, 0, 0
 
@@ -145,7 +148,7 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def close(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if not documents:
+        if not documents and not rows.num_rows:
             return
         if not rows.num_rows:  # documents without a term
             rows = pa.table({"term": pa.nulls(1, pa.string()), "tf": pa.array([0], pa.int64()), "df": pa.array([0], pa.int64())})
@@ -157,24 +160,31 @@ def _local_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from rows.combine_chunks().to_batches(max_chunksize=100_000)
 
     for batch in batches:
-        terms = batch.column(0).flatten()
+        terms, found = batch.column(0), batch.num_rows
+        if pa.types.is_list(terms.type):
+            terms = terms.flatten()
+        else:
+            found = terms.field("term").null_count
+            terms = terms.filter(terms.field("term").is_valid()) if found else terms
         ones = pa.array(np.ones(len(terms), np.int64))
         fresh.append(pa.table({"term": terms.field("term"), "tf": terms.field("tf"), "df": ones}))
         waiting += len(terms)
-        documents += batch.num_rows
-        if waiting >= PART_TERMS:
+        documents += found
+        if waiting >= PART_TERMS // 4:
             held, fresh, waiting = summed(), [], 0
             if held.num_rows >= PART_TERMS:
                 yield from close(held)
                 held, documents, number = None, 0, number + 1
-    if documents:
+            pa.default_memory_pool().release_unused()
+    if fresh or held is not None:  # a document may have begun in the part before
         yield from close(summed())
 
 
 def local_counts(df: DataFrame, text_column: str, ngram_range=NGRAM_RANGE) -> DataFrame:
     """(part, term, tf, df, place, documents): counts of every part of the corpus where it is read, no shuffle."""
     counted = with_term_counts(df.select(text_column), text_column, ngram_range)
-    return counted.select("_terms").mapInArrow(_local_counts, LOCAL)
+    document = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    return counted.select(F.explode(F.concat(document, "_terms")).alias("_term")).mapInArrow(_local_counts, LOCAL)
 
 
 def most_frequent(parts: DataFrame, k: int, least_df: float = 1) -> DataFrame:
@@ -322,11 +332,10 @@ def _as_vector(size: pd.Series, indices: pd.Series, values: pd.Series) -> pd.Dat
     return pd.DataFrame({"type": kind, "size": size, "indices": indices, "values": values})
 
 
-def tfidf_vectors(
-    df: DataFrame, text_column: str, model: TfidfModel, output="features", sign: Column | None = None
-) -> DataFrame:
-    """L2-normalised sparse ML vectors. With ``sign`` a column of ones follows the
-    vocabulary, and the whole row is multiplied by the sign."""
+def _sparse_rows(
+    df: DataFrame, text_column: str, model: TfidfModel, sign: Column | None = None
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The frame with the columns ``_indices``, ``_raw`` and ``_norm``, and the parts of its L2-normalised vectors."""
     weighted = _weights(df, text_column, model)
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, v: acc + v * v))
     weighted = computed_once(weighted, {"_norm": norm})
@@ -336,10 +345,42 @@ def tfidf_vectors(
         indices = F.concat(indices, F.array(size))
         size, factor = size + 1, sign.cast("double")
         values = F.concat(F.transform(values, lambda w: w * factor), F.array(factor))
-    vector = _as_vector(size.cast("int"), indices, values)
+    return weighted, {"type": F.lit(0).cast("tinyint"), "size": size.cast("int"), "indices": indices, "values": values}
+
+
+def tfidf_vectors(
+    df: DataFrame, text_column: str, model: TfidfModel, output="features", sign: Column | None = None
+) -> DataFrame:
+    """L2-normalised sparse ML vectors. With ``sign`` a column of ones follows the
+    vocabulary, and the whole row is multiplied by the sign."""
+    weighted, parts = _sparse_rows(df, text_column, model, sign)
+    vector = _as_vector(parts["size"], parts["indices"], parts["values"])
     return weighted.withColumn(output, vector).drop("_indices", "_raw", "_norm")
 
 
+def staged_vectors(
+    df: DataFrame, text_column: str, model: TfidfModel, name: str, output="features", sign: Column | None = None
+) -> DataFrame:
+    """``tfidf_vectors``, staged. The vectors are written as the structs they consist of and read back as vectors,
+    so no row crosses to Python."""
+    weighted, parts = _sparse_rows(df, text_column, model, sign)
+    rows = weighted.withColumn(output, F.struct(*[c.alias(part) for part, c in parts.items()]))
+    rows = rows.drop("_indices", "_raw", "_norm")
+    kinds = [T.StructField(f.name, VectorUDT()) if f.name == output else f for f in rows.schema]
+    return stage(rows, name, T.StructType(kinds))
+
+
+def with_margin(
+    df: DataFrame, text_column: str, model: TfidfModel, coefficients: np.ndarray, output="margin"
+) -> DataFrame:
+    """Adds the product of the L2-normalised row, followed by a one, with the coefficients; row-local and native."""
+    weighted, parts = _sparse_rows(df, text_column, model, F.lit(1.0))
+    weighted = computed_once(weighted, {"_values": parts["values"], "_at": parts["indices"]})
+    by = _array_literal(coefficients.tolist(), "double")
+    margin = F.aggregate(F.zip_with("_at", "_values", lambda i, v: F.get(by, i) * v), F.lit(0.0), lambda acc, v: acc + v)
+    return computed_once(weighted, {output: margin}).drop("_indices", "_raw", "_norm", "_values", "_at")
+
+
 def extract_text_statistics(df: DataFrame, text_column: str) -> DataFrame:
     """Adds the ten text statistics; row-local and native."""
     require_columns(df, [text_column], "text column")
