@@ -43,29 +43,24 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Spark has neither an HTML entity decoder nor Unicode normalisation. Both run as
-# Arrow batches, and callers send NULL for values that cannot change, so plain
-# ASCII text never crosses to Python.
+# Spark has neither an HTML entity decoder nor Unicode normalisation. Callers send NULL for values that
+# cannot change, so plain ASCII text never crosses to Python. Values cross pickled, a hundred rows at a time: an Arrow
+# batch of long texts and the strings made of it would be held at once, in every worker.
 # Zero-width characters are not ASCII either, so they are dropped in the same call.
-def _decode_values(s: pd.Series) -> pd.Series:
-    zero_width = re.compile(ZERO_WIDTH_PATTERN)
-
-    def decode(v):
-        return zero_width.sub("", unicodedata.normalize("NFKC", html.unescape(v)))
+def _decode_value(v: str | None) -> str | None:
+    return v and re.sub(ZERO_WIDTH_PATTERN, "", unicodedata.normalize("NFKC", html.unescape(v)))
 
-    return s.map(decode, na_action="ignore")
 
+def _decode_values(s: pd.Series) -> pd.Series:
+    return s.map(_decode_value, na_action="ignore")
 
-def _strip_accent_values(s: pd.Series) -> pd.Series:
-    def strip(v):
-        decomposed = unicodedata.normalize("NFKD", v)
-        return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
 
-    return s.map(strip, na_action="ignore")
+def _strip_accents_value(v: str | None) -> str | None:
+    return v and "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch))
 
 
-_decode = F.pandas_udf(_decode_values, T.StringType())
-_strip_accents = F.pandas_udf(_strip_accent_values, T.StringType())
+_decode = F.udf(_decode_value, T.StringType(), useArrow=False)
+_strip_accents = F.udf(_strip_accents_value, T.StringType(), useArrow=False)
 
 
 def decode_text(c) -> Column:
