@@ -39,7 +39,7 @@ ADAM_EPS = 1e-8
 LOG_CLAMP = -100.0
 # -----------------------------------------------------------------------------
 
-SCORE_BATCH = 4096
+SCORE_BATCH = 1024  # rows whose layers a worker holds at once
 SUM_FAN_IN = 16  # gradients added up per task and level
 INPUTS = ["text_features", "context_features", "context_mask"]
 
@@ -237,7 +237,7 @@ class FittedFusion:
     shape: FusionShape
     params: np.ndarray
 
-    def score(self, df: DataFrame, with_fused=False) -> DataFrame:
+    def score(self, df: DataFrame, with_fused=False, with_domain=False) -> DataFrame:
         """Adds ``gate``, ``logits``, ``probabilities``, ``prediction`` and ``score``
         (probability of class 1); dropout is off. Row-local."""
         require_columns(df, INPUTS)
@@ -249,6 +249,8 @@ class FittedFusion:
             def predict(text, context, mask):
                 a = forward(layers, text, context, mask)
                 parts = [a["gate"], a["logits"]] + ([a["fused"]] if with_fused else [])
+                if with_domain:
+                    parts.append(discriminate(layers, a["fused"])["p"])
                 return np.concatenate(parts, axis=1)
 
             return predict
@@ -268,6 +270,8 @@ class FittedFusion:
         )
         if with_fused:
             out = out.withColumn("fused", F.slice("_out", k + 2, shape.hidden_dim))
+        if with_domain:
+            out = out.withColumn("domain_score", F.element_at("_out", -1))
         return class_columns(out.drop("_out"))
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -298,8 +302,11 @@ class FittedFusion:
         return FittedFusion(shape, np.concatenate(parts))
 
     def domain_scores(self, df: DataFrame) -> DataFrame:
-        """Adds ``domain_score``, the probability of the target domain."""
-        return DomainDiscriminator.of(self).score(self.score(df, with_fused=True))
+        """Adds ``domain_score``, the probability of the target domain, in the pass that scores the classes: a second
+        function over the representations would be a second Python process a task."""
+        DomainDiscriminator.of(self)  # raises without a domain head
+        scored = self.score(df, with_fused=True, with_domain=True)
+        return scored.select(*[c for c in scored.columns if c != "domain_score"], "domain_score")
 
 
 def class_columns(df: DataFrame, logits="logits") -> DataFrame:
@@ -411,6 +418,13 @@ def _vector(column, dtype) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(dtype)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in slices whose layers fit in little memory, however many rows a batch has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SCORE_BATCH):
+            yield batch.slice(at, SCORE_BATCH)
+
+
 GRADIENT_SCHEMA = "slot int, rows double, class_rows double, class_loss double, domain_loss double, grad array<double>"
 
 
@@ -437,9 +451,7 @@ def gradient_rows(df: DataFrame, shape, params, *, step, rate, seed, lam=None) -
         flat = params.value
         totals = np.zeros(4)
         grads = np.zeros((2 if adversarial else 1, flat.size))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             loss, used, domain_loss, n, g = gradient(
                 shape, flat,
                 _matrix(b["text_features"]), _context(b["context_features"], shape.context_dim),
@@ -457,8 +469,8 @@ def gradient_rows(df: DataFrame, shape, params, *, step, rate, seed, lam=None) -
 
 
 def sum_gradients(rows: DataFrame, partitions: int):
-    """Tree-sum the gradient rows on executors; the driver adds up the last few."""
-    while partitions > SUM_FAN_IN:
+    """Tree-sum the gradient rows on executors; a single row comes to the driver, however many partitions there are."""
+    while partitions > 1:
         partitions = -(-partitions // SUM_FAN_IN)
         rows = (
             rows.withColumn("slot", F.pmod("slot", F.lit(partitions)))
@@ -486,9 +498,7 @@ def validation_counts(df: DataFrame, shape, params) -> DataFrame:
         layers = shape.unpack(params.value)
         k = shape.num_classes
         counts, losses = np.zeros((k, k)), np.zeros((k, k))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             label = _vector(b["label"], "int64")
             logp = log_softmax(
                 forward(
