@@ -33,7 +33,7 @@ from credence.session import stage
 CAPACITY = 2048
 END = 0
 #: Characters of text that a task tokenises at a time, for more than one text; an array operation holds some 30 bytes for each.
-SLICE = 2_000_000
+SLICE = 500_000
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
