@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from credence.functions.columns import computed_once
@@ -312,17 +312,19 @@ def weigh_terms(
     counts: DataFrame, id_column: str, vocabulary: DataFrame, n_documents: int, sublinear_tf=True
 ) -> DataFrame:
     """Long weights from ``(id, term, tf)`` and a vocabulary table ``(term, df)`` of any
-    size: the vocabulary is joined, not collected. A term found in most documents is
-    a hot join key, which AQE splits."""
+    size: the vocabulary is joined, not collected. Up to ``BROADCAST_TERMS`` terms go to the
+    counts, so only known terms are shuffled, once, by id; more are joined by a shuffle, where a term
+    found in most documents is a hot join key, which AQE splits. ``counts`` is read once, ``vocabulary``
+    twice (a staged table). A row without an id has no weight."""
     idf = F.log((1 + F.lit(n_documents)) / (1 + F.col("df"))) + 1
     tf = 1 + F.log("tf") if sublinear_tf else F.col("tf")
-    raw = counts.join(vocabulary.select("term", "df"), "term").select(
+    known = vocabulary.select("term", "df")
+    few = known.count() <= BROADCAST_TERMS
+    raw = counts.where(F.col(id_column).isNotNull()).join(F.broadcast(known) if few else known, "term").select(
         id_column, "term", (tf * idf).alias("_raw")
     )
-    norms = raw.groupBy(id_column).agg(F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_norm"))
-    return raw.join(norms, id_column).select(
-        id_column, "term", (F.col("_raw") / F.col("_norm")).alias("weight")
-    )
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_column)))
+    return raw.select(id_column, "term", (F.col("_raw") / norm).alias("weight"))
 
 
 @F.pandas_udf(VectorUDT())

@@ -306,7 +306,7 @@ def tfidf_joined(spark, d):
     """The weights of ``tfidf_weights`` from a joined vocabulary of any size."""
     docs = corpora.texts(spark, d, "documents")
     vocabulary, n = tfidf.fit_vocabulary(docs, "text")
-    counts = stage(tfidf.count_terms(docs, "doc_id", "text"), "term-counts")
+    counts = tfidf.count_terms(docs, "doc_id", "text")
     return _round(tfidf.weigh_terms(counts, "doc_id", stage(vocabulary, "vocabulary"), n), ["weight"], 5)
 
 
