@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from credence.llm.arrays import RunHashes, mixed
 from credence.llm.common import connected, row_key, text_or_empty
-from credence.session import stage
+from credence.session import arrow_rows, stage
 
 WORDS = 5
 #: Least similarity as a fraction: a link has 100 * |both| >= 75 * |either|.
@@ -56,6 +56,8 @@ BUCKET = 1_000_000
 #: Digests a task remembers so as not to send a copy's shingles twice.
 SEEN = 200_000
 BLOCK = 500_000
+#: Rows of an Arrow batch, at most: executor and worker each hold a batch of texts, a worker some ten arrays of its shingles as well.
+BATCH_ROWS = 2_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -406,17 +408,20 @@ class PrefixTree:
             self.owner = -1
 
 
-def join_group(sets: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
+def join_group(sets: list[tuple[list[int] | np.ndarray, int]]) -> list[tuple[int, int]]:
     """Links (later, earlier) that connect what is similar in a group of (ordered grams, n).
 
     The sets with the most in common come first, so the hub of a large group is in the tree early, and each set
-    tries the greatest hubs before it walks the tree.
+    tries the greatest hubs before it walks the tree. Only the set at hand and the hubs are held as Python sets, and
+    a shingle is one object in all paths of the tree.
     """
     found: list[tuple[int, int]] = []
     owners = Components(len(sets))
     tree = PrefixTree([])
     order = sorted(range(len(sets)), key=lambda k: (sets[k][1] - len(sets[k][0]), -sets[k][1], k))
-    own = [frozenset(g) for g, _ in sets]
+    same: dict[int, int] = {}
+    listed = lambda k: [same.setdefault(g, g) for g in np.asarray(sets[k][0]).tolist()]
+    own: dict[int, frozenset[int]] = {}  # of the hubs
     hubs: dict[int, int] = {}  # set: how many came to it
 
     def merge(a: int, b: int) -> None:
@@ -425,11 +430,13 @@ def join_group(sets: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
         hubs[b] = hubs.get(b, 0) + 1
 
     for x in order:
-        grams, n = sets[x]
-        for h in sorted(hubs, key=hubs.get, reverse=True)[:TRIED]:
-            if owners.root(x) != owners.root(h) and len(own[x] & own[h]) >= pair_overlap(n, sets[h][1]):
-                merge(x, h)
+        grams, n = listed(x), sets[x][1]
         place = {g: i for i, g in enumerate(grams)}
+        greatest = sorted(hubs, key=hubs.get, reverse=True)[:TRIED]
+        own = {h: own.get(h) or frozenset(listed(h)) for h in greatest}
+        for h in greatest:
+            if owners.root(x) != owners.root(h) and len(own[h].intersection(place)) >= pair_overlap(n, sets[h][1]):
+                merge(x, h)
         stack = [(tree, 0, 0)]
         while stack:
             node, both, passed = stack.pop()
@@ -481,7 +488,7 @@ def join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of which the hubs go on to the next stretch."""
 
     def links(rows: list) -> tuple[list[tuple[bytes, bytes]], list]:
-        found = join_group([(np.frombuffer(g, np.uint64).tolist(), n) for _, _, n, g in rows])
+        found = join_group([(np.frombuffer(g, np.uint64), n) for _, _, n, g in rows])
         hubs = sorted({b for _, b in found})[:GROUP // 4]
         return [(rows[a][1], rows[b][1]) for a, b in found], [rows[k] for k in hubs]
 
@@ -650,10 +657,11 @@ def class_roots(sets: DataFrame) -> DataFrame:
 def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _th, n_shingles, component_id, top) of every row. ``top`` names the component even where ids are
     null or stand for several texts; it is null without words."""
-    made, keyed = classes(docs, id_col, text_col)
-    able = stage(possible(made), "able-classes")
-    sets = ordered_sets(made, keyed, able)
-    roots = class_roots(sets)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):  # all that runs in Python is staged here
+        made, keyed = classes(docs, id_col, text_col)
+        able = stage(possible(made), "able-classes")
+        sets = ordered_sets(made, keyed, able)
+        roots = class_roots(sets)
     least = made.where("sid is not null").groupBy("sid").agg(F.min("_id").alias("least"))
     named = least.join(roots, least["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     tops = named.where("root <> sid").select("root", "least").unionByName(named.where("root = sid").select("root", "least"))

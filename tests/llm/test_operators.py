@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -591,3 +592,23 @@ def test_quality_votes(spark, graded, docs, empty):
     assert sum(r.predicted == (not texts[r.doc_id].isupper()) for r in held) > 0.97 * len(held)
     assert quality_votes.score(docs, labels).count() == len(corpus()) and quality_votes.score(empty, labels).count() == 0
     assert {r.score for r in quality_votes.score(frame, labels.where("false")).collect()} == {0.5}
+
+
+def test_jaccard_bounds_its_batches_and_what_a_group_holds(spark, monkeypatch):
+    """op7: batches of at most 2,000 rows, the caller's setting afterwards; of a group only hubs are held as Python sets."""
+    rows, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    inner = jaccard.class_roots
+    monkeypatch.setattr(jaccard, "class_roots", lambda sets: seen.append(spark.conf.get(rows)) or inner(sets))
+    before = spark.conf.get(rows)
+    docs = spark.createDataFrame([(i, "a b c d e f g h " + "xy"[i % 2]) for i in range(4)], "doc_id long, text string")
+    assert jaccard.components(docs).count() == 4
+    assert 0 < int(seen[0]) <= 2_000 and spark.conf.get(rows) == before
+
+    common = np.arange(10**15, 10**15 + 490)
+    sets = [(np.concatenate((np.arange(10) + 10 * k, common)), 500) for k in range(2_000)]
+    tracemalloc.start()
+    links = jaccard.join_group(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == 1_999
+    assert peak < 30e6
