@@ -1,27 +1,28 @@
 """Text baselines: TF-IDF plus L2 logistic regression, plain or class-weighted.
 
 The objective is ``0.5 * |w|^2 + C * sum(weight_i * loss_i)`` with a penalised
-intercept. MLlib averages the loss, so ``regParam = 1 / (C * sum(weight))``, and
-the intercept is a feature. MLlib zeroes a feature without variance, so each row
-is multiplied by +1 or -1 (by id hash) and its label flipped with it: the loss is
-the same and the intercept column varies.
+intercept, which is a feature of ones. MLlib's optimiser works on features divided by
+their deviations, where this objective is badly scaled (hundreds of passes over the rows);
+``logistic.minimise`` takes a few. The fitted model is MLlib's.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, staged_vectors, with_margin
+from credence.operators.logistic import minimise
+from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, staged_entries, with_margin
 from credence.schema import require_columns
 
 # ---- fixed values -----------------------------------------------------------
 DEFAULT_C = 1.0
 DEFAULT_SEED = 42
 MAX_ITERATIONS = 2000
-TOLERANCE = 1e-12
 WEIGHTINGS = (None, "balanced")
 # -----------------------------------------------------------------------------
 
@@ -74,30 +75,28 @@ class TextBaseline:
         negative, positive = sorted(weights)
         tfidf = tfidf or fit_tfidf(train, text_column, max_features=self.max_features)
 
-        n = tfidf.n_documents
-        even = F.pmod(F.xxhash64(F.col(id_column)), F.lit(2)) == 0
-        sign = F.when(even, 1.0).otherwise(-1.0)
         weight = F.lit(1.0)
         if self.class_weight == "balanced":
             weight = F.when(F.col(label_column) == F.lit(positive), weights[positive]).otherwise(
                 weights[negative]
             )
-        truth = F.col(label_column) == F.lit(positive)
-        # the optimiser passes over the vectors hundreds of times: compute them once
-        rows = staged_vectors(
-            train.select(
-                text_column, (truth == even).cast("double").alias("target"), weight.alias("weight"), sign.alias("sign")
-            ),
-            text_column, tfidf, "training-vectors", sign=F.col("sign"),
-        ).select("features", "target", "weight")
-        model = LogisticRegression(
-            labelCol="target", weightCol="weight", regParam=1.0 / (self.c * n),
-            elasticNetParam=0.0, standardization=False, fitIntercept=False,
-            maxIter=MAX_ITERATIONS, tol=TOLERANCE,
-        ).fit(rows)
+        target = F.when(F.col(label_column) == F.lit(positive), 1.0).otherwise(-1.0)
+        # the optimiser passes over the vectors many times: compute them once
+        rows = staged_entries(
+            train.select(text_column, target.alias("target"), weight.cast("double").alias("weight")),
+            text_column, tfidf, "training-vectors",
+        )
+        found, _ = minimise(rows, len(tfidf.terms) + 1, tfidf.n_documents, self.c, MAX_ITERATIONS)
+        model = _mllib_model(train.sparkSession, found)
         return FittedBaseline(tfidf, model, (negative, positive), text_column)
 
 
+def _mllib_model(spark: SparkSession, coefficients) -> LogisticRegressionModel:
+    sc = spark.sparkContext
+    java = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    return LogisticRegressionModel(java(LogisticRegressionModel._randomUID(), _py2java(sc, DenseVector(coefficients)), 0.0))
+
+
 @dataclass(frozen=True)
 class FittedBaseline:
     tfidf: TfidfModel

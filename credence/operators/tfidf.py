@@ -372,6 +372,13 @@ def staged_vectors(
     return stage(rows, name, T.StructType(kinds))
 
 
+def staged_entries(df: DataFrame, text_column: str, model: TfidfModel, name: str) -> DataFrame:
+    """The other columns with ``indices`` and ``values`` of the L2-normalised row, followed by a one; staged."""
+    weighted, parts = _sparse_rows(df, text_column, model, F.lit(1.0))
+    others = [c for c in df.columns if c != text_column]
+    return stage(weighted.select(*others, parts["indices"].alias("indices"), parts["values"].alias("values")), name)
+
+
 def with_margin(
     df: DataFrame, text_column: str, model: TfidfModel, coefficients: np.ndarray, output="margin"
 ) -> DataFrame:
