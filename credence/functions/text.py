@@ -99,8 +99,10 @@ def count_literal(c, ch: str) -> Column:
 
 
 def word_count(c) -> Column:
-    """Whitespace-separated words, as ``len(s.split())``."""
-    return count_runs(c, f"{NONWS}+", "x")
+    """Whitespace-separated words, as ``len(s.split())``: the gaps around them but one. Runs of whitespace are
+    sought, as Java takes some ten times as long over runs of its complement."""
+    spaced = F.regexp_replace(F.concat(F.lit(" "), _col(c), F.lit(" ")), f"{WS}+", " ")
+    return F.char_length(F.regexp_replace(spaced, "[^ ]+", "")) - 1
 
 
 def is_blank(c) -> Column:

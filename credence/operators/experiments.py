@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from credence.operators.classify import DEFAULT_C, build_balanced_baseline, build_baseline
 from credence.operators.metrics import METRICS, binary_metrics, collapse, weighted_metrics
 from credence.operators.tfidf import MAX_FEATURES
+from credence.session import stage
 
 # ---- fixed values -----------------------------------------------------------
 WEIGHTED = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -29,6 +30,12 @@ def model_comparison(predictions: DataFrame, **columns) -> DataFrame:
     return binary_metrics(predictions, by=["model"], **columns)
 
 
+def _scored_once(predictions: DataFrame, columns) -> DataFrame:
+    """What the metrics read of the predictions, staged: they read it several times, and scoring costs far more than a write."""
+    kept = [c for c in predictions.columns if c in (*columns, "_n")]
+    return stage(predictions.select(*kept), "scored")
+
+
 def imbalance_predictions(split_df: DataFrame, *, id_column="id", text_column="text",
                           label_column="label", max_features=MAX_FEATURES, c=DEFAULT_C,
                           parts=PARTS) -> DataFrame:
@@ -111,7 +118,8 @@ def read_baseline_metrics(spark: SparkSession, path: str) -> DataFrame:
 def zero_shot_metrics(scored_target: DataFrame, by=("dataset",), **columns) -> DataFrame:
     """Metrics of a source-trained model on target rows, per target dataset."""
     columns.setdefault("score", "score")
-    return weighted_metrics(scored_target, by=list(by), **columns)
+    read = [*by, columns.get("truth", "label"), columns.get("pred", "prediction"), columns["score"]]
+    return weighted_metrics(_scored_once(scored_target, read), by=list(by), **columns)
 
 
 def write_reports(final: DataFrame, missing: DataFrame, out_dir: str) -> None:
