@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credence.operators.logistic import minimise
-from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, staged_entries, with_margin
+from credence.operators.tfidf import MAX_FEATURES, TfidfModel, fit_tfidf, staged_entries, with_margin, with_margins
 from credence.schema import require_columns
 
 # ---- fixed values -----------------------------------------------------------
@@ -68,27 +68,39 @@ class TextBaseline:
         tfidf: TfidfModel | None = None,
     ) -> "FittedBaseline":
         """``tfidf`` reuses a vocabulary already fitted on the same rows."""
-        require_columns(train, [id_column, text_column, label_column])
-        weights = {r[0]: r["weight"] for r in class_weights(train, label_column).collect()}
-        if len(weights) != 2:
-            raise ValueError(f"two classes are needed, got {sorted(weights)}")
-        negative, positive = sorted(weights)
-        tfidf = tfidf or fit_tfidf(train, text_column, max_features=self.max_features)
-
+        columns = dict(id_column=id_column, text_column=text_column, label_column=label_column)
+        return fit_each([self], train, tfidf=tfidf, **columns)[0]
+
+
+def fit_each(
+    baselines: list[TextBaseline],
+    train: DataFrame,
+    *,
+    id_column="id",
+    text_column="text",
+    label_column="label",
+    tfidf: TfidfModel | None = None,
+) -> "list[FittedBaseline]":
+    """Baselines of one vocabulary, the first one's unless given, and of one table of training vectors: the texts are cut
+    into terms once however many are fitted."""
+    require_columns(train, [id_column, text_column, label_column])
+    weights = {r[0]: r["weight"] for r in class_weights(train, label_column).collect()}
+    if len(weights) != 2:
+        raise ValueError(f"two classes are needed, got {sorted(weights)}")
+    negative, positive = sorted(weights)
+    tfidf = tfidf or fit_tfidf(train, text_column, max_features=baselines[0].max_features)
+    target = F.when(F.col(label_column) == F.lit(positive), 1.0).otherwise(-1.0)
+    # the optimiser passes over the vectors many times: compute them once
+    entries = staged_entries(train.select(text_column, target.alias("target")), text_column, tfidf, "training-vectors")
+    fitted = []
+    for baseline in baselines:
         weight = F.lit(1.0)
-        if self.class_weight == "balanced":
-            weight = F.when(F.col(label_column) == F.lit(positive), weights[positive]).otherwise(
-                weights[negative]
-            )
-        target = F.when(F.col(label_column) == F.lit(positive), 1.0).otherwise(-1.0)
-        # the optimiser passes over the vectors many times: compute them once
-        rows = staged_entries(
-            train.select(text_column, target.alias("target"), weight.cast("double").alias("weight")),
-            text_column, tfidf, "training-vectors",
-        )
-        found, _ = minimise(rows, len(tfidf.terms) + 1, tfidf.n_documents, self.c, MAX_ITERATIONS)
-        model = _mllib_model(train.sparkSession, found)
-        return FittedBaseline(tfidf, model, (negative, positive), text_column)
+        if baseline.class_weight == "balanced":
+            weight = F.when(F.col("target") > 0, weights[positive]).otherwise(weights[negative])
+        rows = entries.withColumn("weight", weight.cast("double"))
+        found, _ = minimise(rows, len(tfidf.terms) + 1, tfidf.n_documents, baseline.c, MAX_ITERATIONS)
+        fitted.append(FittedBaseline(tfidf, _mllib_model(train.sparkSession, found), (negative, positive), text_column))
+    return fitted
 
 
 def _mllib_model(spark: SparkSession, coefficients) -> LogisticRegressionModel:
@@ -110,14 +122,15 @@ class FittedBaseline:
         The model itself is not sent to executors: it carries the training summary and, with that, the session,
         which cannot be serialised while anything in it is observed.
         """
-        negative, positive = self.classes
         rows = with_margin(df, self.text_column, self.tfidf, self.model.coefficients.toArray(), "_margin")
-        return rows.withColumns(
-            {
-                "prediction": F.when(F.col("_margin") > 0, F.lit(positive)).otherwise(F.lit(negative)),
-                "score": 1 - 1 / (1 + F.exp("_margin")),
-            }
-        ).drop("_margin")
+        return rows.withColumns(self._called("_margin")).drop("_margin")
+
+    def _called(self, margin: str) -> dict[str, Column]:
+        negative, positive = self.classes
+        return {
+            "prediction": F.when(F.col(margin) > 0, F.lit(positive)).otherwise(F.lit(negative)),
+            "score": 1 - 1 / (1 + F.exp(margin)),
+        }
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Vocabulary, coefficients and classes in three folders."""
@@ -136,6 +149,21 @@ class FittedBaseline:
         )
 
 
+def predict_each(models: dict[str, FittedBaseline], df: DataFrame, name="model") -> DataFrame:
+    """``predict`` of every model, told apart by ``name``. They share a vocabulary and a text column, so the texts are cut into
+    terms once."""
+    first = next(iter(models.values()))
+    if any(m.tfidf is not first.tfidf or m.text_column != first.text_column for m in models.values()):
+        raise ValueError("the models differ in vocabulary or text column")
+    margins = {f"_margin_{k}": m.model.coefficients.toArray() for k, m in enumerate(models.values())}
+    rows = with_margins(df, first.text_column, first.tfidf, margins)
+    called = [
+        F.struct(F.lit(label).alias(name), *[c.alias(to) for to, c in m._called(margin).items()])
+        for (label, m), margin in zip(models.items(), margins, strict=True)
+    ]
+    return rows.select(*df.columns, F.inline(F.array(*called)))
+
+
 def build_baseline(*, max_features=MAX_FEATURES, c=DEFAULT_C, class_weight=None, random_state=DEFAULT_SEED) -> TextBaseline:
     return TextBaseline(max_features, c, class_weight, random_state)
 

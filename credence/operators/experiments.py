@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credence.operators.classify import DEFAULT_C, build_balanced_baseline, build_baseline
+from credence.operators.classify import DEFAULT_C, build_balanced_baseline, build_baseline, fit_each, predict_each
 from credence.operators.metrics import METRICS, binary_metrics, collapse, weighted_metrics
 from credence.operators.tfidf import MAX_FEATURES
 from credence.session import stage
@@ -46,25 +46,17 @@ def imbalance_predictions(split_df: DataFrame, *, id_column="id", text_column="t
         F.col("split").alias("part"), id_column, text_column, label_column
     )
     columns = dict(id_column=id_column, text_column=text_column, label_column=label_column)
-    plain = build_baseline(max_features=max_features, c=c).fit(train, **columns)
-    weighted = build_balanced_baseline(max_features=max_features, c=c).fit(
-        train, tfidf=plain.tfidf, **columns
-    )
-    frames = [
-        m.predict(held_out).select(
-            "part", F.lit(name).alias("model"), id_column, label_column, "prediction", "score"
-        )
-        for name, m in ((PLAIN_NAME, plain), (WEIGHTED_NAME, weighted))
-    ]
-    return frames[0].unionByName(frames[1])
+    builders = {PLAIN_NAME: build_baseline, WEIGHTED_NAME: build_balanced_baseline}
+    baselines = [build(max_features=max_features, c=c) for build in builders.values()]
+    models = dict(zip(builders, fit_each(baselines, train, **columns), strict=True))
+    return predict_each(models, held_out).select("part", "model", id_column, label_column, "prediction", "score")
 
 
 def imbalance_experiment(split_df: DataFrame, **options) -> DataFrame:
     """Both models on validation and test, in the order the choice is made: by part, then model."""
-    predictions = imbalance_predictions(split_df, **options)
-    return binary_metrics(
-        predictions, truth=options.get("label_column", "label"), by=["part", "model"]
-    ).orderBy(F.desc("part"), F.desc("model"))
+    truth, by = options.get("label_column", "label"), ["part", "model"]
+    predictions = _scored_once(imbalance_predictions(split_df, **options), [*by, truth, "prediction", "score"])
+    return binary_metrics(predictions, truth=truth, by=by).orderBy(F.desc("part"), F.desc("model"))
 
 
 def missing_context(predictions: DataFrame, mask="context_mask", **columns) -> DataFrame:

@@ -383,11 +383,19 @@ def with_margin(
     df: DataFrame, text_column: str, model: TfidfModel, coefficients: np.ndarray, output="margin"
 ) -> DataFrame:
     """Adds the product of the L2-normalised row, followed by a one, with the coefficients; row-local and native."""
+    return with_margins(df, text_column, model, {output: coefficients})
+
+
+def with_margins(df: DataFrame, text_column: str, model: TfidfModel, coefficients: dict[str, np.ndarray]) -> DataFrame:
+    """``with_margin`` for several coefficients by the column they give; the texts are cut into terms once."""
     weighted, parts = _sparse_rows(df, text_column, model, F.lit(1.0))
     weighted = computed_once(weighted, {"_values": parts["values"], "_at": parts["indices"]})
-    by = _array_literal(coefficients.tolist(), "double")
-    margin = F.aggregate(F.zip_with("_at", "_values", lambda i, v: F.get(by, i) * v), F.lit(0.0), lambda acc, v: acc + v)
-    return computed_once(weighted, {output: margin}).drop("_indices", "_raw", "_norm", "_values", "_at")
+
+    def margin(by: Column) -> Column:
+        return F.aggregate(F.zip_with("_at", "_values", lambda i, v: F.get(by, i) * v), F.lit(0.0), lambda acc, v: acc + v)
+
+    found = {output: margin(_array_literal(by.tolist(), "double")) for output, by in coefficients.items()}
+    return computed_once(weighted, found).drop("_indices", "_raw", "_norm", "_values", "_at")
 
 
 def extract_text_statistics(df: DataFrame, text_column: str) -> DataFrame:
