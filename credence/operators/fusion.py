@@ -1,10 +1,11 @@
 """Gated text + context fusion: scoring as a batch-inference column, training as
-one gradient job per step.
+one job per epoch of small batches, or one gradient job per step.
 
 Shapes: two encoders (ReLU) to ``h``, a gate ``sigmoid(MLP([t, c, mask])) * mask``,
 ``fused = (1 - gate) * t + gate * c``, and a ReLU classifier. Executors hold the
-rows and return one summed gradient per partition; the driver holds parameters
-and Adam state only.
+rows; the driver holds parameters and Adam state only. Steps of small batches follow one
+another, so a single task makes those of an epoch, streaming the rows in the epoch's order; steps of large parts
+of the rows return one summed gradient per partition.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ CONFIG = {
     "num_classes": 2,
     "dropout": 0.3,
     "learning_rate": 1e-3,
+    "batch_size": 64,
     "num_epochs": 30,
     "patience": 5,
     "domain_lambda": 0.5,
@@ -437,6 +439,84 @@ def _gradient_row(slot, totals, grads) -> pa.RecordBatch:
     )
 
 
+def _batch_gradient(shape, flat, b, *, step, rate, seed, lam):
+    """``gradient`` of the rows of an Arrow batch."""
+    return gradient(
+        shape, flat,
+        _matrix(b["text_features"]), _context(b["context_features"], shape.context_dim),
+        _vector(b["context_mask"], "float64"), _vector(b["label"], "int64"),
+        dropout_masks(shape, _vector(b["_key"], "int64"), step, rate, seed),
+        None if lam is None else _vector(b["domain_label"], "int64"),
+        lam or 0.0,
+    )
+
+
+def _mean_gradient(totals, grads) -> np.ndarray:
+    """Class part over its rows plus, if there, domain part over all rows."""
+    g = grads[0] / max(totals[1], 1.0)
+    return g + grads[1] / totals[0] if len(grads) > 1 else g
+
+
+def adam(state, g, step: int, learning_rate: float):
+    """(parameters, first moment, second moment) after the ``step``-th step, counted from 1."""
+    flat, first, second = state
+    first = ADAM_BETAS[0] * first + (1 - ADAM_BETAS[0]) * g
+    second = ADAM_BETAS[1] * second + (1 - ADAM_BETAS[1]) * g * g
+    m = first / (1 - ADAM_BETAS[0] ** step)
+    v = second / (1 - ADAM_BETAS[1] ** step)
+    return flat - learning_rate * m / (np.sqrt(v) + ADAM_EPS), first, second
+
+
+def _of_size(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``size``, the last one perhaps smaller."""
+    waiting, n = [], 0
+
+    def joined():
+        return waiting[0] if len(waiting) == 1 else pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, size - n)
+            waiting.append(part)
+            n, at = n + part.num_rows, at + part.num_rows
+            if n == size:
+                yield joined()
+                waiting, n = [], 0
+    if n:
+        yield joined()
+
+
+def train_epoch(df: DataFrame, shape, state, *, order, size, step, learning_rate, rate, seed, lam=None):
+    """Losses and row counts of an epoch, the state after it, and the number of steps made.
+
+    Every row is in one batch of ``size`` rows, and each batch makes a step from the state that the one before left: a
+    single task reads the rows, sorted by ``order`` on disk if need be, and holds the layers of a slice at a time.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches):
+        now, totals, done = shared.value, np.zeros(4), step
+        for b in _of_size(batches, size):
+            batch, grads = np.zeros(4), 0.0
+            for part in _slices([b]):
+                loss, used, domain_loss, n, g = _batch_gradient(shape, now[0], part, step=done, rate=rate, seed=seed, lam=lam)
+                batch += [n, used, loss, domain_loss]
+                grads = grads + g
+            done += 1
+            now = adam(now, _mean_gradient(batch, grads), done, learning_rate)
+            totals += batch
+        for part in now:
+            yield _gradient_row(done, totals, part)
+
+    ordered = df.repartition(1).sortWithinPartitions(order)
+    rows = ordered.mapInArrow(run, GRADIENT_SCHEMA).collect()
+    shared.unpersist()
+    first = rows[0]
+    totals = np.array([first["rows"], first["class_rows"], first["class_loss"], first["domain_loss"]])
+    return totals, tuple(np.array(r["grad"]) for r in rows), first["slot"]
+
+
 def gradient_rows(df: DataFrame, shape, params, *, step, rate, seed, lam=None) -> DataFrame:
     """One row per non-empty partition: losses, row counts and summed gradient.
 
@@ -452,14 +532,7 @@ def gradient_rows(df: DataFrame, shape, params, *, step, rate, seed, lam=None) -
         totals = np.zeros(4)
         grads = np.zeros((2 if adversarial else 1, flat.size))
         for b in _slices(batches):
-            loss, used, domain_loss, n, g = gradient(
-                shape, flat,
-                _matrix(b["text_features"]), _context(b["context_features"], shape.context_dim),
-                _vector(b["context_mask"], "float64"), _vector(b["label"], "int64"),
-                dropout_masks(shape, _vector(b["_key"], "int64"), step, rate, seed),
-                _vector(b["domain_label"], "int64") if adversarial else None,
-                lam or 0.0,
-            )
+            loss, used, domain_loss, n, g = _batch_gradient(shape, flat, b, step=step, rate=rate, seed=seed, lam=lam)
             totals += [n, used, loss, domain_loss]
             grads += g
         if totals[0]:
@@ -568,12 +641,14 @@ def train_fusion(
     learning_rate=CONFIG["learning_rate"],
     dropout=CONFIG["dropout"],
     seed=CONFIG["seed"],
-    steps_per_epoch=1,
+    batch_size=CONFIG["batch_size"],
+    steps_per_epoch: int | None = None,
     adversarial_lambda=None,
 ):
     """Cross-entropy with Adam, early stopping on validation loss, best epoch kept.
 
-    One step is one Spark job over the rows of a hash bucket (all rows by default).
+    An epoch is a step for every ``batch_size`` rows, in an order drawn anew by a hash of the row. With ``steps_per_epoch``
+    it is so many steps, each one Spark job over the rows of a hash bucket.
     ``patience=None`` runs every epoch. ``adversarial_lambda`` (a number, or a
     function of the epoch) trains the domain head on ``domain_label`` and reverses
     its gradient into the encoder. Returns the model and the history frame.
@@ -584,23 +659,30 @@ def train_fusion(
     check_features(validation, shape)
     key = F.xxhash64(F.col(id_column).cast("string")).alias("_key")
     # read every epoch: one reliable copy, cached on executors where it fits
-    train = materialize(train.select(*columns, key)).persist()
+    row = F.xxhash64(*columns).alias("_row")  # tells apart what shares an id
+    train = materialize(train.select(*columns, key, row)).persist()
     validation = materialize(validation.select(*INPUTS, "label")).persist()
     partitions = train.rdd.getNumPartitions()
 
     flat = shape.init(seed)
-    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    state = (flat, np.zeros_like(flat), np.zeros_like(flat))
     best = (float("inf"), flat)
     history, waited, step = [], 0, 0
     for epoch in range(1, epochs + 1):
         lam = adversarial_lambda(epoch) if callable(adversarial_lambda) else adversarial_lambda
         epoch_totals = np.zeros(4)
-        for bucket in range(steps_per_epoch):
+        if steps_per_epoch is None:
+            order = F.xxhash64("_key", "_row", F.lit(seed + epoch))
+            epoch_totals, state, step = train_epoch(
+                train, shape, state, order=order, size=batch_size, step=step, learning_rate=learning_rate, rate=dropout,
+                seed=seed, lam=lam,
+            )
+        for bucket in range(steps_per_epoch or 0):
             rows = train
             if steps_per_epoch > 1:
                 mixed = F.xxhash64("_key", F.lit(seed + epoch))
                 rows = train.where(F.pmod(mixed, F.lit(steps_per_epoch)) == bucket)
-            params = spark.sparkContext.broadcast(flat)
+            params = spark.sparkContext.broadcast(state[0])
             totals, grad = sum_gradients(
                 gradient_rows(rows, shape, params, step=step, rate=dropout, seed=seed, lam=lam),
                 partitions,
@@ -608,17 +690,9 @@ def train_fusion(
             params.unpersist()
             step += 1
             epoch_totals += totals
-            n_rows, class_rows = totals[:2]
-            grads = grad.reshape(-1, flat.size)
-            g = grads[0] / max(class_rows, 1.0)
-            if len(grads) > 1:
-                g = g + grads[1] / n_rows
-            first = ADAM_BETAS[0] * first + (1 - ADAM_BETAS[0]) * g
-            second = ADAM_BETAS[1] * second + (1 - ADAM_BETAS[1]) * g * g
-            m = first / (1 - ADAM_BETAS[0] ** step)
-            v = second / (1 - ADAM_BETAS[1] ** step)
-            flat = flat - learning_rate * m / (np.sqrt(v) + ADAM_EPS)
+            state = adam(state, _mean_gradient(totals, grad.reshape(-1, flat.size)), step, learning_rate)
 
+        flat = state[0]
         params = spark.sparkContext.broadcast(flat)
         val_loss, val_accuracy, val_f1 = _summary(
             validation_counts(validation, shape, params).collect()

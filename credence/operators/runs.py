@@ -78,6 +78,7 @@ def run_gated_model(inputs: DataFrame, parts: DataFrame, out_dir: str, *, config
     model, _ = train_fusion(
         rows.where("split = 'train'"), rows.where("split = 'validation'"), shape, epochs=config["num_epochs"],
         patience=config["patience"], learning_rate=config["learning_rate"], dropout=config["dropout"], seed=config["seed"],
+        batch_size=config["batch_size"],
     )
     scored = stage(model.score(rows.where("split = 'test'")).drop("probabilities", "logits"), "gated-test")
     final = experiments.final_metrics(scored)
