@@ -47,19 +47,19 @@ def _col(c) -> Column:
 # cannot change, so plain ASCII text never crosses to Python. Values cross pickled, a hundred rows at a time: an Arrow
 # batch of long texts and the strings made of it would be held at once, in every worker.
 # Zero-width characters are not ASCII either, so they are dropped in the same call.
-def _decode_value(v: str | None) -> str | None:
+def _decode_values_singly(v: str | None) -> str | None:
     return v and re.sub(ZERO_WIDTH_PATTERN, "", unicodedata.normalize("NFKC", html.unescape(v)))
 
 
 def _decode_values(s: pd.Series) -> pd.Series:
-    return s.map(_decode_value, na_action="ignore")
+    return s.map(_decode_values_singly, na_action="ignore")
 
 
 def _strip_accents_value(v: str | None) -> str | None:
     return v and "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch))
 
 
-_decode = F.udf(_decode_value, T.StringType(), useArrow=False)
+_decode = F.udf(_decode_values_singly, T.StringType(), useArrow=False)
 _strip_accents = F.udf(_strip_accents_value, T.StringType(), useArrow=False)
 
 
